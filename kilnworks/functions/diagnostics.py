@@ -72,6 +72,11 @@ def looks_like_diagnostic(line: Column) -> Column:
     return has_any(line, ("warning:", "error:", "fatal error:"))
 
 
+def is_diagnostic_line(line: Column) -> Column:
+    """True when :func:`parse` recognises the line; the bare form covers the located one."""
+    return looks_like_diagnostic(line) & strip(line).rlike(UNICODE + BARE)
+
+
 def parse(line: Column) -> Column:
     """SF-1: struct(severity, file, line, column, message), null for other lines."""
     text = strip(line)

@@ -117,7 +117,7 @@ def is_started_line(line: Column) -> Column:
     return (
         F.contains(line, F.lit("Test Case"))
         & F.contains(line, F.lit(" started"))
-        & started(line).isNotNull()
+        & matches(line, STARTED)
     )
 
 

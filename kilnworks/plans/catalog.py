@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from . import history_queries
+from . import history_queries, log_queries
 from .registry import Registry
 
 
@@ -12,4 +12,5 @@ from .registry import Registry
 def catalog() -> Registry:
     registry = Registry()
     history_queries.register(registry)
+    log_queries.register(registry)
     return registry

@@ -18,10 +18,18 @@ _SPELLINGS = {
     "spark": {
         "epoch": lambda x: f"cast(unix_micros(cast({x} as timestamp)) / 1000000.0 as double)",
         "at": lambda x: f"cast({x} as timestamp)",
+        "numbered_lines": lambda _: (
+            "(select doc_id, pos, line from documents "
+            "lateral view posexplode(split(text, chr(10))) e as pos, line)"
+        ),
     },
     "duckdb": {
         "epoch": lambda x: f"cast(epoch({x}) as double)",
         "at": lambda x: f"({x})",
+        "numbered_lines": lambda _: (
+            "(select doc_id, generate_subscripts(l, 1) - 1 as pos, unnest(l) as line "
+            "from (select doc_id, string_split(text, chr(10)) as l from documents))"
+        ),
     },
 }
 
@@ -262,6 +270,90 @@ _define(
     """,
 )
 
+# Text logs: eight documents form one log; every document line becomes one log line,
+# most of them in a shape a build log uses, with the document's own words inside.
+_define(
+    "v_log_source",
+    "documents",
+    """
+    select cast(cast(floor(doc_id / 8) as bigint) as string) as log_id,
+           (doc_id % 8) * 100000 + pos + 1 as line_no,
+           (doc_id * 5 + pos) % 27 as shape, pos + doc_id % 13 as n, doc_id, line,
+           chr(39) as q
+    from @numbered_lines()
+    """,
+)
+_define(
+    "v_lines",
+    "v_log_source",
+    """
+    select log_id, line_no, case
+      when shape = 0 then 'xcodebuild -workspace App.xcworkspace -scheme S'
+        || cast(doc_id % 5 as string) || ' -testPlan All -destination ' || q
+        || 'platform=iOS Simulator,name=iPhone 15' || q || ' -enableCodeCoverage '
+        || case when n % 2 = 0 then 'YES' else 'NO' end
+      when shape = 1 then 'Xcode 16.' || cast(doc_id % 4 as string)
+      when shape = 2 then '+ Pkg' || cast(n % 7 as string) || ' https://example.com/pkg'
+        || cast(n % 7 as string) || '.git ' || cast(1 + n % 3 as string) || '.2.0'
+      when shape = 3 then 'note: Target dependency graph (' || cast(3 + n % 5 as string)
+        || ' targets)'
+      when shape = 4 then 'Target ' || q || 'T' || cast(n % 9 as string) || q
+        || ' in project ' || q || 'P' || cast(doc_id % 2 as string) || q
+      when shape = 5 then '    -> Explicit dependency on target ' || q || 'T'
+        || cast((n * 5 + 1) % 9 as string) || q
+        || case when n % 2 = 0 then ' in project ' || q || 'P0' || q else '' end
+      when shape = 6 then '/Users/ci/src/M' || cast(n % 4 as string) || '/F'
+        || cast(n % 13 as string) || '.swift:' || cast(n + 1 as string) || ':'
+        || cast(1 + n % 7 as string) || ': warning: ' || line
+      when shape = 7 then '/Users/ci/src/F' || cast(n % 5 as string)
+        || '.swift:9:2: warning: ' || q || 'oldAPI()' || q || ' is deprecated: use v'
+        || cast(1000 + n % 3 as string)
+      when shape = 8 then '/Users/ci/src/F' || cast(n % 5 as string)
+        || '.swift:42:3: error: cannot find ' || q || 'V' || cast(n % 3 as string) || q
+        || ' in scope 0x00ff' || cast(n as string)
+      when shape = 9 then 'Test Case ' || q || '-[Suite' || cast(n % 3 as string) || ' test'
+        || cast(n % 4 as string) || ']' || q || ' started.'
+      when shape = 10 then '/Users/ci/T.swift:' || cast(n as string)
+        || ': error: -[Suite test] : XCTAssertEqual failed: value '
+        || cast(n % 3 as string) || ' is not equal'
+      when shape = 11 then 'Test Case ' || q || '-[Suite' || cast(n % 3 as string) || ' test'
+        || cast(n % 4 as string) || ']' || q || ' failed (0.' || cast(100 + n as string)
+        || ' seconds).'
+      when shape = 12 then 'Test Case ' || q || '-[Suite' || cast(n % 3 as string) || ' test'
+        || cast(n % 4 as string) || ']' || q || ' passed (1.' || cast(100 + n as string)
+        || ' seconds).'
+      when shape = 13 then 'Test case ' || q || 'Flaky' || cast(n % 3 as string)
+        || '.testThing()' || q || ' passed on ' || q || 'Clone 1 of iPhone' || q
+        || ' (0.5 seconds)'
+      when shape = 14 then 'Test ' || q || 'round trip ' || cast(n % 3 as string) || q
+        || ' failed (2.5 seconds)'
+      when shape = 15 then 'Fatal error: Unexpectedly found nil while unwrapping'
+      when shape = 16 then 'Restarting after unexpected exit, crash, or test timeout'
+      when shape = 17 then 'Compile Swift (T' || cast(n % 4 as string) || ') | '
+        || cast(1 + n % 5 as string) || '.25 seconds'
+      when shape = 18 then 'IDETestOperationsObserverDebug: ' || cast(n as string)
+        || '.5 elapsed'
+      when shape = 19 then '/Users/ci/src/F' || cast(n % 9 as string) || '.swift:'
+        || cast(6 + n as string) || ':25: warning: expression took '
+        || cast(100 + n * 7 as string) || 'ms to type-check (limit: 1ms)'
+      when shape = 20 then '/Users/ci/src/F' || cast(n % 9 as string) || '.swift:'
+        || cast(5 + n as string) || ':18: warning: instance method ' || q || 'resolve'
+        || cast(n % 3 as string) || '(error:)' || q || ' took '
+        || cast(100 + n * 9 as string) || 'ms to type-check (limit: 1ms)'
+      when shape = 21 then 'SwiftCompile normal arm64 /src/F' || cast(n as string) || '.swift'
+      when shape = 22 then 'Ld /tmp/App normal arm64'
+      when shape = 23 then 'Resolved package: kit' || cast(n % 4 as string) || ': /src/kit @ 1.'
+        || cast(n % 2 as string) || '.0'
+      when shape = 24 then 'clang: error: linker command failed with exit code '
+        || cast(n % 2 as string)
+      when shape = 25 then '/Users/ci/src/C.swift:' || cast(n + 1 as string)
+        || ':4: warning: sending value risks causing data races; this is an error in the '
+        || 'Swift 6 language mode'
+      else line end as line
+    from v_log_source
+    """,
+)
+
 
 def _render(sql: str, engine: str) -> str:
     spellings = _SPELLINGS[engine]
