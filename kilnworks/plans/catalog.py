@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from . import history_queries, log_queries
+from . import activity_queries, graph_queries, history_queries, log_queries
 from .registry import Registry
 
 
@@ -13,4 +13,6 @@ def catalog() -> Registry:
     registry = Registry()
     history_queries.register(registry)
     log_queries.register(registry)
+    activity_queries.register(registry)
+    graph_queries.register(registry)
     return registry

@@ -533,12 +533,12 @@ def _texts(r: Registry) -> None:
               else regexp_replace(p, {quoted(redaction.HOME)}, '<home>', 'g') end as path
             from folded""",
     )
-    fnv = """'user-' || lpad(to_hex(cast(list_reduce(list_prepend(
+    fnv = """'user-' || lpad(lower(to_hex(cast(list_reduce(list_prepend(
         14695981039346656037::hugeint,
         list_transform(range(1, cast(length(a) as bigint) + 1),
           lambda i: cast(ascii(substr(lower(a), i, 1)) as hugeint))),
         lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint)
-        as ubigint)), 16, '0')"""
+        as ubigint))), 16, '0')"""
     r.add(
         "pseudonymised_texts",
         lambda t: t.base("documents").select(
@@ -571,12 +571,12 @@ def _texts(r: Registry) -> None:
             location["line"].alias("line"),
         ),
         "v_lines",
-        f"""with {LINES}, at as (select *, strpos(line, '.swift:') as p from lines
+        f"""with {LINES}, located as (select *, strpos(line, '.swift:') as p from lines
               where contains(line, '.swift:'))
             select log_id, line_no, regexp_extract(substr(line, 1, p + 5), '(\\S*)$', 1) as file,
               case when cast({part('substr(line, p + 7)', '^([0-9]+)')} as bigint) > 0
                 then cast({part('substr(line, p + 7)', '^([0-9]+)')} as bigint) end as line
-            from at""",
+            from located""",
     )
     r.add(
         "log_projects",

@@ -251,7 +251,7 @@ _define(
     "v_edges",
     "lineitem",
     """
-    select distinct cast(floor(l_orderkey / 8) as bigint) as graph,
+    select distinct cast(cast(floor(l_orderkey / 8) as bigint) as string) as graph,
            'T' || cast((l_suppkey * 7 + l_linenumber) % 60 as string) as from_name,
            'P' || cast((l_suppkey * 7 + l_linenumber) % 2 as string) as from_project,
            'T' || cast(l_partkey % 60 as string) as to_name,
@@ -354,6 +354,231 @@ _define(
     """,
 )
 
+# Units: eight neighbouring orders seen as one build with a change, files and a graph.
+_define(
+    "v_units",
+    "lineitem",
+    """
+    select cast(cast(floor(l_orderkey / 8) as bigint) as string) as build_key,
+           'M' || cast(l_partkey % 20 as string) || '/F' || cast(l_partkey as string)
+               || '.swift' as short_path,
+           'T' || cast(l_partkey % 60 as string) as part_target, lineitem.*
+    from lineitem
+    """,
+)
+_define(
+    "v_unit_builds",
+    "v_units",
+    """
+    select build_key, case when max(l_quantity) < 45 then 'noop' else 'incremental' end
+        as category from v_units group by build_key
+    """,
+)
+_define(
+    "v_unit_files",
+    "v_units",
+    """
+    select build_key, '/src/' || short_path as file, 'swiftCompilation' as step_type,
+           case when l_suppkey % 2 = 0 then 'arm64' else 'x86_64' end as architecture,
+           part_target as target, max(l_extendedprice) / 1000 as seconds
+    from v_units group by build_key, short_path, l_suppkey % 2, part_target
+    """,
+)
+_define(
+    "v_unit_changes",
+    "v_units",
+    """
+    select build_key, path, min(place) as position from (
+      select build_key, l_partkey * 10 + l_suppkey % 4 as place,
+             case when l_suppkey % 4 = 0 then '/src/' || short_path
+                  when l_suppkey % 4 = 1 then short_path
+                  when l_suppkey % 4 = 2 then 'F' || cast(l_partkey as string) || '.swift'
+                  when l_partkey % 10 = 0 then 'App/Package.swift'
+                  else 'docs/N' || cast(l_partkey as string) || '.md' end as path
+      from v_units)
+    group by build_key, path
+    """,
+)
+_define(
+    "v_unit_regressions",
+    "v_units",
+    """
+    select build_key, 'target' as metric_kind, part_target as name,
+           case when max(l_quantity) > 25 then 'high' when max(l_quantity) > 12 then 'medium'
+                else 'low' end as confidence,
+           case when max(l_discount) > 0.09 then 'environment_shifted' else 'none' end as caveat
+    from v_units where l_returnflag = 'R' group by build_key, part_target
+    """,
+)
+_define(
+    "v_unit_tests",
+    "v_units",
+    """
+    select build_key, part_target || 'Tests' as suite, 't' || cast(l_linenumber as string)
+             as name,
+           case when l_returnflag = 'A' then 'failed' else 'passed' end as status
+    from v_units
+    """,
+)
+_define(
+    "v_unit_diagnostics",
+    "v_units",
+    """
+    select build_key, 'd' || cast(l_partkey as string) || ':' || cast(l_suppkey as string)
+             as fingerprint,
+           case when l_linestatus = 'O' then '/src/' || short_path
+                when l_returnflag = 'R' then 'build/G' || cast(l_partkey as string) || '.swift'
+           end as file,
+           cast(min(l_linenumber) as bigint) as line,
+           case when l_suppkey % 3 = 0 then part_target end as target
+    from v_units
+    group by build_key, short_path, l_partkey, l_suppkey, l_linestatus, l_returnflag, part_target
+    """,
+)
+_define(
+    "v_unit_metadata",
+    "events",
+    """
+    select cast(cast(floor(event_id / 6) as bigint) as string) as build_key,
+           'build.was_suspended' as key,
+           max(case when event_type = 'purchase' and user_id % 2 = 0 then 'true'
+                    else 'false' end) as value
+    from events group by floor(event_id / 6)
+    """,
+)
+_define(
+    "v_unit_targets",
+    "v_units",
+    """
+    select build_key, part_target as name, l_suppkey % 2 as project,
+           max(l_quantity) / 10 as seconds
+    from v_units group by build_key, part_target, l_suppkey % 2
+    """,
+)
+_define(
+    "v_unit_swift",
+    "v_units",
+    """
+    select build_key, case when l_suppkey % 3 = 0 then 'function_body' else 'type_check' end
+             as kind,
+           'F' || cast(l_partkey % 8 as string) || '.swift' as file,
+           cast(l_quantity * 9 as int) as line, cast(l_linenumber as int) as column_number,
+           case when l_suppkey % 3 = 0 then 'f' || cast(l_partkey as string) end as symbol,
+           max(l_extendedprice) / 400 as milliseconds,
+           case when l_partkey % 11 <> 0 then part_target end as target,
+           max(l_orderkey * 1000 + l_suppkey % 1000) as ord
+    from v_units
+    group by build_key, l_suppkey % 3, l_partkey, l_quantity, l_linenumber, part_target
+    """,
+)
+_define(
+    "v_blame",
+    "v_unit_diagnostics",
+    """
+    select 'src' || substr(file, 5) as file, line, 'author' || cast(line as string) as author,
+           count(*) as commits
+    from v_unit_diagnostics where file like '/src/%' and line <> 3 group by file, line
+    """,
+)
+# Activity sections: a root per order, its preparation, target wrappers for most
+# orders and flat tagged steps for the others, one step per line, some nested.
+_define(
+    "v_section_items",
+    "v_items",
+    """
+    select build_key, l_orderkey % 5 = 0 as flat, l_suppkey % 3 as wrapper,
+           cast(l_linenumber as bigint) * 10000000000 + l_partkey * 10000 + l_suppkey as ord,
+           's' || cast(l_linenumber as string) || '-' || cast(l_partkey as string) || '-'
+               || cast(l_suppkey as string) as step_id,
+           order_epoch - 978307200 as root_start,
+           order_epoch - 978307200 + l_linenumber * 4 - 9 + (l_suppkey % 4) * 0.5 as start_,
+           l_quantity as seconds, l_partkey % 6 as shape, l_partkey, l_suppkey, l_linenumber,
+           l_returnflag = 'R' as cached, chr(39) as q
+    from v_items
+    """,
+)
+_define(
+    "v_sections",
+    "v_section_items orders",
+    """
+    select cast(o_orderkey as string) as build_key, 'r' as section_id,
+           cast(null as string) as parent_id, cast(0 as bigint) as ord, 'Build App' as title,
+           '' as signature, '' as subtitle,
+           @epoch(o_orderdate) + (o_orderkey % 86400) - 978307200 as time_started,
+           @epoch(o_orderdate) + (o_orderkey % 86400) - 978307200 + o_totalprice / 1000
+             as time_stopped,
+           false as was_fetched_from_cache,
+           case when o_orderstatus = 'F' then 'Cleanup failed.' when o_orderstatus = 'O'
+                then 'Build succeeded' else 'Still running' end as localized_result_string,
+           '' as document_url
+    from orders
+    union all
+    select cast(o_orderkey as string), 'p', 'r', cast(1 as bigint),
+           case when o_custkey % 8 = 0 then 'Prepare clean' else 'Prepare build' end, '',
+           case when o_custkey % 3 = 0 then 'Scheme S' || cast(o_custkey % 9 as string)
+                     || ' | Destination iPhone'
+                when o_custkey % 3 = 1 then 'Workspace W | Scheme S1 | Destination Mac'
+                else '' end,
+           @epoch(o_orderdate) + (o_orderkey % 86400) - 978307200,
+           @epoch(o_orderdate) + (o_orderkey % 86400) - 978307200 + o_custkey % 5,
+           false, '', ''
+    from orders
+    union all
+    select build_key, 'w' || cast(wrapper as string), 'r', (wrapper + 1) * 100,
+           case when wrapper = 0 then 'Build target Core'
+                else 'Lib' || cast(wrapper as string) || ' (project App)' end, '', '',
+           min(start_), max(start_ + seconds), false, '', ''
+    from v_section_items where not flat group by build_key, wrapper
+    union all
+    select build_key, step_id, case when flat then 'r' else 'w' || cast(wrapper as string) end,
+           ord,
+           case shape when 0 then 'Compile F.swift (arm64)' when 1 then 'Ld App (x86_64)'
+             when 2 then 'Run custom script' when 3 then 'CodeSign App.xctest'
+             when 4 then 'Copy Foo.h (bridging)' else 'CompileC m.o' end,
+           case shape when 0 then 'CompileSwift normal arm64 /src/F'
+                 || cast(l_partkey % 50 as string) || '.swift'
+             when 1 then 'Ld /tmp/App normal x86_64' when 2 then 'PhaseScriptExecution run'
+             when 3 then '' when 4 then 'Copy /src/Foo.h armv7'
+             else 'CompileC normal i386 /src/C' || cast(l_partkey % 7 as string) || '.m' end
+             || case when shape = 3 or l_partkey % 10 = 7 then ''
+                  else ' (in target ' || q || 'Unit ' || cast(l_suppkey % 4 as string) || q
+                    || ' from project ' || q || 'App' || q || ')' end,
+           '', start_, case when l_partkey % 31 = 0 then null else start_ + seconds end, cached,
+           '', case when l_partkey % 9 = 0
+                 then 'file:///src/D' || cast(l_partkey % 40 as string) || '.swift' else '' end
+    from v_section_items
+    union all
+    select build_key, 'n' || step_id, step_id, ord + 1, 'SwiftEmitModule',
+           case when shape = 2 then 'SwiftEmitModule (in target ' || q || 'Nested' || q || ')'
+                else 'SwiftEmitModule normal' end,
+           '', start_, start_ + 0.5, not cached, '', ''
+    from v_section_items where l_linenumber < 3
+    """,
+)
+_define(
+    "v_messages",
+    "v_section_items",
+    """
+    select build_key, case when l_suppkey % 5 = 0 and not flat
+                           then 'w' || cast(wrapper as string) else step_id end as section_id,
+           ord as message_no,
+           case when l_partkey % 2 = 0 then 'instance method ' || q || 'f'
+                  || cast(l_partkey % 6 as string) || q || ' took '
+                  || cast(l_partkey as string) || 'ms to type-check'
+                when l_partkey % 3 = 0 then 'expression took ' || cast(l_partkey as string)
+                  || 'ms to type-check'
+                else 'value ' || cast(1000 + l_partkey as string) || ' is deprecated in 9' end
+             as title,
+           l_suppkey % 4 as severity,
+           case when l_partkey % 7 <> 0
+                then 'file:///src/D' || cast(l_partkey % 40 as string) || '.swift' end
+             as document_url,
+           case when l_partkey % 7 <> 0 then l_partkey % 300 end as line,
+           case when l_partkey % 7 <> 0 then l_partkey % 40 end as column_number
+    from v_section_items
+    """,
+)
+
 
 def _render(sql: str, engine: str) -> str:
     spellings = _SPELLINGS[engine]
@@ -396,8 +621,10 @@ def _bases(names) -> set[str]:
 def with_views(names: str, body: str) -> str:
     """Checking-engine SQL: the views as common tables, then the body."""
     parts = [f"{n} as ({_render(VIEWS[n][1], 'duckdb')})" for n in _needed(names.split())]
-    head = "with recursive " + ",\n".join(parts)
     body = body.strip()
+    if not parts:
+        return body
+    head = "with recursive " + ",\n".join(parts)
     if body.lower().startswith("with "):
         rest = body[5:]
         rest = rest[len("recursive ") :] if rest.lower().startswith("recursive ") else rest
