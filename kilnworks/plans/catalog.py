@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from . import activity_queries, graph_queries, history_queries, log_queries
+from . import (
+    activity_queries,
+    graph_queries,
+    history_queries,
+    log_queries,
+    store_queries,
+)
 from .registry import Registry
 
 
@@ -15,4 +21,5 @@ def catalog() -> Registry:
     log_queries.register(registry)
     activity_queries.register(registry)
     graph_queries.register(registry)
+    store_queries.register(registry)
     return registry

@@ -187,7 +187,7 @@ def register(r: Registry) -> None:
                then array_to_string(list_sort(list(n.project)), ', ')
                else regexp_replace(min(c.path), '\\|[^ ]*', '', 'g') end as answer
            from named n left join chains c on c.graph = n.graph
-             and c.target = replace(n.id, chr(1), '|')
+             and c.target = n.id
            left join tops t on t.graph = n.graph and t.id = n.id group by n.graph, n.name""",
     )
     declared = "select graph, count(*) + 1 as declared_count from v_nodes group by graph"
@@ -483,11 +483,11 @@ def _intel(r: Registry) -> None:
             "milliseconds",
             "seconds",
             "share",
-            digits=8,
+            digits=10,
         ),
         TIMED,
-        """select build_key, target, round(ms, 8) as milliseconds, round(seconds, 8) as seconds,
-             round(coalesce(ms / (seconds * 1000), 0), 8) as share from dominated""",
+        """select build_key, target, round(ms, 10) as milliseconds, round(seconds, 10) as seconds,
+             round(coalesce(ms / (seconds * 1000), 0), 10) as share from dominated""",
     )
     add(
         "sites_outside_bodies",
