@@ -157,14 +157,17 @@ def quarter_documents(t: Tables) -> DataFrame:
     return documents.export_documents(builds, t.targets, t.phases, t.results)
 
 
-def ingested_stream(t: Tables) -> Ingest:
-    """Runs the document stream to its end over written files, twice."""
+def ingested_stream(t: Tables, runs: int = 1) -> Ingest:
+    """Runs the document stream to its end over written files.
+
+    A second run starts from a fresh checkpoint and replays every file.
+    """
     source = scratch_path(t.spark, "incoming")
     quarter_documents(t).select("document").write.text(source)
     ingest = Ingest(t.spark, scratch_path(t.spark, "history"))
     stream = document_stream(t.spark, source)
-    for name in ("first", "again"):
-        ingest.run(stream, ingest.store_documents, name, once=True).awaitTermination()
+    for run in range(runs):
+        ingest.run(stream, ingest.store_documents, f"run-{run}", once=True).awaitTermination()
     return ingest
 
 
@@ -470,29 +473,31 @@ def _streams(r: Registry) -> None:
     r.add(
         "stream_stored_builds",
         lambda t: day_text(
-            ingested_stream(t).store.read("builds").select("build_key", "project", "day")
+            ingested_stream(t, runs=2).store.read("builds").select("build_key", "project", "day")
         ),
-        "v_builds",
+        "v_builds v_targets",
         """select build_key, project,
              cast(cast(date_trunc('quarter', received_at) as date) as varchar) as day
-           from v_builds""",
+           from v_builds where build_key in (select build_key from v_targets)""",
     )
     r.add(
         "stream_changes",
         lambda t: ingested_stream(t).changes().select("build_key", "change"),
-        "v_builds",
-        "select build_key, 'stored' as change from v_builds",
+        "v_builds v_targets",
+        """select build_key, 'stored' as change from v_builds
+           where build_key in (select build_key from v_targets)""",
     )
     r.add(
         "stream_verdicts",
         lambda t: ingested_stream(t).verdicts().select("build_key", "status"),
-        "v_builds v_tests",
+        "v_builds v_tests v_targets",
         """select b.build_key, case when bad then 'failed'
              when b.status = 'pending_tests' and n > 0 then 'succeeded'
              else b.status end as status
            from v_builds b left join (select build_key, count(*) as n,
              bool_or(status = 'failed') as bad from v_tests group by 1) o
-             on o.build_key = b.build_key""",
+             on o.build_key = b.build_key
+           where b.build_key in (select build_key from v_targets)""",
     )
     r.add(
         "stream_deduplicated",

@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Observation
 
 # A side is broadcast only when its bound, in rows, is at most this.
 BROADCAST_ROWS = 200_000
@@ -65,13 +64,13 @@ def written(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     """Write a table to the shared folder; return it re-read, with its row count.
 
     Cuts the lineage of loops. The files survive the loss of executors, and the
-    count comes from the write itself.
+    count is read from their footers.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    counted = Observation()
-    df.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), counted.get["n"]
+    df.write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    return stored, stored.count()
 
 
 def maybe_broadcast(df: DataFrame, row_bound: int) -> DataFrame:

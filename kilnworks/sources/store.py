@@ -99,25 +99,20 @@ class HistoryStore:
             *schemas.columns(table)
         )
 
-    def append(self, rows: DataFrame, table: str) -> int:
-        """Append rows, one file set per day; returns how many were written."""
-        rows = rows.select(
-            *(
-                F.col(c).cast(kind)
-                for c, kind in (p.split() for p in schemas.TABLES[table][0].split(", "))
-            )
-        )
-        from pyspark.sql import Observation
+    def append(self, rows: DataFrame, table: str) -> None:
+        """Append rows, gathered by day so that a day gets few files.
 
-        counted = Observation()
+        A day with very many rows is split again by the planner, which aims at
+        its advisory partition size.
+        """
+        typed = [part.split() for part in schemas.TABLES[table][0].split(", ")]
         (
-            rows.observe(counted, F.count(F.lit(1)).alias("n"))
-            .repartition("day")
+            rows.select(*(F.col(name).cast(kind) for name, kind in typed))
+            .hint("rebalance", "day")
             .write.mode("append")
             .partitionBy("day")
             .parquet(self.path(table))
         )
-        return counted.get["n"]
 
     def insert(
         self, builds: DataFrame, children: dict[str, DataFrame], arrival: str = "received_at"
@@ -175,7 +170,7 @@ class HistoryStore:
             after = {r["day"] for r in rest.select("day").distinct().collect()}
             if after:
                 (
-                    rest.repartition("day")
+                    rest.hint("rebalance", "day")
                     .write.mode("overwrite")
                     .option("partitionOverwriteMode", "dynamic")
                     .partitionBy("day")
