@@ -42,9 +42,9 @@ def walked(sections: DataFrame) -> DataFrame:
     """BI-11: adds ``wrapper_id``/``wrapper_name`` and ``tagged_id``/``tagged_name``.
 
     They name the topmost section on the way from the root that is a target
-    wrapper, or that carries a target tag. One join per tree level.
+    wrapper, or that carries a target tag. One join per tree level; ``sections``
+    should be a stored table, it is read twice.
     """
-    sections, _ = written(sections, "sections")
     flagged = sections.select(
         "build_key",
         "section_id",
@@ -52,6 +52,8 @@ def walked(sections: DataFrame) -> DataFrame:
         A.wrapper_target(F.col("title")).alias("_wraps"),
         A.step_target(F.col("signature"), F.col("title")).alias("_tag"),
     )
+    # The patterns run once; each level reads ids and flags only.
+    flagged, _ = written(flagged, "section-flags")
     text = F.lit(None).cast("string")
     names = ("wrapper_id", "wrapper_name", "tagged_id", "tagged_name")
     frontier = flagged.where(F.col("parent_id").isNull()).select(

@@ -8,6 +8,7 @@ from .. import constants as C
 from ..functions import activity as A
 from ..functions import loglines as L
 from ..operators import activity, caps
+from ..runtime import written
 from .log_queries import category_sql, normalize_sql, part, quoted
 from .registry import Registry, Tables, longs, rounded
 
@@ -128,36 +129,46 @@ RESULTS = f"""{STEPS},
       and o.section_id = m.section_id and o.role = 'step' where m.severity >= 1)"""
 
 
+class Model:
+    """The sections as a stored table, and what is derived from them."""
+
+    def __init__(self, t: Tables):
+        self.sections = written(t.sections, "sections")[0]
+        self.owned = activity.owned(activity.walked(self.sections))
+        self.facts = activity.build_facts(self.sections)
+        self.steps = activity.steps(self.owned, self.facts)
+
+    def targets(self):
+        return activity.target_results(self.steps, activity.target_spans(self.owned))
+
+
 def owned_of(t: Tables):
-    return activity.owned(activity.walked(t.sections))
+    return Model(t).owned
 
 
 def steps_of(t: Tables):
-    return activity.steps(owned_of(t), activity.build_facts(t.sections))
+    return Model(t).steps
 
 
 def targets_of(t: Tables):
-    owned = owned_of(t)
-    rows = activity.steps(owned, activity.build_facts(t.sections))
-    return activity.target_results(rows, activity.target_spans(owned))
+    return Model(t).targets()
 
 
 def builds_of(t: Tables):
-    return activity.build_results(activity.build_facts(t.sections), targets_of(t))
+    model = Model(t)
+    return activity.build_results(model.facts, model.targets())
 
 
 def usable_of(t: Tables):
-    owned = owned_of(t)
-    facts = activity.build_facts(t.sections)
-    rows = activity.steps(owned, facts)
-    targets = activity.target_results(rows, activity.target_spans(owned))
+    model = Model(t)
+    targets = model.targets()
     warnings = t.messages.select("build_key", F.col("title").alias("warning"))
     return activity.usable_builds(
-        activity.build_results(facts, targets),
+        activity.build_results(model.facts, targets),
         targets,
-        activity.phases(owned),
-        activity.files(rows),
-        activity.swift_timings(owned, t.messages),
+        activity.phases(model.owned),
+        activity.files(model.steps),
+        activity.swift_timings(model.owned, t.messages),
         warnings,
     )
 
