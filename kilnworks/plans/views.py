@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import configure
+from ..runtime import configure, spread
 
 # engine-specific spellings: epoch seconds as double, text split into lines
 _SPELLINGS = {
@@ -40,6 +40,9 @@ BASE = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# Tables whose rows go through many text patterns.
+TEXTS = ("documents",)
+
 
 def _define(name: str, reads: str, sql: str) -> None:
     VIEWS[name] = (tuple(reads.split()), sql)
@@ -636,7 +639,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a stand-in view as a DataFrame."""
     configure(spark)
     for base in _bases([name]):
-        spark.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(base)
+        rows = spark.read.parquet(f"{sf_dir}/{base}.parquet")
+        (spread(rows) if base in TEXTS else rows).createOrReplaceTempView(base)
     if name in BASE:
         return spark.table(name)
     parts = [f"{n} as ({_render(VIEWS[n][1], 'spark')})" for n in _needed([name])]

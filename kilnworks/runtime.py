@@ -76,3 +76,12 @@ def written(df: DataFrame, label: str) -> tuple[DataFrame, int]:
 def maybe_broadcast(df: DataFrame, row_bound: int) -> DataFrame:
     """Broadcast hint only below the bound; otherwise the planner decides."""
     return F.broadcast(df) if row_bound <= BROADCAST_ROWS else df
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Use every core for costly per-row work on a table of few file splits.
+
+    A no-op on a table with at least as many splits as cores.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
