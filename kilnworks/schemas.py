@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 # table -> (DDL, key columns)
 TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
     "builds": (
@@ -80,3 +83,9 @@ WIRE = (
 
 def columns(table: str) -> list[str]:
     return [part.split()[0] for part in TABLES[table][0].split(", ")]
+
+
+def typed(rows: DataFrame, table: str) -> DataFrame:
+    """The table's columns, in order and with their stored types."""
+    fields = [part.split() for part in TABLES[table][0].split(", ")]
+    return rows.select(*(F.col(name).cast(kind).alias(name) for name, kind in fields))

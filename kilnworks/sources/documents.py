@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from .. import schemas
 from ..functions.activity import day_of
-from ..operators.caps import attempt_numbers
+from ..operators.caps import attempt_numbers, keep_files, keep_phases, keep_targets, keep_tests
 
 REQUIRED = (
     "wire_version",
@@ -125,7 +125,7 @@ def shred(documents: DataFrame) -> dict[str, DataFrame]:
     timings = _exploded(documents, "swift_timings").withColumnRenamed("column", "column_number")
     steps = _exploded(documents, "steps").withColumn("ordinal", F.col("position"))
     tests = attempt_numbers(_exploded(documents, "tests"))
-    return {
+    rows = {
         "build_targets": _first_per_key(_exploded(documents, "targets"), "build_targets"),
         "build_phases": _first_per_key(_exploded(documents, "phases"), "build_phases"),
         "build_files": _first_per_key(files, "build_files"),
@@ -136,6 +136,7 @@ def shred(documents: DataFrame) -> dict[str, DataFrame]:
         ),
         "build_tests": tests.select(*schemas.columns("build_tests")),
     }
+    return {table: schemas.typed(frame, table) for table, frame in rows.items()}
 
 
 def _nested(children: DataFrame, name: str, order: list[str], fields: list[str]) -> DataFrame:
@@ -155,14 +156,15 @@ def export_documents(
 ) -> DataFrame:
     """SRC-9: (build_key, document) with one JSON text per build.
 
-    Only capped lists are nested, so an array never outgrows its document.
-    Durations that are not finite are written as null, and null fields stay.
+    Each list is capped before it is nested (W-12, W-13), so an array never outgrows
+    its document, however many rows a build has. Durations that are not finite are written as null, and null fields stay.
     """
     finite = F.when(
         ~F.isnan("total_seconds") & (F.abs("total_seconds") < F.lit(float("inf"))),
         F.col("total_seconds"),
     )
     keys = ["day", "build_key"]
+    targets, phases = keep_targets(targets), keep_phases(phases)
     joined = (
         builds.withColumn("total_seconds", finite)
         .join(
@@ -189,11 +191,12 @@ def export_documents(
     nested = ["targets", "phases"]
     if tests is not None:
         fields = ["suite", "name", "status", "seconds", "message"]
-        joined = joined.join(_nested(tests, "tests", ["position"], fields), keys, "left")
+        kept = keep_tests(tests)
+        joined = joined.join(_nested(kept, "tests", ["place"], fields), keys, "left")
         nested.append("tests")
     if files is not None:
         fields = ["file", "seconds", "target", "step_type", "architecture", "occurrences"]
-        slow = files.withColumn("_slow", -F.col("seconds"))
+        slow = keep_files(files).withColumn("_slow", -F.col("seconds"))
         joined = joined.join(
             _nested(slow, "files", ["_slow", "file", "architecture"], fields), keys, "left"
         )

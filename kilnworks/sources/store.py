@@ -105,9 +105,8 @@ class HistoryStore:
         A day with very many rows is split again by the planner, which aims at
         its advisory partition size.
         """
-        typed = [part.split() for part in schemas.TABLES[table][0].split(", ")]
         (
-            rows.select(*(F.col(name).cast(kind) for name, kind in typed))
+            schemas.typed(rows, table)
             .hint("rebalance", "day")
             .write.mode("append")
             .partitionBy("day")
