@@ -454,6 +454,20 @@ def _details(r: Registry) -> None:
                order by bad desc, seconds desc nulls last, suite, name) as position
              from rollup_) where position <= 50""",
     )
+    r.add(
+        "detail_steps",
+        lambda t: longs(
+            history.detail_steps(
+                caps.step_ordinals(t.steps.withColumnRenamed("position", "source"), "source")
+            ),
+            "ordinal",
+            "position",
+        ).select("build_key", "ordinal", "position", "title", "executed"),
+        "v_steps",
+        """select build_key, o - 1 as ordinal, o as position, title, executed from (
+             select *, row_number() over (partition by build_key
+               order by started_at nulls last, position) as o from v_steps) where o <= 500""",
+    )
     r.add(
         "detail_header",
         lambda t: history.detail_header(t.builds).select(
