@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import chain, islice
 
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import texts_of
 
-# Pre-tokens kept with their ids in a task's memory, and the longest one kept.
-CACHED_PIECES = 400_000
+# Pre-tokens that a worker keeps with their ids, and the longest one kept. The first
+# ones met stay, which are the common ones.
+CACHED_PIECES = 1_000_000
 CACHED_PIECE_CHARS = 40
 # Pre-tokens handled at a time, which bounds the memory a long text takes.
 PIECES_AT_A_TIME = 100_000
@@ -124,9 +126,7 @@ class ByteBpe:
 
     def ids_of(self, piece: str) -> tuple[int, ...]:
         ids = self.merge(piece.encode())
-        if len(piece) <= CACHED_PIECE_CHARS:
-            if len(self.known) > CACHED_PIECES:
-                self.known.clear()
+        if len(piece) <= CACHED_PIECE_CHARS and len(self.known) < CACHED_PIECES:
             self.known[piece] = ids
         return ids
 
@@ -143,6 +143,12 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def byte_bpe(path: str, pattern: str) -> ByteBpe:
+    """One for all tasks of a worker process, with the pre-tokens it knows by then."""
+    return ByteBpe(path, pattern)
+
+
 def encode_documents(
     docs: DataFrame,
     ranks: str | None = None,
@@ -159,7 +165,7 @@ def encode_documents(
     path = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ByteBpe(path, pattern)
+        codec = byte_bpe(path, pattern)
         decimal = {rank: str(rank) for rank in codec.bytes_of}
         for batch in batches:
             counts, digests, decoded_digests, all_ids, all_bytes = [], [], [], [], []

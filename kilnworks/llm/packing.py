@@ -12,6 +12,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,9 @@ WINDOW = 2048
 OPEN_WINDOWS = 8
 TASKS_PER_MERGE = 16
 END_ID = 1
-# Words kept with their ids in a task's memory, and the longest word kept.
-CACHED_WORDS = 400_000
+# Words that a worker keeps with their ids, and the longest word kept. The first ones
+# met stay, which are the common ones.
+CACHED_WORDS = 1_000_000
 CACHED_WORD_CHARS = 40
 
 PIECES = (
@@ -55,23 +57,28 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        missing = list(set(words) - self.known.keys())
+        known = self.known
+        missing = [word for word in set(words) if word not in known]
         if missing:
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-                missing = list(set(words))
             found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            self.known.update(
+            known.update(
                 (word, np.array(one.ids, "<u4").tobytes())
                 for word, one in zip(missing, found)
             )
-        ids = b"".join(map(self.known.__getitem__, words))
+        ids = b"".join(map(known.__getitem__, words))
+        full = len(known) > CACHED_WORDS
         for word in missing:
-            if len(word) > CACHED_WORD_CHARS:
-                del self.known[word]
+            if full or len(word) > CACHED_WORD_CHARS:
+                del known[word]
         return ids
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker process, with the words it knows by then."""
+    return WordEncoder(path)
+
+
 @dataclass
 class Window:
     length: int = 0
@@ -159,7 +166,7 @@ def pack(
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         packer = Packer(window, open_windows, task << 32)
-        encoder = WordEncoder(path)
+        encoder = word_encoder(path)
         for batch in batches:
             texts = texts_of(batch.column(1))
             for doc, text in zip(batch.column(0).to_pylist(), texts):
