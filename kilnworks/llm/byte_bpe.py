@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 Every pre-token is merged by rank. The possible merges wait in buckets, one per rank,
-that hold positions of a linked list of parts. A bitmap of three levels tells which
-buckets hold anything: finding the first set bit at each level gives the lowest rank
-in constant time. Entries of parts that have merged since are skipped when they come
+that hold positions of a linked list of parts. A bitmap of two levels, 256 ranks to a
+word, tells which buckets hold anything: finding the first set bit at each level gives
+the lowest rank. Entries of parts that have merged since are skipped when they come
 up. A pre-token of n bytes takes O(n) queue steps whatever its length.
 """
 
@@ -34,41 +34,63 @@ PIECES_AT_A_TIME = 100_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-class RankQueue:
-    """Positions by rank; the lowest rank first, the leftmost position within it."""
+def merge_by_rank(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
+    """Ids of the parts that are left when no two neighbours can merge.
 
-    def __init__(self, n_ranks: int):
-        self.low = [0] * ((n_ranks >> 6) + 1)
-        self.mid = [0] * ((n_ranks >> 12) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
-            self.top |= 1 << (rank >> 12)
+    The lowest rank merges first, the leftmost pair within a rank.
+    """
+    n = len(piece)
+    after = list(range(1, n + 1))
+    before = list(range(-1, n - 1))
+    waiting: list[int | None] = [None] * n
+    buckets: dict[int, list[int]] = {}
+    low: dict[int, int] = {}
+    top = 0
+    rank_of = ranks.get
+    fresh = [(i, i + 2) for i in range(n - 1)]
+    while True:
+        for i, end in fresh:
+            rank = rank_of(piece[i:end]) if end - i <= longest else None
+            waiting[i] = rank
+            if rank is None:
+                continue
+            bucket = buckets.get(rank)
+            if bucket:
+                heappush(bucket, i)
+            else:
+                buckets[rank] = [i]
+                word = rank >> 8
+                low[word] = low.get(word, 0) | 1 << (rank & 255)
+                top |= 1 << word
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            rank = word << 8 | (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                bits &= bits - 1
+                low[word] = bits
+                if not bits:
+                    top &= top - 1
+            if waiting[i] == rank:
+                break
         else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        a = (self.top & -self.top).bit_length() - 1
-        b = a << 6 | (self.mid[a] & -self.mid[a]).bit_length() - 1
-        rank = b << 6 | (self.low[b] & -self.low[b]).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[b] &= self.low[b] - 1
-            if not self.low[b]:
-                self.mid[a] &= self.mid[a] - 1
-                if not self.mid[a]:
-                    self.top &= self.top - 1
-        return rank, position
+            break
+        j = after[i]
+        end = after[i] = after[j]
+        waiting[j] = waiting[i] = None
+        fresh = []
+        if end < n:
+            before[end] = i
+            fresh.append((i, after[end]))
+        if before[i] >= 0:
+            fresh.append((before[i], end))
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[piece[i : after[i]]])
+        i = after[i]
+    return ids
 
 
 class ByteBpe:
@@ -83,46 +105,13 @@ class ByteBpe:
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern)
-        self.queue = RankQueue(max(self.bytes_of) + 1)
         self.known: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        n, ranks, queue = len(piece), self.ranks, self.queue
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        waiting: list[int | None] = [None] * n
-
-        def offer(i: int) -> None:
-            j = after[i]
-            rank = None
-            if j < n and after[j] - i <= self.longest:
-                rank = ranks.get(piece[i : after[j]])
-            waiting[i] = rank
-            if rank is not None:
-                queue.push(rank, i)
-
-        for i in range(n - 1):
-            offer(i)
-        while (entry := queue.pop()) is not None:
-            rank, i = entry
-            if waiting[i] != rank:
-                continue
-            j = after[i]
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            waiting[j] = None
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        ids, i = [], 0
-        while i < n:
-            ids.append(ranks[piece[i : after[i]]])
-            i = after[i]
-        return tuple(ids)
+        return tuple(merge_by_rank(piece, self.ranks, self.longest))
 
     def ids_of(self, piece: str) -> tuple[int, ...]:
         ids = self.merge(piece.encode())

@@ -9,6 +9,7 @@ turn. What is open when a task ends is merged afterwards, a few tasks to a group
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -58,19 +59,18 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
         known = self.known
-        missing = [word for word in set(words) if word not in known]
-        if missing:
-            found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            known.update(
-                (word, np.array(one.ids, "<u4").tobytes())
+        parts = list(map(known.get, words))
+        if None in parts:
+            missing = {word for word, part in zip(words, parts) if part is None}
+            found = self.tokenizer.encode_batch_fast(list(missing), add_special_tokens=False)
+            new = {
+                word: struct.pack(f"<{len(one.ids)}I", *one.ids)
                 for word, one in zip(missing, found)
-            )
-        ids = b"".join(map(known.__getitem__, words))
-        full = len(known) > CACHED_WORDS
-        for word in missing:
-            if full or len(word) > CACHED_WORD_CHARS:
-                del known[word]
-        return ids
+            }
+            parts = [new[w] if part is None else part for w, part in zip(words, parts)]
+            if len(known) < CACHED_WORDS:
+                known.update((w, p) for w, p in new.items() if len(w) <= CACHED_WORD_CHARS)
+        return b"".join(parts)
 
 
 @lru_cache(maxsize=1)
