@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,23 @@ def texts_of(column: pa.Array) -> list[str]:
 def lower_ascii(text: Column) -> Column:
     """A to Z in lower case, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def stored_by(df: DataFrame, label: str, key: str) -> DataFrame:
+    """Like :func:`stored`, in buckets of the key: later joins on it leave it in place."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", path)
+    writer.bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
+
+
+def packed(array: np.ndarray) -> bytes:
+    """An array's bytes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(array).tobytes())
+
+
+def unpacked(blob: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
