@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, simhash
+from . import byte_bpe, html_text, katz, mtree, packing, quality, repeats, simhash, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,18 +16,51 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(read(spark, sf_dir, "documents"))
+
+
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_bytes(read(spark, sf_dir, "documents"))
+
+
+def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    "op1_byte_bpe": op1_byte_bpe,
-    "op7_simhash": op7_simhash,
-    "op10_packing": op10_packing,
+    query.__name__: query
+    for query in (
+        op1_byte_bpe,
+        op2_toxicity,
+        op3_html_text,
+        op4_katz,
+        op5_repeats,
+        op6_mtree,
+        op7_simhash,
+        op8_quality,
+        op10_packing,
+    )
 }
 
 ORACLES: dict[str, str] = {}

@@ -79,7 +79,7 @@ class Chunk:
 
     def __init__(self, rows: pd.DataFrame, match: int):
         rows = rows.sort_values(_ROW)
-        self.match, self.gram = match, max(1, match // 8)
+        self.match, self.gram = match, max(3, match // 8)
         self.texts = [(t or "").encode() for t in rows["text"]]
         lengths = np.array([len(t) for t in self.texts], np.int64)
         self.long = np.flatnonzero(lengths >= match)
