@@ -25,65 +25,102 @@ from .common import SPACES, stored, stored_by
 # Jaccard similarity from which lines count as the same: 4 / 5.
 SIMILARITY = 0.8
 SHARED = 3
-# Words are counted from a share of one line in so many on; at most this number of
-# words times the mean number of words in a line have such a share.
-COUNTED_SHARE = 256
-_LINES = 1 << 31
+# Words are counted by hash in so many buckets; a bucket is common from a share of one
+# line in COMMON on. At most COMMON times the mean number of words in a line are.
+COUNTERS, COMMON = 1 << 16, 256
 _NO_ID = -(1 << 63)
+_HASH_BITS = 56
 
 
 def _words(line: Column) -> Column:
     return F.array_distinct(F.filter(F.split(line, f"[{SPACES}]+"), lambda w: w != ""))
 
 
-def _place(doc_id: Column, line_no: Column) -> Column:
-    """One number that orders lines by document and then by line."""
-    wide = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(_NO_ID).cast("decimal(20,0)"))
-    return (wide * F.lit(_LINES).cast("decimal(10,0)") + line_no.cast("decimal(10,0)")).cast("decimal(38,0)")
+class Places:
+    """One number for every line, in order of documents and then of lines.
+
+    It is a long if ids and line numbers of these documents fit into one, else a
+    decimal. Null ids come first.
+    """
+
+    def __init__(self, docs: DataFrame):
+        breaks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+        least, most, lines = docs.agg(
+            F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long")), F.max(breaks)
+        ).first()
+        least, most = (0, 0) if least is None else (least, most)
+        self.width = (lines or 0) + 1
+        fits = (most - least + 2) * self.width < 1 << 63
+        self.kind = "long" if fits else "decimal(38,0)"
+        self.first = least - 1 if fits else _NO_ID - 1
+
+    def document(self) -> Column:
+        wide = F.col("doc_id").cast("long").cast(self._step())
+        return F.coalesce(wide - F.lit(self.first).cast(self._step()), F.lit(0).cast(self._step()))
+
+    def _step(self) -> str:
+        return "long" if self.kind == "long" else "decimal(25,0)"
+
+    def of(self, line_no: Column) -> Column:
+        width = F.lit(self.width).cast("long" if self.kind == "long" else "decimal(12,0)")
+        return (self.document() * width + line_no).cast(self.kind)
+
+    def split(self, place: Column) -> tuple[Column, Column]:
+        width = F.lit(self.width).cast("long" if self.kind == "long" else "decimal(12,0)")
+        number = F.pmod(place, width)
+        return ((place - number) / width).cast(self._step()), number.cast("int")
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
+def distinct_lines(docs: DataFrame, places: Places) -> DataFrame:
     """``place`` of the first occurrence, and ``line``, of every line with a word."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("no", "line"))
     lines = lines.where(F.col("line").rlike(f"[^{SPACES}]"))
-    lines = lines.select("line", _place(F.col("doc_id"), F.col("no")).alias("place"))
+    lines = lines.select("line", places.of(F.col("no")).alias("place"))
     return lines.groupBy("line").agg(F.min("place").alias("place")).select("place", "line")
 
 
 def _rarity(lines: DataFrame):
-    """A function from a word to its place in the order of rarity."""
+    """A function from a word's hash and length to its rank, 0 to 127, rare first."""
     n = lines.count()
-    words = lines.select(F.explode(_words(F.col("line"))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    common = counts.where(F.col("n") * COUNTED_SHARE >= n).select("word", "n").collect()
-    steps = [n * 2**k / COUNTED_SHARE for k in range(1, 9)]
-    sets = [[r["word"] for r in common]] + [[r["word"] for r in common if r["n"] >= s] for s in steps]
+    words = lines.select(F.explode(F.split("line", f"[{SPACES}]+")).alias("word"))
+    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).alias("at")).agg(F.count("*").alias("n"))
+    common = counts.where(F.col("n") * COMMON >= n).collect()
+    steps = [n * 2**k / COMMON for k in range(9)]
+    sets = [[r["at"] for r in common if r["n"] >= s] for s in steps]
     sets = [s for s in sets if s]
 
-    def rank(word: Column) -> Column:
-        length = F.lit(63) - F.least(F.length(word), F.lit(63))
+    def rank(hashed: Column, length: Column) -> Column:
+        by_length = F.lit(63) - F.least(length, F.lit(63))
         if not sets:
-            return length
-        more = reduce(lambda a, b: a + b, (word.isin(s).cast("int") for s in sets[1:]), F.lit(64))
-        return F.when(word.isin(sets[0]), more).otherwise(length)
+            return by_length
+        at = F.pmod(hashed, F.lit(COUNTERS))
+        more = reduce(lambda a, b: a + b, (at.isin(s).cast("int") for s in sets[1:]), F.lit(64))
+        return F.when(at.isin(sets[0]), more).otherwise(by_length)
 
     return rank
 
 
 def prefixes(lines: DataFrame, rank) -> DataFrame:
-    """``word, place, size, at``: the rarest words of every line."""
-    ordered = F.sort_array(
-        F.transform(
-            _words(F.col("line")),
-            lambda w: F.struct(rank(w).alias("rank"), F.xxhash64(w).alias("word")),
-        )
-    )
-    sized = lines.select("place", ordered.alias("words")).withColumn("size", F.size("words"))
+    """``word, place, shape``: the rarest words of every line.
+
+    ``word`` has the rank in its upper bits and the hash below; ``shape`` is the number
+    of words of the line and the word's place among them.
+    """
+
+    def key(word: Column) -> Column:
+        hashed = F.xxhash64(word)
+        low = hashed.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
+        return F.shiftleft(rank(hashed, F.length(word)).cast("long"), _HASH_BITS).bitwiseOR(low)
+
+    words = F.filter(F.split("line", f"[{SPACES}]+"), lambda w: w != "")
+    keys = F.sort_array(F.array_distinct(F.transform(words, key)))
+    sized = lines.select("place", keys.alias("words")).withColumn("size", F.size("words"))
     # size - ceil(0.8 size) + SHARED, in whole numbers.
     length = F.col("size") - F.ceil(F.col("size") * 4 / 5).cast("int") + SHARED
-    rows = sized.select("place", "size", F.posexplode(F.slice("words", F.lit(1), length)).alias("at", "w"))
-    return rows.select(F.col("w.word").alias("word"), "place", "size", "at")
+    rows = sized.select("place", "size", F.posexplode(F.slice("words", F.lit(1), length)).alias("at", "word"))
+    shape = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+    return rows.select("word", "place", shape.alias("shape"))
 
 
 def _overlap(size: str, size_2: str) -> Column:
@@ -93,18 +130,22 @@ def _overlap(size: str, size_2: str) -> Column:
 
 def _candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
     """Pairs of places that pass the filters. Both sides are prefix rows."""
-    a = later.select("word", F.col("place").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"))
-    b = earlier.select("word", F.col("place").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
+    a = later.select("word", F.col("place").alias("a"), F.col("shape").alias("shape_a"))
+    b = earlier.select("word", F.col("place").alias("b"), F.col("shape").alias("shape_b"))
+    both = a.join(b, ["word"]).where(F.col("a") > F.col("b"))
+    low = F.lit((1 << 32) - 1)
+    both = both.withColumns(
+        {f"size_{x}": F.shiftright(f"shape_{x}", 32) for x in "ab"}
+        | {f"at_{x}": F.col(f"shape_{x}").bitwiseAND(low) for x in "ab"}
+    )
     rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
     before = F.least("at_a", "at_b")
     fits = (
-        (F.col("a") > F.col("b"))
-        & (5 * F.col("size_a") >= 4 * F.col("size_b"))
+        (5 * F.col("size_a") >= 4 * F.col("size_b"))
         & (5 * F.col("size_b") >= 4 * F.col("size_a"))
         & (rest + before >= _overlap("size_a", "size_b"))
     )
-    pairs = a.join(b, "word").where(fits)
-    pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
+    pairs = both.where(fits).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
     return pairs.where(F.col("n") >= F.least(F.lit(SHARED), _overlap("size_a", "size_b")))
 
 
@@ -124,10 +165,18 @@ def similar_to_earlier(lines: DataFrame) -> DataFrame:
     """Places of distinct lines that are similar to an earlier one."""
     rows = stored(prefixes(lines, _rarity(lines)), "line-prefixes")
     first = rows.groupBy("word").agg(F.min("place").alias("lead"), F.count("*").alias("n"))
-    leads = rows.join(first.where("n > 1"), "word").where(F.col("place") == F.col("lead"))
-    leads = leads.select("word", "place", "size", "at")
-    settled = stored(_verified(_candidates(rows, leads), lines), "line-settled")
-    open_rows = rows.join(settled, rows.place == settled.a, "left_anti")
+    # A word of one line makes no pair.
+    rows = stored(rows.join(first.where("n > 1").drop("n"), "word"), "line-shared")
+    # A similar line has at least 0.8 times as many words.
+    least = F.least(F.lit(SHARED), F.ceil(F.shiftright("shape", 32) * 4 / 5))
+    led = rows.where(F.col("place") > F.col("lead")).groupBy(
+        F.col("place").alias("a"), F.col("lead").alias("b"), least.alias("least")
+    )
+    led = led.agg(F.count("*").alias("n")).where(F.col("n") >= F.col("least"))
+    settled = stored(_verified(led, lines), "line-settled")
+    # The lead itself has no earlier line with the word.
+    open_rows = rows.where(F.col("place") > F.col("lead"))
+    open_rows = open_rows.join(settled, F.col("place") == F.col("a"), "left_anti")
     others = _verified(_candidates(open_rows, rows), lines)
     return settled.union(others)
 
@@ -143,21 +192,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     are one document to this operator: lines of equal number tie, and equal ones stay
     in each. No row goes.
     """
-    lines = stored_by(distinct_lines(docs), "lines", "place")
+    places = Places(docs)
+    lines = stored_by(distinct_lines(docs, places), "lines", "place")
     gone = similar_to_earlier(lines)
     kept = lines.select("place").join(gone, F.col("place") == F.col("a"), "left_anti")
-    doc = F.floor(F.col("place") / F.lit(_LINES).cast("decimal(10,0)")).cast("decimal(20,0)")
-    kept = kept.withColumn("_doc", doc)
-    number = (F.col("place") - F.col("_doc") * F.lit(_LINES).cast("decimal(10,0)")).cast("int")
-    kept = kept.groupBy("_doc").agg(F.collect_list(number).alias("_kept"))
-    key = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(_NO_ID).cast("decimal(20,0)"))
-    joined = docs.withColumn("_key", key).join(kept, F.col("_key") == F.col("_doc"), "left")
+    doc, number = places.split(F.col("place"))
+    kept = kept.groupBy(doc.alias("_doc")).agg(F.collect_list(number).alias("_kept"))
+    joined = docs.withColumn("_key", places.document()).join(kept, F.col("_key") == F.col("_doc"), "left")
     joined = joined.withColumn("_lines", F.split(F.col("text").cast("string"), "\n"))
     blank = F.array_compact(
         F.transform("_lines", lambda line, i: F.when(~line.rlike(f"[^{SPACES}]"), i))
     )
-    places = F.sort_array(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), blank))
-    joined = joined.withColumn("_places", places)
+    stay = F.sort_array(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), blank))
+    joined = joined.withColumn("_places", stay)
     text = F.array_join(F.transform("_places", lambda i: F.get("_lines", i)), "\n")
     n_lines = F.coalesce(F.size("_lines"), F.lit(0))
     return joined.select(
