@@ -40,6 +40,8 @@ SPARSE = 32
 FREQUENT = 512
 SHARDS = 8
 CHUNK_BYTES = 4 << 20
+# Buckets of a partition are handled one after the other, each in memory.
+BUCKETS_PER_PARTITION = 6
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ROW = "_row"
@@ -220,7 +222,8 @@ class Repeats:
     def __init__(self, docs: DataFrame, match: int = MATCH):
         self.match = match
         self.names = docs.columns
-        self.n_buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.n_buckets = BUCKETS_PER_PARTITION * partitions
         self.chunks = stored_by(self._cut(docs), "repeats-chunks", "_chunk")
         self.found = self._found()
 
