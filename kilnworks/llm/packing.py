@@ -55,18 +55,30 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        ends = self.tokenizer.encode_batch_fast(["", ".", ","], add_special_tokens=False)
+        self.ends = {
+            end: struct.pack(f"<{len(one.ids)}I", *one.ids) for end, one in zip(("", ".", ","), ends)
+        }
 
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
         known = self.known
         parts = list(map(known.get, words))
         if None in parts:
-            missing = {word for word, part in zip(words, parts) if part is None}
-            found = self.tokenizer.encode_batch_fast(list(missing), add_special_tokens=False)
-            new = {
-                word: struct.pack(f"<{len(one.ids)}I", *one.ids)
-                for word, one in zip(missing, found)
-            }
+            new = {}
+            missing = []
+            for word in {word for word, part in zip(words, parts) if part is None}:
+                # Letters are split from what follows them, and case is dropped.
+                base, end = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
+                if base.isascii() and base.isalpha():
+                    part = known.get(base.lower())
+                    if part is not None:
+                        new[word] = part + self.ends[end]
+                        continue
+                missing.append(word)
+            found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+            for word, one in zip(missing, found):
+                new[word] = struct.pack(f"<{len(one.ids)}I", *one.ids)
             parts = [new[w] if part is None else part for w, part in zip(words, parts)]
             if len(known) < CACHED_WORDS:
                 known.update((w, p) for w, p in new.items() if len(w) <= CACHED_WORD_CHARS)
