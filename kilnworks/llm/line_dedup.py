@@ -15,8 +15,6 @@ Lines not settled then meet all earlier lines.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +25,7 @@ SIMILARITY = 0.8
 SHARED = 3
 # Words are counted by hash in so many buckets; a bucket is common from a share of one
 # line in COMMON on. At most COMMON times the mean number of words in a line are.
-COUNTERS, COMMON = 1 << 16, 256
+COUNTERS, COMMON = 1 << 18, 2048
 _NO_ID = -(1 << 63)
 _HASH_BITS = 56
 
@@ -80,41 +78,35 @@ def distinct_lines(docs: DataFrame, places: Places) -> DataFrame:
     return lines.groupBy("line").agg(F.min("place").alias("place")).select("place", "line")
 
 
-def _rarity(lines: DataFrame):
-    """A function from a word's hash and length to its rank, 0 to 127, rare first."""
+def _rarity(lines: DataFrame) -> str:
+    """SQL for the rank of a word ``w``, 0 to 127, rare first."""
     n = lines.count()
     words = lines.select(F.explode(F.split("line", f"[{SPACES}]+")).alias("word"))
     counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).alias("at")).agg(F.count("*").alias("n"))
     common = counts.where(F.col("n") * COMMON >= n).collect()
-    steps = [n * 2**k / COMMON for k in range(9)]
-    sets = [[r["at"] for r in common if r["n"] >= s] for s in steps]
-    sets = [s for s in sets if s]
-
-    def rank(hashed: Column, length: Column) -> Column:
-        by_length = F.lit(63) - F.least(length, F.lit(63))
-        if not sets:
-            return by_length
-        at = F.pmod(hashed, F.lit(COUNTERS))
-        more = reduce(lambda a, b: a + b, (at.isin(s).cast("int") for s in sets[1:]), F.lit(64))
-        return F.when(at.isin(sets[0]), more).otherwise(by_length)
+    steps = [n * 2**k / COMMON for k in range(12)]
+    sets = [[str(r["at"]) for r in common if r["n"] >= s] for s in steps]
+    sets = [", ".join(s) for s in sets if s]
+
+    # As SQL text, for the sets can be long.
+    at = f"cast(pmod(xxhash64(w), {COUNTERS}) as int)"
+    by_length = "63 - least(length(w), 63)"
+    more = " + ".join(["64", *(f"cast({at} in ({s}) as int)" for s in sets[1:])])
+    rank = f"case when {at} in ({sets[0]}) then {more} else {by_length} end" if sets else by_length
 
     return rank
 
 
-def prefixes(lines: DataFrame, rank) -> DataFrame:
+def prefixes(lines: DataFrame, rank: str) -> DataFrame:
     """``word, place, shape``: the rarest words of every line.
 
     ``word`` has the rank in its upper bits and the hash below; ``shape`` is the number
     of words of the line and the word's place among them.
     """
 
-    def key(word: Column) -> Column:
-        hashed = F.xxhash64(word)
-        low = hashed.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
-        return F.shiftleft(rank(hashed, F.length(word)).cast("long"), _HASH_BITS).bitwiseOR(low)
-
-    words = F.filter(F.split("line", f"[{SPACES}]+"), lambda w: w != "")
-    keys = F.sort_array(F.array_distinct(F.transform(words, key)))
+    split = f"filter(split(line, '[{SPACES}]+'), w -> w != '')".replace("\\", "\\\\")
+    key = f"shiftleft(cast({rank} as bigint), {_HASH_BITS}) | (xxhash64(w) & {(1 << _HASH_BITS) - 1}L)"
+    keys = F.expr(f"sort_array(array_distinct(transform({split}, w -> {key})))")
     sized = lines.select("place", keys.alias("words")).withColumn("size", F.size("words"))
     # size - ceil(0.8 size) + SHARED, in whole numbers.
     length = F.col("size") - F.ceil(F.col("size") * 4 / 5).cast("int") + SHARED
@@ -145,8 +137,9 @@ def _candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
         & (5 * F.col("size_b") >= 4 * F.col("size_a"))
         & (rest + before >= _overlap("size_a", "size_b"))
     )
-    pairs = both.where(fits).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
-    return pairs.where(F.col("n") >= F.least(F.lit(SHARED), _overlap("size_a", "size_b")))
+    least = F.least(F.lit(SHARED), _overlap("size_a", "size_b")).cast("int")
+    pairs = both.where(fits).groupBy("a", "b", least.alias("least")).agg(F.count("*").alias("n"))
+    return pairs.where(F.col("n") >= F.col("least"))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
