@@ -20,6 +20,8 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -214,7 +216,7 @@ def repeated_windows(strings: list[bytes], match: int) -> list[np.ndarray]:
     return out
 
 
-ASKED = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binary"
+ASKED = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binary, e binary"
 _ASKED = [part.split()[0] for part in ASKED.split(", ")]
 
 
@@ -322,19 +324,28 @@ class Repeats:
                 for b, i, j in zip(range(n_buckets), cuts, cuts[1:]):
                     if i < j:
                         pairs = np.column_stack([one[first[i:j]], two[first[i:j]]])
-                        out.append((b, name, 0, packed(pairs), packed(counts[i:j]), packed(hashed[ends[i] : ends[j]]), None))
+                        out.append((b, name, 0, packed(pairs), packed(counts[i:j]), packed(hashed[ends[i] : ends[j]]), None, None))
             plain, key = starts[~odd], least[~odd]
             first, sizes = _runs(plain, key)
-            dealt: dict[int, dict[bytes, list[int]]] = {}
+            places_of: dict[int, list[int]] = {}
+            for place, k in zip(at.tolist(), keys.tolist()):
+                places_of.setdefault(k, []).append(place)
+            dealt: dict[int, dict[bytes, tuple[int, list[int]]]] = {}
             for begin, size, k in zip(plain[first].tolist(), sizes.tolist(), key[first].tolist()):
                 string = chunk.raw[begin : begin + size - 1 + match]
-                dealt.setdefault(k // 2 % n_buckets, {}).setdefault(string, []).append(begin)
+                # Odd if the anchor comes up more than once in the string.
+                known = places_of[k]
+                end = begin + size - 1 + match - chunk.gram
+                several = bisect_right(known, end) - bisect_left(known, begin) > 1
+                strings = dealt.setdefault(k // 2 % n_buckets, {})
+                strings.setdefault(string, (k | several, []))[1].append(begin)
             for b, strings in dealt.items():
-                places = np.array([p for some in strings.values() for p in some], np.int64)
-                counts = np.array([len(some) for some in strings.values()], np.int64)
+                places = np.array([p for _, some in strings.values() for p in some], np.int64)
+                counts = np.array([len(some) for _, some in strings.values()], np.int64)
+                owners = np.array([k for k, _ in strings.values()], np.uint64)
                 lengths = np.array([len(s) for s in strings], np.int64)
                 whole = np.frombuffer(b"".join(strings), np.uint8)
-                out.append((b, name, 1, packed(whole), packed(counts), packed(places), packed(lengths)))
+                out.append((b, name, 1, packed(whole), packed(counts), packed(places), packed(lengths), packed(owners)))
             return pd.DataFrame(out, columns=_ASKED)
 
         def answer(rows: pd.DataFrame) -> pd.DataFrame:
@@ -357,20 +368,29 @@ class Repeats:
                     if len(first):
                         out.append((chunk, packed(places[first]), packed(sizes)))
             owned: dict[bytes, list] = {}
+            anchor_of: dict[bytes, int] = {}
             for row in rows[rows["kind"] == 1].itertuples():
                 lengths = unpacked(row.d, np.int64)
                 whole, ends = unpacked(row.a, np.uint8).tobytes(), np.cumsum(lengths)
                 counts, places = unpacked(row.b, np.int64), unpacked(row.c, np.int64)
                 split = np.split(places, np.cumsum(counts)[:-1])
-                for begin, end, some in zip((ends - lengths).tolist(), ends.tolist(), split):
+                keys = unpacked(row.e, np.uint64).tolist()
+                for begin, end, some, k in zip((ends - lengths).tolist(), ends.tolist(), split, keys):
                     owned.setdefault(whole[begin:end], []).append((row.chunk, some))
+                    anchor_of[whole[begin:end]] = k
             if owned:
-                strings = sorted(owned)
+                # A string alone with its anchor shares windows with no other string.
+                strings_of = Counter(k // 2 for k in anchor_of.values())
+                compared = sorted(s for s, k in anchor_of.items() if k % 2 or strings_of[k // 2] > 1)
+                found = dict(zip(compared, repeated_windows(compared, match))) if compared else {}
                 marks: dict[int, list] = {}
-                for string, windows in zip(strings, repeated_windows(strings, match)):
-                    places = owned[string]
+                for string, places in owned.items():
                     if sum(len(some) for _, some in places) > 1:
-                        windows = np.ones(len(windows), bool)
+                        windows = np.ones(len(string) - match + 1, bool)
+                    elif string in found:
+                        windows = found[string]
+                    else:
+                        continue
                     hits = np.flatnonzero(windows)
                     first, sizes = _runs(hits, np.zeros(len(hits)))
                     for chunk, some in places:
