@@ -221,8 +221,8 @@ _ASKED = [part.split()[0] for part in ASKED.split(", ")]
 
 
 class Repeats:
-    def __init__(self, docs: DataFrame, match: int = MATCH):
-        self.match = match
+    def __init__(self, docs: DataFrame, match: int = MATCH, frequent: int = FREQUENT):
+        self.match, self.frequent = match, frequent
         self.names = docs.columns
         partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.n_buckets = BUCKETS_PER_PARTITION * partitions
@@ -256,7 +256,7 @@ class Repeats:
 
     def _found(self) -> DataFrame:
         """Runs of starts of repeated strings: per chunk, first starts and sizes."""
-        match, n_buckets = self.match, self.n_buckets
+        match, n_buckets, frequent = self.match, self.n_buckets, self.frequent
         texts = self.chunks.select("_chunk", _ROW, "text")
 
         def ask_anchors(rows: pd.DataFrame) -> pd.DataFrame:
@@ -280,7 +280,7 @@ class Repeats:
             counts = np.concatenate([unpacked(b, np.uint16) for b in rows["counts"]])
             distinct, owner = np.unique(np.concatenate(keys), return_inverse=True)
             totals = np.bincount(owner, counts, len(distinct))
-            status = (totals > 1).astype(np.uint8) + (totals > FREQUENT).astype(np.uint8)
+            status = (totals > 1).astype(np.uint8) + (totals > frequent).astype(np.uint8)
             parts = np.split(status[owner], np.cumsum([len(k) for k in keys])[:-1])
             return pd.DataFrame(
                 {"bucket": rows["bucket"], "chunk": rows["chunk"], "status": [packed(p) for p in parts]}
@@ -293,9 +293,9 @@ class Repeats:
         known = self._replied(asked, answer_anchors, schema, "repeats-anchors")
 
         def ask(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-            if not len(rows) or not len(replies):
-                return pd.DataFrame([], columns=_ASKED)
             chunk = Chunk(rows, match)
+            if not len(chunk.long):
+                return pd.DataFrame([], columns=_ASKED)
             name = int(rows["_chunk"].iloc[0])
             hashes = Hashes(chunk.data, 1)
             at, keys = chunk.anchors(hashes)
@@ -303,9 +303,9 @@ class Repeats:
             bucket = (distinct // np.uint64(2) % np.uint64(n_buckets)).astype(np.int64)
             status = np.empty(len(distinct), np.uint8)
             replies = replies.sort_values("bucket")
-            status[np.argsort(bucket, kind="stable")] = np.concatenate(
-                [unpacked(b, np.uint8) for b in replies["status"]]
-            )
+            known = [unpacked(b, np.uint8) for b in replies["status"]]
+            if known:
+                status[np.argsort(bucket, kind="stable")] = np.concatenate(known)
             starts, least = chunk.candidates(at, keys, status[owner])
             out = []
             odd = (least & np.uint64(1)).astype(bool)
@@ -458,7 +458,7 @@ class Repeats:
         return self._cover(handle, self.chunks, self.chunks.select(*names).schema)
 
 
-def repeated_bytes(docs: DataFrame, match: int = MATCH) -> DataFrame:
+def repeated_bytes(docs: DataFrame, match: int = MATCH, frequent: int = FREQUENT) -> DataFrame:
     """Counts of every row's repeated bytes, and the digest of the others.
 
     Takes ``doc_id`` and ``text``; other columns are ignored. A byte goes if a string
@@ -466,7 +466,7 @@ def repeated_bytes(docs: DataFrame, match: int = MATCH) -> DataFrame:
     nothing to remove; repeated rows repeat each other; a null doc_id stays null.
     """
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return Repeats(source, match).digests()
+    return Repeats(source, match, frequent).digests()
 
 
 def remove_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
