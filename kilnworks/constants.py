@@ -15,7 +15,6 @@ MAX_FILES = 500
 MAX_SWIFT_TIMINGS = 500
 MAX_DIAGNOSTICS = 500
 MAX_TESTS = 2000
-MAX_STEPS = 20_000
 
 # Row caps per build in a standard-detail activity summary.
 STANDARD_PHASES = 100

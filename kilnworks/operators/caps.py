@@ -29,7 +29,11 @@ def attempt_numbers(
 def step_ordinals(steps: DataFrame, position: str = "position") -> DataFrame:
     """W-5: 0-based place in start order, missing starts last, ties in log order."""
     order = [F.col("started_at").asc_nulls_last(), F.asc(position)]
-    kept = top_per_key(steps, BUILD, order, C.MAX_STEPS, "_place")
+    # Starts of one second, and by log order those without one, are counted together.
+    second = F.floor("started_at")
+    chunk = F.struct(second.isNull().alias("missing"), second.alias("second"),
+                     F.when(second.isNull(), line_chunk(position)).alias("part"))
+    kept = number_rows(steps, BUILD, order, "_place", chunk)
     return kept.withColumn("ordinal", (F.col("_place") - 1).cast("int")).drop("_place")
 
 

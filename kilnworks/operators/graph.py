@@ -250,6 +250,8 @@ def shortest_chains(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         found = arrived if found is None else found.unionByName(arrived)
         frontier = level.drop("_root").join(arrived, ["graph", "target"], "left_anti")
         seen = seen.unionByName(level.select("graph", "target", "_at"))
+    else:
+        raise ValueError("dependency chain too long")
     if found is None:
         found = frontier.select("graph", "target", "path").where(F.lit(False))
     return found.select("graph", "target", F.reverse("path").alias("path"))

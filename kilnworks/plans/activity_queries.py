@@ -353,11 +353,14 @@ def register(r: Registry) -> None:
            select build_key, name from v_results
            where build_key not in (select build_key from v_diagnostics)""",
     )
-    order = [F.desc("seconds"), F.asc("file"), F.asc("step_type"), F.asc_nulls_first("architecture")]
+
+    def order() -> list[Column]:
+        return [F.desc("seconds"), F.asc("file"), F.asc("step_type"), F.asc_nulls_first("architecture")]
+
     r.add(
         "standard_detail_files",
         lambda t: longs(
-            caps.standard_detail(activity.files(steps_of(t)), 2, order), "occurrences"
+            caps.standard_detail(activity.files(steps_of(t)), 2, order()), "occurrences"
         ).select("build_key", "file", "step_type", "architecture", "occurrences"),
         VIEWS,
         f"""with {RESULTS} select build_key, file, step_type, architecture, occurrences

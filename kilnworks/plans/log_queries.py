@@ -558,17 +558,16 @@ def _texts(r: Registry) -> None:
             "conv_id", "turn", redaction.redact_value(F.col("text")).alias("text")
         ),
     )
-    location = F.col("_l")
     r.add(
         "message_locations",
         lambda t: lines_of(t)
         .withColumn("_l", paths.location_in(F.col("line")))
-        .where(location.isNotNull())
+        .where(F.col("_l").isNotNull())
         .select(
             "log_id",
             "line_no",
-            location["file"].alias("file"),
-            location["line"].alias("line"),
+            F.col("_l.file").alias("file"),
+            F.col("_l.line").alias("line"),
         ),
         "v_lines",
         f"""with {LINES}, located as (select *, strpos(line, '.swift:') as p from lines

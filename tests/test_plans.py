@@ -46,3 +46,26 @@ def test_baselines_do_not_window_whole_projects(spark):
     plan = plan_of(regressions.previous_builds(table(spark, SF, "v_builds")))
     assert "_chunk" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_queries_register_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent)
+
+
+def test_steps_of_a_long_build_all_have_a_number(spark):
+    from kilnworks.operators import caps
+
+    steps = spark.range(20_050).select(
+        F.lit("b").alias("build_key"),
+        F.when(F.col("id") % 3 > 0, (F.col("id") % 500).cast("double") / 7).alias("started_at"),
+        F.col("id").alias("position"),
+    )
+    rows = sorted(caps.step_ordinals(steps).collect(), key=lambda r: r.ordinal)
+    assert [r.ordinal for r in rows] == list(range(20_050))
+    keys = [(r.started_at is None, r.started_at or 0, r.position) for r in rows]
+    assert keys == sorted(keys)
