@@ -1,15 +1,14 @@
 """Line dedup by an exact set-similarity join on the lines' words.
 
-Equal lines are one from the start. The words of a line are ordered by rarity: words in
-a larger share of lines come later, and below the smallest share that is counted,
-longer words count as rarer. Any order that is the same for all lines gives the same
-result; this one keeps common words out of the prefixes. Two lines with Jaccard
-similarity of SIMILARITY or more share at least SHARED words among their prefixes, so
-lines are joined on prefix words only, filtered by length and by the words' positions,
-and verified.
-
-The join runs twice. At first each line meets only the earliest line of every prefix
-word, which settles the many variants of a line without pairing them with each other.
+Equal lines are one from the start. The words of a line are ordered by rarity: by their
+count on a logarithmic scale, then by hash. Any order that is the same for all lines
+gives the same result; this one keeps common words out of the prefixes. Two lines with
+Jaccard similarity of SIMILARITY or more share at least SHARED words among their
+prefixes, so lines are joined on prefix words only, filtered by length and by the words'
+positions, and verified.
+
+The join runs twice. At first each line meets the earliest line of its HEAD rarest
+words, which settles the many variants of a line without pairing them with each other.
 Lines not settled then meet all earlier lines.
 """
 
@@ -23,9 +22,10 @@ from .common import SPACES, stored, stored_by
 # Jaccard similarity from which lines count as the same: 4 / 5.
 SIMILARITY = 0.8
 SHARED = 3
-# Words are counted by hash in so many buckets; a bucket is common from a share of one
-# line in COMMON on. At most COMMON times the mean number of words in a line are.
-COUNTERS, COMMON = 1 << 18, 2048
+# Words are counted by hash in so many buckets; STEPS ranks to a doubling of the count.
+COUNTERS, STEPS = 1 << 18, 2.6
+# In the first pass AGREED of the HEAD rarest words must have the same earliest line.
+HEAD, AGREED = 5, 2
 _NO_ID = -(1 << 63)
 _HASH_BITS = 56
 
@@ -78,41 +78,85 @@ def distinct_lines(docs: DataFrame, places: Places) -> DataFrame:
     return lines.groupBy("line").agg(F.min("place").alias("place")).select("place", "line")
 
 
-def _rarity(lines: DataFrame) -> str:
-    """SQL for the rank of a word ``w``, 0 to 127, rare first."""
-    n = lines.count()
-    words = lines.select(F.explode(F.split("line", f"[{SPACES}]+")).alias("word"))
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).alias("at")).agg(F.count("*").alias("n"))
-    common = counts.where(F.col("n") * COMMON >= n).collect()
-    steps = [n * 2**k / COMMON for k in range(12)]
-    sets = [[str(r["at"]) for r in common if r["n"] >= s] for s in steps]
-    sets = [", ".join(s) for s in sets if s]
+def _counter(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
 
-    # As SQL text, for the sets can be long.
-    at = f"cast(pmod(xxhash64(w), {COUNTERS}) as int)"
-    by_length = "63 - least(length(w), 63)"
-    more = " + ".join(["64", *(f"cast({at} in ({s}) as int)" for s in sets[1:])])
-    rank = f"case when {at} in ({sets[0]}) then {more} else {by_length} end" if sets else by_length
 
-    return rank
+def _rarity(lines: DataFrame) -> bytearray:
+    """The rank of every counter, 0 to 127, rare first; 0 only for a word found once."""
+    words = lines.select(F.explode(F.split("line", f"[{SPACES}]+")).alias("word"))
+    counts = words.groupBy(_counter(F.xxhash64("word")).alias("at")).agg(F.count("*").alias("n"))
+    rank = F.least(F.floor(F.log2("n") * STEPS), F.lit(127)).cast("long")
+    # A fixed number of counters, whatever the input.
+    by_part = counts.groupBy((F.col("at") % 64).alias("part")).agg(
+        F.collect_list(F.shiftleft(F.col("at").cast("long"), 7).bitwiseOR(rank)).alias("ranks")
+    )
+    ranks = bytearray(COUNTERS)
+    for row in by_part.collect():
+        for coded in row["ranks"]:
+            ranks[coded >> 7] = coded & 127
+    return ranks
 
 
-def prefixes(lines: DataFrame, rank: str) -> DataFrame:
-    """``word, place, shape``: the rarest words of every line.
+def prefixes(lines: DataFrame, ranks: bytearray) -> DataFrame:
+    """``place, size, words``: the rarest words of every line, rarest first.
 
-    ``word`` has the rank in its upper bits and the hash below; ``shape`` is the number
-    of words of the line and the word's place among them.
+    A word has its rank in the upper bits and its hash below; ``size`` is the number
+    of words of the line.
     """
+    table = F.lit(bytes(ranks))
 
-    split = f"filter(split(line, '[{SPACES}]+'), w -> w != '')".replace("\\", "\\\\")
-    key = f"shiftleft(cast({rank} as bigint), {_HASH_BITS}) | (xxhash64(w) & {(1 << _HASH_BITS) - 1}L)"
-    keys = F.expr(f"sort_array(array_distinct(transform({split}, w -> {key})))")
+    def key(hashed: Column) -> Column:
+        rank = F.ascii(F.substring(table, _counter(hashed) + 1, F.lit(1)).cast("string"))
+        low = hashed.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
+        return F.shiftleft(rank.cast("long"), _HASH_BITS).bitwiseOR(low)
+
+    words = F.filter(F.split("line", f"[{SPACES}]+"), lambda w: w != "")
+    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    keys = F.sort_array(F.array_distinct(F.transform(hashes, key)))
     sized = lines.select("place", keys.alias("words")).withColumn("size", F.size("words"))
     # size - ceil(0.8 size) + SHARED, in whole numbers.
     length = F.col("size") - F.ceil(F.col("size") * 4 / 5).cast("int") + SHARED
-    rows = sized.select("place", "size", F.posexplode(F.slice("words", F.lit(1), length)).alias("at", "word"))
+    return sized.select("place", "size", F.slice("words", F.lit(1), length).alias("words"))
+
+
+def _may_match(table: DataFrame) -> DataFrame:
+    """Lines with as many words that occur twice or more as a similar line must share."""
+    least = F.least(F.lit(SHARED), F.ceil(F.col("size") * 4 / 5))
+    return table.where(F.size(F.filter("words", _repeated)) >= least)
+
+
+def _repeated(word: Column) -> Column:
+    return F.shiftright(word, _HASH_BITS) > 0
+
+
+def _short(word: Column) -> Column:
+    """Enough of the hash to join on; words that fall together only add candidates."""
+    return word.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+
+
+def _rows(table: DataFrame) -> DataFrame:
+    """``word, code, shape``: prefix words that other lines may have too.
+
+    ``code`` is the place of a line that is open, else -1 less the place; ``shape`` is
+    the size of the line and the word's place in it.
+    """
+    rows = _may_match(table).select("code", "size", F.posexplode("words").alias("at", "word"))
     shape = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
-    return rows.select("word", "place", shape.alias("shape"))
+    # Told here, for the join would tell it of one side alone, and both would be shuffled.
+    rows = rows.where(_repeated(F.col("word")) & F.col("code").isNotNull())
+    return rows.select(_short(F.col("word")).alias("word"), "code", shape.alias("shape"))
+
+
+def _led(table: DataFrame) -> DataFrame:
+    """Pairs of a line and the earliest line of AGREED of its rarest words."""
+    heads = table.select("place", "size", F.explode(F.slice("words", 1, HEAD)).alias("word"))
+    heads = heads.where(_repeated(F.col("word"))).withColumn("word", _short(F.col("word")))
+    first = heads.groupBy("word").agg(F.min("place").alias("lead"))
+    least = F.least(F.lit(AGREED), F.col("size"))
+    led = heads.join(first, "word").where(F.col("place") > F.col("lead"))
+    led = led.groupBy(F.col("place").alias("a"), F.col("lead").alias("b"), least.alias("least"))
+    return led.agg(F.count("*").alias("n")).where(F.col("n") >= F.col("least"))
 
 
 def _overlap(size: str, size_2: str) -> Column:
@@ -120,15 +164,20 @@ def _overlap(size: str, size_2: str) -> Column:
     return F.ceil((F.col(size) + F.col(size_2)) * 4 / 9)
 
 
-def _candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Pairs of places that pass the filters. Both sides are prefix rows."""
-    a = later.select("word", F.col("place").alias("a"), F.col("shape").alias("shape_a"))
-    b = earlier.select("word", F.col("place").alias("b"), F.col("shape").alias("shape_b"))
-    both = a.join(b, ["word"]).where(F.col("a") > F.col("b"))
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Pairs of an open line and an earlier line that pass the filters.
+
+    Both sides of the join have the same columns, so one shuffle serves both.
+    """
+    both = rows.alias("l").join(rows.alias("r"), "word")
+    place = F.when(F.col("r.code") < 0, -1 - F.col("r.code")).otherwise(F.col("r.code"))
+    both = both.where(F.col("l.code") > place)
     low = F.lit((1 << 32) - 1)
-    both = both.withColumns(
-        {f"size_{x}": F.shiftright(f"shape_{x}", 32) for x in "ab"}
-        | {f"at_{x}": F.col(f"shape_{x}").bitwiseAND(low) for x in "ab"}
+    both = both.select(
+        F.col("l.code").alias("a"),
+        place.alias("b"),
+        *(F.shiftright(f"{x}.shape", 32).alias(f"size_{y}") for x, y in ("la", "rb")),
+        *(F.col(f"{x}.shape").bitwiseAND(low).alias(f"at_{y}") for x, y in ("la", "rb")),
     )
     rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
     before = F.least("at_a", "at_b")
@@ -156,21 +205,12 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def similar_to_earlier(lines: DataFrame) -> DataFrame:
     """Places of distinct lines that are similar to an earlier one."""
-    rows = stored(prefixes(lines, _rarity(lines)), "line-prefixes")
-    first = rows.groupBy("word").agg(F.min("place").alias("lead"), F.count("*").alias("n"))
-    # A word of one line makes no pair.
-    rows = stored(rows.join(first.where("n > 1").drop("n"), "word"), "line-shared")
-    # A similar line has at least 0.8 times as many words.
-    least = F.least(F.lit(SHARED), F.ceil(F.shiftright("shape", 32) * 4 / 5))
-    led = rows.where(F.col("place") > F.col("lead")).groupBy(
-        F.col("place").alias("a"), F.col("lead").alias("b"), least.alias("least")
-    )
-    led = led.agg(F.count("*").alias("n")).where(F.col("n") >= F.col("least"))
-    settled = stored(_verified(led, lines), "line-settled")
-    # The lead itself has no earlier line with the word.
-    open_rows = rows.where(F.col("place") > F.col("lead"))
-    open_rows = open_rows.join(settled, F.col("place") == F.col("a"), "left_anti")
-    others = _verified(_candidates(open_rows, rows), lines)
+    table = stored(prefixes(lines, _rarity(lines)), "line-prefixes")
+    settled = stored(_verified(_led(table), lines), "line-settled")
+    joined = table.join(settled, F.col("place") == F.col("a"), "left")
+    code = F.when(F.col("a").isNull(), F.col("place")).otherwise(-1 - F.col("place"))
+    marked = joined.withColumn("code", code.cast(table.schema["place"].dataType))
+    others = _verified(_candidates(_rows(marked)), lines)
     return settled.union(others)
 
 
