@@ -1,4 +1,7 @@
-"""Numbering and per-build row caps of a stored document (W-1, W-5, W-12 to W-15)."""
+"""Numbering and per-build row caps of a stored document (W-1, W-5, W-12 to W-15).
+
+A cap is always the caller's; no other operator applies one.
+"""
 
 from __future__ import annotations
 
@@ -54,29 +57,29 @@ def keep_slowest(
     return first.select(*BUILD, *key, "_row.*").select(*rows.columns)
 
 
-def keep_targets(targets: DataFrame, limit: int = C.MAX_TARGETS_LOCAL) -> DataFrame:
+def keep_targets(targets: DataFrame, limit: int) -> DataFrame:
     return keep_slowest(targets, limit, ["name"], ties=["name", "category"])
 
 
-def keep_phases(phases: DataFrame) -> DataFrame:
-    return keep_slowest(phases, C.MAX_PHASES, ["name"])
+def keep_phases(phases: DataFrame, limit: int) -> DataFrame:
+    return keep_slowest(phases, limit, ["name"])
 
 
-def keep_files(files: DataFrame) -> DataFrame:
+def keep_files(files: DataFrame, limit: int) -> DataFrame:
     return keep_slowest(
         files,
-        C.MAX_FILES,
+        limit,
         ["file", "architecture"],
         ties=["file", "step_type", "architecture"],
     )
 
 
-def keep_swift_timings(timings: DataFrame) -> DataFrame:
+def keep_swift_timings(timings: DataFrame, limit: int) -> DataFrame:
     key = ["kind", "file", "line", "column_number"]
-    return keep_slowest(timings, C.MAX_SWIFT_TIMINGS, key, value="milliseconds")
+    return keep_slowest(timings, limit, key, value="milliseconds")
 
 
-def keep_tests(tests: DataFrame, position: str = "position", limit: int = C.MAX_TESTS) -> DataFrame:
+def keep_tests(tests: DataFrame, limit: int, position: str = "position") -> DataFrame:
     """W-13: tests with a run that did not pass come first, then first appearance;
     the runs of one test stay together."""
     per_test = tests.groupBy(*BUILD, "suite", "name").agg(
@@ -90,7 +93,7 @@ def keep_tests(tests: DataFrame, position: str = "position", limit: int = C.MAX_
     return placed.drop("_bad", "_first")
 
 
-def keep_diagnostics(diagnostics: DataFrame, limit: int = C.MAX_DIAGNOSTICS) -> DataFrame:
+def keep_diagnostics(diagnostics: DataFrame, limit: int) -> DataFrame:
     """W-14."""
     return top_per_key(diagnostics, BUILD, [F.asc("fingerprint")], limit)
 

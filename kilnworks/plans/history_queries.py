@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..operators import caps, history, regressions, retention, verdict
 from ..sources import store
 from .registry import Registry, day_text, longs, rounded
@@ -700,7 +701,7 @@ def _numbering(r: Registry) -> None:
     )
     r.add(
         "capped_files",
-        lambda t: caps.keep_files(t.files).select("build_key", "file", "architecture"),
+        lambda t: caps.keep_files(t.files, C.MAX_FILES).select("build_key", "file", "architecture"),
         "v_files",
         """with kept as (select *, row_number() over (partition by build_key
              order by seconds desc, file, step_type, architecture) as n from v_files)
@@ -709,7 +710,7 @@ def _numbering(r: Registry) -> None:
     r.add(
         "capped_phases",
         lambda t: rounded(
-            caps.keep_phases(t.phases).select("build_key", "name", "seconds"), "seconds"
+            caps.keep_phases(t.phases, C.MAX_PHASES).select("build_key", "name", "seconds"), "seconds"
         ),
         "v_phases",
         """select build_key, name, round(seconds, 4) as seconds from v_phases
@@ -717,7 +718,7 @@ def _numbering(r: Registry) -> None:
     )
     r.add(
         "capped_swift_timings",
-        lambda t: caps.keep_swift_timings(t.swift).select(
+        lambda t: caps.keep_swift_timings(t.swift, C.MAX_SWIFT_TIMINGS).select(
             "build_key", "kind", "file", "line", "milliseconds"
         ),
         "v_swift",

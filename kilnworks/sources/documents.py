@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from .. import schemas
 from ..functions.activity import day_of
-from ..operators.caps import attempt_numbers, keep_files, keep_phases, keep_targets, keep_tests
+from ..operators.caps import attempt_numbers
 
 REQUIRED = (
     "wire_version",
@@ -156,15 +156,15 @@ def export_documents(
 ) -> DataFrame:
     """SRC-9: (build_key, document) with one JSON text per build.
 
-    Each list is capped before it is nested (W-12, W-13), so an array never outgrows
-    its document, however many rows a build has. Durations that are not finite are written as null, and null fields stay.
+    Lists are whole: a document holds every row of its build, in the order of W-12 and
+    the tests in log order. A caller who wants shorter lists caps them before (W-12,
+    W-13). Durations that are not finite are written as null, and null fields stay.
     """
     finite = F.when(
         ~F.isnan("total_seconds") & (F.abs("total_seconds") < F.lit(float("inf"))),
         F.col("total_seconds"),
     )
     keys = ["day", "build_key"]
-    targets, phases = keep_targets(targets), keep_phases(phases)
     joined = (
         builds.withColumn("total_seconds", finite)
         .join(
@@ -191,14 +191,13 @@ def export_documents(
     nested = ["targets", "phases"]
     if tests is not None:
         fields = ["suite", "name", "status", "seconds", "message"]
-        kept = keep_tests(tests)
-        joined = joined.join(_nested(kept, "tests", ["place"], fields), keys, "left")
+        joined = joined.join(_nested(tests, "tests", ["position"], fields), keys, "left")
         nested.append("tests")
     if files is not None:
         fields = ["file", "seconds", "target", "step_type", "architecture", "occurrences"]
-        slow = keep_files(files).withColumn("_slow", -F.col("seconds"))
+        slow = files.withColumn("_slow", -F.col("seconds"))
         joined = joined.join(
-            _nested(slow, "files", ["_slow", "file", "architecture"], fields), keys, "left"
+            _nested(slow, "files", ["_slow", "file", "step_type", "architecture"], fields), keys, "left"
         )
         nested.append("files")
     body = F.struct(

@@ -93,6 +93,35 @@ def ingest_documents(spark, root, texts):
     return store, keys.count()
 
 
+def test_exported_lists_are_whole(spark):
+    """More rows than any cap of W-12 and W-13 come back from the document."""
+    texts = ("build_key project category status machine_id build_user build_host "
+             "xcode_version platform architecture").split()
+    numbers = ["total_seconds", "cache_hit_rate", "started_at"]
+    counts = ["compiled_count", "error_count", "warning_count"]
+    builds = spark.range(1).select(
+        F.lit("2024-03-01").cast("date").alias("day"),
+        *(F.lit("a").alias(c) for c in texts),
+        *(F.lit(2.0).alias(c) for c in numbers),
+        *(F.lit(1).alias(c) for c in counts),
+    )
+    sizes = {"targets": 150, "phases": 80, "tests": 2100, "files": 700}
+    keyed = {n: spark.range(k).select(
+        F.lit("2024-03-01").cast("date").alias("day"), F.lit("a").alias("build_key"),
+        F.format_string("n%05d", "id").alias("name"), F.col("id").cast("double").alias("seconds"),
+        F.col("id").cast("int").alias("position"), F.lit("x").alias("category"),
+        F.lit(False).alias("fetched_from_cache"), F.lit(1).alias("compiled_count"),
+        F.lit("S").alias("suite"), F.lit("passed").alias("status"), F.lit("m").alias("message"),
+        F.format_string("f%05d", "id").alias("file"), F.lit("t").alias("target"),
+        F.lit("swift").alias("step_type"), F.lit("arm64").alias("architecture"),
+        F.lit(1).alias("occurrences"),
+    ) for n, k in sizes.items()}
+    row = documents.export_documents(builds, **keyed).first()
+    body = json.loads(row.document)
+    assert {n: len(body[n]) for n in sizes} == sizes
+    assert body["files"][0]["file"] == "f00699" and body["tests"][0]["name"] == "n00000"
+
+
 def test_store_first_writer_attach_and_prune(spark, tmp_path):
     root = str(tmp_path / "h")
     texts = [
