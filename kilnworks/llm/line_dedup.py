@@ -196,10 +196,13 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     first = lines.select(F.col("place").alias("a"), F.col("line").alias("line_a"))
     second = lines.select(F.col("place").alias("b"), F.col("line").alias("line_b"))
     both = pairs.select("a", "b").join(first, "a").join(second, "b")
-    both = both.select("a", _words(F.col("line_a")).alias("x"), _words(F.col("line_b")).alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    both = both.withColumn("shared", shared)
-    similar = 9 * F.col("shared") >= 4 * (F.size("x") + F.size("y"))
+    words = F.struct(_words(F.col("line_a")).alias("x"), _words(F.col("line_b")).alias("y"))
+
+    def alike(p: Column) -> Column:
+        return 9 * F.size(F.array_intersect(p["x"], p["y"])) >= 4 * (F.size(p["x"]) + F.size(p["y"]))
+
+    # Bound to a name, the words are split once for all three uses.
+    similar = F.transform(F.array(words), alike)[0]
     return both.where(similar).select("a").distinct()
 
 
