@@ -148,7 +148,7 @@ def day_of(started: Column, today: Column | None = None) -> Column:
     fallback = F.current_date() if today is None else today
     usable = started.isNotNull() & ~F.isnan(started) & (started >= 0)
     usable = usable & (started < F.lit(float("inf")))
-    days = F.floor(F.when(usable, started) / F.lit(86400.0)).cast("int")
+    days = F.floor(F.when(usable, started) / F.lit(86400.0)).try_cast("int")
     return F.coalesce(F.date_from_unix_date(days), fallback)
 
 

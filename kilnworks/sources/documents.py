@@ -23,6 +23,8 @@ REQUIRED = (
     "targets",
     "phases",
 )
+# Starts from the year 10000 on are no clock's; no partition is made for them.
+START_LIMIT = 253_402_300_800.0
 DETAIL = ("files", "swift_timings", "steps", "diagnostics", "tests")
 
 
@@ -55,11 +57,14 @@ def refusal(doc: Column) -> Column:
         & (doc["status"].isNull() | doc["status"].isin(*C.BUILD_STATUSES))
         & F.forall(doc["targets"], lambda t: t["category"].isin(*C.BUILD_CATEGORIES))
     )
+    start = doc["started_at"]
+    impossible = (start >= START_LIMIT) & (start < F.lit(float("inf")))
     return (
         F.when(doc.isNull() | doc["_corrupt"].isNotNull(), F.lit("not a build document"))
         .when(missing | negative | ~known, F.lit("not a build document"))
         .when(doc["wire_version"] != C.WIRE_VERSION, F.lit("unsupported wire version"))
         .when(F.length(doc["build_key"]) == 0, F.lit("empty build key"))
+        .when(impossible, F.lit("start time out of range"))
     )
 
 

@@ -7,6 +7,7 @@ batch completes what an interrupted one left out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,7 +74,7 @@ def new_results(results: DataFrame, builds: DataFrame, stored_tests: DataFrame)
     once = placed.groupBy(*key).agg(
         F.min(F.struct("status", "seconds", "message")).alias("_row")
     )
-    return once.join(stored_tests.select(*key), key, "left_anti").select(
+    return unseen(once, stored_tests, key).select(
         *key[:-1], "_row.status", "_row.seconds", "_row.message", "attempt"
     )
 
@@ -114,15 +115,22 @@ class HistoryStore:
         )
 
     def insert(
-        self, builds: DataFrame, children: dict[str, DataFrame], arrival: str = "received_at"
+        self,
+        builds: DataFrame,
+        children: dict[str, DataFrame],
+        arrival: str = "received_at",
+        accepting: Callable[[DataFrame], None] | None = None,
     ) -> DataFrame:
         """SRC-8: store new builds with their rows; returns the accepted keys.
 
         Children first, the build row last: an interrupted insert is repeated
-        whole, and what it already wrote is recognised table by table.
+        whole, and what it already wrote is recognised table by table. ``accepting``
+        gets the accepted keys before anything is stored.
         """
         fresh, count = written(accepted(builds, self.read("builds"), arrival), "accepted")
         keys = fresh.select("day", "build_key")
+        if accepting:
+            accepting(keys)
         for table, rows in children.items():
             mine = rows.join(maybe_broadcast(keys, count), ["day", "build_key"], "left_semi")
             done = self.read(table).select("day", "build_key").distinct()

@@ -7,18 +7,22 @@ view of :mod:`kilnworks.operators.verdict`; late results need no update in place
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import constants as C
 from ..operators.verdict import stored_status
 from ..runtime import maybe_broadcast, written
 from ..sources import documents
 from ..sources.store import DAY_BOUND, HistoryStore, new_results
 
-CHANGES = "build_key string, change string, batch bigint"
+INTENTS = "day date, build_key string, run string, batch bigint"
+CHANGES = "day date, build_key string, change string, run string, batch bigint"
+REJECTS = "source string, value string, reason string, run string, batch bigint"
 RESULTS = (
     "build_key string, suite string, name string, status string, seconds double, "
     "message string, attempt int"
@@ -51,26 +55,48 @@ def result_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Ingest:
-    """Stores builds and results of a stream, with rejects and change messages."""
+    """Stores builds and results of a stream, with rejects and change messages.
+
+    Tables beside the store are partitioned by run and batch. A run is one checkpoint:
+    its id lies in the checkpoint folder, so streams that share a store, or a stream that
+    starts anew, never write over each other, and a repeated batch writes over its own
+    rows only.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
         self.store = HistoryStore(spark, root)
 
-    # Each batch is keyed by its number, so a replay overwrites its own rows only.
-
-    def _write_once(self, rows: DataFrame, table: str, batch: int) -> None:
-        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch").parquet(f"{self.root}/{table}")
-
-    def _announce(self, keys: DataFrame, change: str, batch: int, table: str) -> None:
-        self._write_once(
-            keys.select("build_key", F.lit(change).alias("change")).distinct(), table, batch
+    def _write(self, rows: DataFrame, table: str, batch: int, run: str, mode: str) -> None:
+        keyed = rows.withColumns({"run": F.lit(run), "batch": F.lit(batch)})
+        keyed.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(
+            "run", "batch"
+        ).parquet(f"{self.root}/{table}")
+
+    def _write_once(self, rows: DataFrame, table: str, batch: int, run: str) -> None:
+        self._write(rows, table, batch, run, "overwrite")
+
+    # What a batch is about to store is noted first. If the batch is cut off after the
+    # append, its repetition finds nothing new, but still announces what was noted.
+
+    def _intend(self, keys: DataFrame, kind: str, batch: int, run: str) -> None:
+        rows = keys.select("day", "build_key").distinct()
+        self._write(rows, f"intents_{kind}", batch, run, "append")
+
+    def _announce(self, kind: str, change: str, table: str, batch: int, run: str) -> None:
+        noted = self._read(f"intents_{kind}", INTENTS)
+        noted = noted.where((F.col("run") == run) & (F.col("batch") == batch))
+        there = self.store.read(table).select("day", "build_key")
+        days = maybe_broadcast(noted.select("day").distinct(), DAY_BOUND)
+        keys = noted.select("day", "build_key").distinct()
+        stored = keys.join(
+            there.join(days, "day", "left_semi"), ["day", "build_key"], "left_semi"
         )
+        message = stored.select("day", "build_key", F.lit(change).alias("change"))
+        self._write_once(message, f"changes_{kind}", batch, run)
 
-    def store_documents(self, batch_rows: DataFrame, batch: int) -> None:
+    def store_documents(self, batch_rows: DataFrame, batch: int, run: str = "") -> None:
         """ST-1, ST-2, ST-6, ST-7: validate, quarantine, shred, store, announce."""
         parsed, _ = written(
             documents.parse_documents(batch_rows, F.col("value")), "parsed"
@@ -79,13 +105,14 @@ class Ingest:
             documents.rejected_documents(parsed).select("source", "value", "reason"),
             "rejected",
             batch,
+            run,
         )
         good = documents.accepted_documents(parsed)
         usable = good.where(usable_document())
         refused = good.where(~usable_document()).select(
             "source", "value", F.lit("no usable measurements").alias("reason")
         )
-        self._write_once(refused, "refused", batch)
+        self._write_once(refused, "refused", batch, run)
         once = usable.groupBy("day", "build_key").agg(
             F.min_by(F.struct(*usable.columns), F.struct("received_at", "source", "value")).alias(
                 "_first"
@@ -93,44 +120,50 @@ class Ingest:
         )
         first, _ = written(once.select("_first.*"), "documents")
         builds = documents.build_rows(first, F.col("received_at"))
-        before = self.store.read("builds").select("build_key")
-        fresh, _ = written(
-            builds.select("build_key").join(before, "build_key", "left_anti"), "fresh"
-        )
-        # Announced first: a batch repeated after the append finds nothing new and
-        # leaves the message as it is.
-        self._announce(fresh, "stored", batch, "changes_builds")
-        self.store.insert(builds, documents.shred(first))
-
-    def store_results(self, batch_rows: DataFrame, batch: int) -> None:
-        """ST-3: attach results of known builds; park the others and retry them."""
-        parked = self.waiting(before=batch)
-        rows, _ = written(
-            batch_rows.select(*parked.columns).unionByName(parked).distinct(), "results"
+        self.store.insert(
+            builds,
+            documents.shred(first),
+            accepting=lambda keys: self._intend(keys, "builds", batch, run),
         )
+        self._announce("builds", "stored", "builds", batch, run)
+
+    def store_results(self, batch_rows: DataFrame, batch: int, run: str = "") -> None:
+        """ST-3: attach results of known builds; park the others and retry them.
+
+        A result without build, suite, name or status is rejected; without an attempt
+        it is the first. Parked rows are only ever added: a later batch of any run
+        attaches those whose build has come.
+        """
+        columns = [f.split()[0] for f in RESULTS.split(", ")]
+        rows = batch_rows.select(*columns).withColumn("attempt", F.coalesce("attempt", F.lit(1)))
+        whole = F.lit(True)
+        for name in ("build_key", "suite", "name", "status"):
+            whole = whole & F.col(name).isNotNull()
+        rows, _ = written(rows.distinct(), "results")
+        self._write_once(rows.where(~whole), "rejected_results", batch, run)
+        rows = rows.where(whole)
         builds = self.store.read("builds")
-        waiting, _ = written(
-            rows.join(builds.select("build_key"), "build_key", "left_anti"), "waiting"
-        )
+        parked = rows.join(builds.select("build_key"), "build_key", "left_anti")
+        self._write_once(parked, "parked_results", batch, run)
+        everything = rows.unionByName(self._parked()).distinct()
         attached, count = written(
-            new_results(rows, builds, self.store.read("build_tests")), "attached"
-        )
-        self._announce(attached, "results", batch, "changes_results")
-        self._write_once(waiting, "waiting_results", batch)
-        self._write_once(
-            self.spark.createDataFrame([(True,)], "done boolean"), "waiting_done", batch
+            new_results(everything, builds, self.store.read("build_tests")), "attached"
         )
+        self._intend(attached, "results", batch, run)
         if count:
             self.store.append(attached, "build_tests")
+        self._announce("results", "results", "build_tests", batch, run)
 
-    def waiting(self, before: int | None = None) -> DataFrame:
-        """Results whose build is not stored yet, as the last batch left them."""
-        done = self._read("waiting_done", "done boolean, batch bigint")
-        if before is not None:
-            done = done.where(F.col("batch") < before)
-        last = done.agg(F.max("batch").alias("batch"))
-        rows = self._read("waiting_results", RESULTS + ", batch bigint")
-        return rows.join(F.broadcast(last), "batch").drop("batch")
+    def _parked(self) -> DataFrame:
+        return self._read("parked_results", RESULTS + ", run string, batch bigint").drop(
+            "run", "batch"
+        )
+
+    def waiting(self) -> DataFrame:
+        """Results that came before their build and are not attached yet."""
+        key = ["build_key", "suite", "name", "attempt"]
+        stored = self.store.read("build_tests").select(*key)
+        return self._parked().distinct().join(stored, key, "left_anti")
 
     def _read(self, table: str, schema: str) -> DataFrame:
         path = f"{self.root}/{table}"
@@ -138,6 +171,10 @@ class Ingest:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
+    def rejects(self) -> DataFrame:
+        """ST-7: documents that were rejected or refused, with the reason."""
+        return self._read("rejected", REJECTS).unionByName(self._read("refused", REJECTS))
+
     def changes(self) -> DataFrame:
         """ST-5: one message per stored build or attached result set."""
         return self._read("changes_builds", CHANGES).unionByName(
@@ -145,7 +182,10 @@ class Ingest:
         )
 
     def change_stream(self, table: str = "changes_builds") -> DataFrame:
-        """ST-5: the change messages as a stream for other consumers."""
+        """ST-5: the change messages as a stream for other consumers.
+
+        A batch that is repeated after a failure may send its messages again.
+        """
         return self.spark.readStream.schema(CHANGES).parquet(f"{self.root}/{table}")
 
     def verdicts(self) -> DataFrame:
@@ -168,27 +208,51 @@ class Ingest:
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("day").parquet(f"{self.root}/panels/{name}")
 
+    def _run_id(self, checkpoint: str) -> str:
+        """The id of a checkpoint, made on its first start."""
+        path = f"{checkpoint}/run-id"
+        if not self.store._exists(f"{path}/_SUCCESS"):
+            fresh = self.spark.range(1).select(F.lit(uuid.uuid4().hex).alias("run"))
+            fresh.coalesce(1).write.mode("overwrite").text(path)
+        return "r" + self.spark.read.text(path).first()[0]
+
     def run(
         self,
         stream: DataFrame,
-        handler: Callable[[DataFrame, int], None],
+        handler: Callable[[DataFrame, int, str], None],
         name: str,
         once: bool = False,
     ) -> StreamingQuery:
-        writer = stream.writeStream.foreachBatch(handler).option(
-            "checkpointLocation", f"{self.root}/checkpoints/{name}"
-        )
+        checkpoint = f"{self.root}/checkpoints/{name}"
+        run = self._run_id(checkpoint)
+        writer = stream.writeStream.foreachBatch(
+            lambda rows, batch: handler(rows, batch, run)
+        ).option("checkpointLocation", checkpoint)
         if once:
             writer = writer.trigger(availableNow=True)
         return writer.start()
 
 
 def usable_document() -> Column:
-    """ST-7: a document with a measurement of real work."""
+    """ST-7: a document with a measurement of real work.
+
+    A clean action only sets up: it has no targets and files, compiled nothing, and all
+    its phases are known preparations. It is no build, however long it took.
+    """
     measured = (F.size("files") > 0) | (F.size("swift_timings") > 0)
-    return measured | (
-        F.col("total_seconds").isNotNull() & ((F.size("targets") > 0) | (F.size("phases") > 0))
+    bare = (F.size("targets") == 0) & (F.size("files") == 0) & (F.col("compiled_count") == 0)
+
+    def preparation(phase: Column) -> Column:
+        known = F.lit(False)
+        for title in C.SETUP_PHASES:
+            known = known | F.startswith(phase["name"], F.lit(title))
+        return F.coalesce(known, F.lit(False))
+
+    setup_only = bare & (F.size("phases") > 0) & F.forall("phases", preparation)
+    timed = F.col("total_seconds").isNotNull() & (
+        (F.size("targets") > 0) | (F.size("phases") > 0)
     )
+    return measured | (~setup_only & timed)
 
 
 def deduplicated_stream(builds: DataFrame, watermark: str = "10 minutes") -> DataFrame:

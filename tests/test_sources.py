@@ -212,6 +212,87 @@ def test_streams_quarantine_replay_and_late_results(spark, tmp_path):
     assert spark.read.parquet(f"{ingest.root}/panels/per_day").count() == 2
 
 
+def test_streams_keep_each_others_rows(spark, tmp_path):
+    """Two sources, both at batch 0, with the same key on two days and bad input."""
+    first, second = tmp_path / "one", tmp_path / "two"
+    first.mkdir()
+    second.mkdir()
+    clean = {"tests": []}
+    only_setup = {
+        "targets": [], "steps": [], "tests": [], "compiled_count": 0,
+        "phases": [{"name": "Prepare clean", "seconds": 9.0}],
+    }
+    (first / "1.json").write_text(
+        "\n".join([document("a", **clean), "{bad1", document("setup", **only_setup)])
+    )
+    (second / "1.json").write_text(
+        "\n".join(
+            [
+                document("a", started_at=START + DAY * 3, **clean),
+                document("late", started_at=1e15, **clean),
+                document("later", started_at=1e300, **clean),
+                document("mixed", **{**only_setup, "compiled_count": 1}),
+                "{bad2",
+            ]
+        )
+    )
+    ingest = Ingest(spark, str(tmp_path / "h"))
+    for path in (first, second):
+        stream = document_stream(spark, str(path))
+        ingest.run(stream, ingest.store_documents, path.name, once=True).awaitTermination()
+    messages = sorted((str(r.day), r.build_key) for r in ingest.changes().collect())
+    assert messages == [("2023-11-14", "a"), ("2023-11-14", "mixed"), ("2023-11-17", "a")]
+    assert len({r.run for r in ingest.changes().collect()}) == 2
+    rejects = sorted((r.reason, r.value[:5]) for r in ingest.rejects().collect())
+    assert [reason for reason, _ in rejects] == [
+        "no usable measurements",
+        "not a build document",
+        "not a build document",
+        "start time out of range",
+        "start time out of range",
+    ]
+    assert {value for _, value in rejects if value.startswith("{bad")} == {"{bad1", "{bad2"}
+
+
+def test_a_repeated_batch_announces_what_it_had_stored(spark, tmp_path):
+    ingest = Ingest(spark, str(tmp_path / "h"))
+    rows = spark.createDataFrame(
+        [(document("a"), "s")], "value string, source string"
+    ).withColumn("received_at", F.timestamp_seconds(F.lit(START)))
+    announce, ingest._announce = ingest._announce, lambda *_: None
+    ingest.store_documents(rows, 0, "r1")
+    assert ingest.changes().count() == 0
+    ingest._announce = announce
+    for _ in range(2):
+        ingest.store_documents(rows, 0, "r1")
+        assert [(r.build_key, r.change) for r in ingest.changes().collect()] == [("a", "stored")]
+
+
+def test_parked_results_outlive_their_run(spark, tmp_path):
+    ingest = Ingest(spark, str(tmp_path / "h"))
+    schema = ("build_key string, suite string, name string, status string, "
+              "seconds double, message string, attempt int")
+
+    def results(*keys):
+        return spark.createDataFrame([(k, "S", "t", "passed", 1.0, None, 1) for k in keys], schema)
+
+    broken = spark.createDataFrame([("c", None, "t", "passed", 1.0, None, None)], schema)
+    ingest.store_results(results("c").unionByName(broken), 0, "r1")
+    ingest.store_results(results("d"), 0, "r2")
+    assert sorted(r.build_key for r in ingest.waiting().collect()) == ["c", "d"]
+    assert spark.read.parquet(f"{ingest.root}/rejected_results").count() == 1
+    rows = spark.createDataFrame(
+        [(document("c", tests=[]), "s")], "value string, source string"
+    ).withColumn("received_at", F.timestamp_seconds(F.lit(START)))
+    ingest.store_documents(rows, 0, "docs")
+    for batch in (0, 1):
+        ingest.store_results(results(), batch, "r3")
+        assert [r.build_key for r in ingest.waiting().collect()] == ["d"]
+        assert ingest.store.read("build_tests").count() == 1
+    changes = sorted((r.build_key, r.change) for r in ingest.changes().collect())
+    assert changes == [("c", "results"), ("c", "stored")]
+
+
 def test_backlog_is_skipped(spark, tmp_path):
     incoming = tmp_path / "in"
     incoming.mkdir()
