@@ -9,7 +9,7 @@ from ..functions import redaction
 from ..operators import compare, regressions
 from ..runtime import scratch_path
 from ..sources import documents, inventory, manifests, providers, reports, store
-from ..streaming.ingest import Ingest, deduplicated_stream, document_stream
+from ..streaming.ingest import Ingest, deduplicated_stream, document_stream, result_stream
 from .history_queries import BASELINE
 from .registry import Registry, Tables, day_text, longs
 
@@ -150,11 +150,70 @@ def log_files(t: Tables) -> DataFrame:
     )
 
 
-def quarter_documents(t: Tables) -> DataFrame:
+def quarter_documents(t: Tables, builds: DataFrame | None = None, tests: bool = True) -> DataFrame:
     """Documents whose builds start at the beginning of their quarter."""
     start = F.unix_micros(F.date_trunc("quarter", "received_at")) / F.lit(1e6)
-    builds = t.builds.withColumn("started_at", start)
-    return documents.export_documents(builds, t.targets, t.phases, t.results)
+    builds = (t.builds if builds is None else builds).withColumn("started_at", start)
+    return documents.export_documents(builds, t.targets, t.phases, t.results if tests else None)
+
+
+def _ingest_texts(ingest: Ingest, texts: DataFrame, name: str) -> None:
+    source = scratch_path(ingest.spark, "incoming")
+    texts.select("document").write.text(source)
+    stream = document_stream(ingest.spark, source)
+    ingest.run(stream, ingest.store_documents, name, once=True).awaitTermination()
+
+
+def two_sources(t: Tables) -> Ingest:
+    """Clean builds and all others arrive by two streams into one store."""
+    ingest = Ingest(t.spark, scratch_path(t.spark, "history"))
+    clean = F.col("category") == "clean"
+    for name, part in (("clean", t.builds.where(clean)), ("other", t.builds.where(~clean))):
+        _ingest_texts(ingest, quarter_documents(t, part), name)
+    return ingest
+
+
+def damaged_stream(t: Tables) -> Ingest:
+    ingest = Ingest(t.spark, scratch_path(t.spark, "history"))
+    _ingest_texts(ingest, damaged(t), "damaged")
+    return ingest
+
+
+def late_results(t: Tables) -> Ingest:
+    """Failures come before the documents, by a stream of their own; the rest after."""
+    ingest = Ingest(t.spark, scratch_path(t.spark, "history"))
+    columns = ["build_key", "suite", "name", "status", "seconds", "message", "attempt"]
+    failed = F.col("status") == "failed"
+    for name, part in (("early", t.tests.where(failed)), ("late", t.tests.where(~failed))):
+        source = scratch_path(t.spark, "results")
+        part.select(*columns).write.json(source)
+        stream = result_stream(t.spark, source)
+        ingest.run(stream, ingest.store_results, name, once=True).awaitTermination()
+        if name == "early":
+            _ingest_texts(ingest, quarter_documents(t, tests=False), "documents")
+    return ingest
+
+
+def result_states(t: Tables) -> DataFrame:
+    ingest = late_results(t)
+    columns = ["build_key", "suite", "name", "status", "attempt"]
+    attached = ingest.store.read("build_tests").select(*columns, F.lit("attached").alias("state"))
+    waiting = ingest.waiting().select(*columns, F.lit("waiting").alias("state"))
+    return attached.unionByName(waiting)
+
+
+def refreshed_panel(t: Tables) -> DataFrame:
+    """Builds by day, rebuilt after each of two streams for the days it touched."""
+    ingest = two_sources(t)
+    messages = ingest.changes()
+
+    def per_day(builds: DataFrame) -> DataFrame:
+        return builds.groupBy("day").agg(F.count(F.lit(1)).alias("builds"))
+
+    for row in messages.select("run").distinct().collect():
+        touched = messages.where(F.col("run") == row["run"])
+        ingest.refresh_panel("per_day", per_day, touched)
+    return t.spark.read.schema("builds bigint, day date").parquet(f"{ingest.root}/panels/per_day")
 
 
 def ingested_stream(t: Tables, runs: int = 1) -> Ingest:
@@ -505,3 +564,41 @@ def _streams(r: Registry) -> None:
         "v_builds",
         "select build_key from v_builds",
     )
+    r.add(
+        "stream_two_sources_changes",
+        lambda t: two_sources(t).changes().select("build_key", "change"),
+        "v_builds v_targets",
+        """select build_key, 'stored' as change from v_builds
+           where build_key in (select build_key from v_targets)""",
+    )
+    r.add(
+        "stream_rejected",
+        lambda t: damaged_stream(t).rejects().groupBy("reason").agg(
+            F.count(F.lit(1)).alias("documents")
+        ),
+        "v_builds v_targets",
+        """select reason, count(*) as documents from (
+             select case when project = '1-URGENT' then 'not a build document'
+               when project = '2-HIGH' then 'unsupported wire version'
+               when project = '3-MEDIUM' then 'empty build key'
+               when project = '5-LOW' and status = 'failed' then 'not a build document'
+               when build_key not in (select build_key from v_targets)
+               then 'no usable measurements' end as reason from v_builds)
+           where reason is not null group by reason""",
+    )
+    r.add(
+        "stream_late_results",
+        lambda t: longs(result_states(t), "attempt"),
+        "v_builds v_tests v_targets",
+        """select build_key, suite, name, status, cast(attempt as bigint) as attempt,
+             case when build_key in (select build_key from v_targets) then 'attached'
+               else 'waiting' end as state from v_tests""",
+    )
+    r.add(
+        "stream_panel",
+        lambda t: day_text(refreshed_panel(t)),
+        "v_builds v_targets",
+        """select cast(cast(date_trunc('quarter', received_at) as date) as varchar) as day,
+             count(*) as builds from v_builds
+           where build_key in (select build_key from v_targets) group by 1""",
+    )
