@@ -210,51 +210,40 @@ def by_name(nodes: DataFrame) -> DataFrame:
 def shortest_chains(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """GR-6: for every target the shortest chain from the nearest root, root first.
 
-    One breadth-first search upward for all targets at once. Among equal chains
-    the one that is smallest when read from the target up is kept, which is what
-    a queue in node order gives. A target stops at its first level with a root.
-    Targets that are roots, or that no root reaches, have no row.
+    One breadth-first search down from all roots at once, with one row per target: its
+    smallest root at the least distance, and the smallest parent one step nearer to
+    that root. Among equal chains this is the one that is smallest when read from the
+    target up, which is what a queue in node order gives. Targets that are roots, or
+    that no root reaches, have no row.
     """
-    up = pairs.select("graph", F.col("dst").alias("_at"), F.col("src").alias("_above"))
-    up, _ = written(up, "up")
-    tops, _ = written(roots(nodes, pairs).withColumnRenamed("node", "_at"), "roots")
-    marked = tops.withColumn("_root", F.lit(True))
-    start = up.select("graph", F.col("_at").alias("target")).distinct()
-    frontier = start.select(
-        "graph", "target", F.col("target").alias("_at"), F.array("target").alias("path")
+    down, _ = written(pairs.select("graph", F.col("src").alias("_above"), "dst"), "down")
+    start = roots(nodes, pairs).select(
+        "graph",
+        F.col("node").alias("target"),
+        F.col("node").alias("_root"),
+        F.array("node").alias("path"),
     )
-    seen = start.select("graph", "target", F.col("target").alias("_at"))
-    found = None
-    for _ in range(MAX_ROUNDS):
-        stepped = (
-            frontier.join(up, ["graph", "_at"])
-            .select(
-                "graph",
-                "target",
-                F.col("_above").alias("_at"),
-                F.array_append("path", F.col("_above")).alias("path"),
-            )
-            .groupBy("graph", "target", "_at")
-            .agg(F.min("path").alias("path"))
-            .join(seen, ["graph", "target", "_at"], "left_anti")
-            .join(marked, ["graph", "_at"], "left")
+    level, count = written(start, "chain-level")
+    seen = level.select("graph", F.col("target").alias("dst"))
+    found = level.where(F.lit(False))
+    # Each round reaches targets that were not seen before, so the search ends.
+    while count:
+        above = level.withColumnRenamed("target", "_above")
+        best = (
+            above.select("graph", "_above", "_root")
+            .join(down, ["graph", "_above"])
+            .groupBy("graph", "dst")
+            .agg(F.min(F.struct("_root", "_above")).alias("_best"))
+            .join(seen, ["graph", "dst"], "left_anti")
+            .select("graph", F.col("dst").alias("target"), F.col("_best._above").alias("_above"))
         )
-        level, count = written(stepped, "chain-level")
-        if not count:
-            break
-        arrived = (
-            level.where("_root")
-            .groupBy("graph", "target")
-            .agg(F.min_by("path", "_at").alias("path"))
+        reached = best.join(above, ["graph", "_above"]).select(
+            "graph", "target", "_root", F.array_append("path", F.col("target")).alias("path")
         )
-        found = arrived if found is None else found.unionByName(arrived)
-        frontier = level.drop("_root").join(arrived, ["graph", "target"], "left_anti")
-        seen = seen.unionByName(level.select("graph", "target", "_at"))
-    else:
-        raise ValueError("dependency chain too long")
-    if found is None:
-        found = frontier.select("graph", "target", "path").where(F.lit(False))
-    return found.select("graph", "target", F.reverse("path").alias("path"))
+        level, count = written(reached, "chain-level")
+        found = found.unionByName(level)
+        seen = seen.unionByName(level.select("graph", F.col("target").alias("dst")))
+    return found.select("graph", "target", "path")
 
 
 def why_built(nodes: DataFrame, pairs: DataFrame, chains: DataFrame) -> DataFrame:
