@@ -34,17 +34,34 @@ def _words(line: Column) -> Column:
     return F.array_distinct(F.filter(F.split(line, f"[{SPACES}]+"), lambda w: w != ""))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``, different in every row, in order of doc_id, null first.
+
+    It is doc_id itself where no two rows share one. Else rows are numbered and stored:
+    those of one id, or of none, by the hash of their text.
+    """
+    doc = F.col("doc_id").cast("long")
+    counts = docs.groupBy(doc.alias("id")).agg(F.count("*").alias("n"))
+    if counts.where("n > 1").isEmpty():
+        return docs.withColumn("_key", doc)
+    # The place in the input spreads rows that are equal in all else.
+    placed = docs.withColumn("_at", F.monotonically_increasing_id())
+    placed = placed.orderBy(doc.asc_nulls_first(), F.xxhash64(F.col("text").cast("string")), "_at")
+    placed = placed.withColumn("_key", F.monotonically_increasing_id())
+    return stored(placed.select(*docs.columns, "_key"), "line-rows")
+
+
 class Places:
-    """One number for every line, in order of documents and then of lines.
+    """One number for every line, in order of rows' keys and then of lines.
 
-    It is a long if ids and line numbers of these documents fit into one, else a
-    decimal. Null ids come first.
+    It is a long if keys and line numbers of these rows fit into one, else a decimal.
+    A null key comes first.
     """
 
     def __init__(self, docs: DataFrame):
         breaks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
         least, most, lines = docs.agg(
-            F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long")), F.max(breaks)
+            F.min("_key"), F.max("_key"), F.max(breaks)
         ).first()
         least, most = (0, 0) if least is None else (least, most)
         self.width = (lines or 0) + 1
@@ -53,7 +70,7 @@ class Places:
         self.first = least - 1 if fits else _NO_ID - 1
 
     def document(self) -> Column:
-        wide = F.col("doc_id").cast("long").cast(self._step())
+        wide = F.col("_key").cast(self._step())
         return F.coalesce(wide - F.lit(self.first).cast(self._step()), F.lit(0).cast(self._step()))
 
     def _step(self) -> str:
@@ -72,7 +89,7 @@ class Places:
 def distinct_lines(docs: DataFrame, places: Places) -> DataFrame:
     """``place`` of the first occurrence, and ``line``, of every line with a word."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("no", "line"))
+    lines = docs.select("_key", F.posexplode(F.split(text, "\n")).alias("no", "line"))
     lines = lines.where(F.col("line").rlike(f"[^{SPACES}]"))
     lines = lines.select("line", places.of(F.col("no")).alias("place"))
     return lines.groupBy("line").agg(F.min("place").alias("place")).select("place", "line")
@@ -224,10 +241,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     similarity of 0.8 or more with its own, comes earlier: in an earlier line of the
     document or in a document of smaller doc_id, itself removed or not. Lines without a
     word stay. Adds ``n_lines`` and ``n_removed``; all other columns, whatever their
-    names, stay. A null text stays null; null ids come first. Rows with the same doc_id
-    are one document to this operator: lines of equal number tie, and equal ones stay
-    in each. No row goes.
+    names, stay. A null text stays null; null ids come first. Every row is a document of
+    its own: rows with the same doc_id, or without one, follow each other by the hash of
+    their text. No row goes.
     """
+    columns, docs = docs.columns, keyed(docs)
     places = Places(docs)
     lines = stored_by(distinct_lines(docs, places), "lines", "place")
     gone = similar_to_earlier(lines)
@@ -244,7 +262,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = F.array_join(F.transform("_places", lambda i: F.get("_lines", i)), "\n")
     n_lines = F.coalesce(F.size("_lines"), F.lit(0))
     return joined.select(
-        *(F.when(F.col("text").isNotNull(), text).alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        *(F.when(F.col("text").isNotNull(), text).alias("text") if c == "text" else F.col(c) for c in columns),
         F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(n_lines - F.size("_places"), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -226,6 +226,33 @@ def test_line_dedup_is_that_of_all_pairs(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_rows_without_an_id_of_their_own(spark):
+    rng = random.Random(6)
+    pool = [" ".join(rng.sample([f"v{i}" for i in range(40)], 10)) for _ in range(25)]
+    rows = [(None, "first of null\n" + pool[0]), (None, "another beginning\n" + pool[1]), (None, "x y z\n\nx y z")]
+    for doc in [None] * 8 + [7] * 15 + list(range(12)):
+        lines = [rng.choice(pool + ["", f"own line {rng.random()}"]) for _ in range(rng.randint(1, 6))]
+        lines = [re.sub("v3 ", "", x) if rng.random() < 0.3 else x for x in lines]
+        rows.append((doc, "\n".join(lines)))
+    rows += [rows[5], rows[5], (7, None), (7, None)]
+    tie = lambda text: xxhash.xxh64_intdigest(text, seed=42) if text is not None else 42
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    earlier, wanted = [], []
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(tie(r[1])))):
+        lines = [] if text is None else text.split("\n")
+        kept = []
+        for line in lines:
+            found = frozenset(WORD.findall(line))
+            if not found or not any(9 * len(found & e) >= 4 * (len(found) + len(e)) for e in earlier):
+                kept.append(line)
+            if found:
+                earlier.append(found)
+        wanted.append((str(doc), str(None if text is None else "\n".join(kept)), len(lines), len(lines) - len(kept)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = line_dedup.dedup_lines(docs).collect()
+    assert sorted((str(r.doc_id), str(r.text), r.n_lines, r.n_removed) for r in out) == sorted(wanted)
+
+
 def test_katz_sums_to_one_and_scores_as_by_hand(spark, odd):
     docs = documents(spark)
     rows = katz.score_documents(docs).collect()
