@@ -71,7 +71,7 @@ class Places:
 
     def document(self) -> Column:
         wide = F.col("_key").cast(self._step())
-        return F.coalesce(wide - F.lit(self.first).cast(self._step()), F.lit(0).cast(self._step()))
+        return F.coalesce(wide - F.lit(str(self.first)).cast(self._step()), F.lit(0).cast(self._step()))
 
     def _step(self) -> str:
         return "long" if self.kind == "long" else "decimal(25,0)"
@@ -83,6 +83,9 @@ class Places:
     def split(self, place: Column) -> tuple[Column, Column]:
         width = F.lit(self.width).cast("long" if self.kind == "long" else "decimal(12,0)")
         number = F.pmod(place, width)
+        if self.kind == "long":
+            # `/` divides doubles, which can fall short from 2^53 on.
+            return F.call_function("div", place, width), number.cast("int")
         return ((place - number) / width).cast(self._step()), number.cast("int")
 
 

@@ -253,6 +253,15 @@ def test_line_dedup_of_rows_without_an_id_of_their_own(spark):
     assert sorted((str(r.doc_id), str(r.text), r.n_lines, r.n_removed) for r in out) == sorted(wanted)
 
 
+@pytest.mark.parametrize("bits", [50, 55, 63])
+def test_line_dedup_keeps_the_lines_of_wide_ids(spark, bits):
+    rng = random.Random(1)
+    ids = {rng.randrange(-(1 << bits - 1), 1 << bits - 1) for _ in range(300)}
+    rows = [(i, "\n".join(f"w{rng.random()} w{rng.random()}" for _ in range(97))) for i in ids]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.text) for r in out.collect()} == set(rows)
+
+
 def test_katz_sums_to_one_and_scores_as_by_hand(spark, odd):
     docs = documents(spark)
     rows = katz.score_documents(docs).collect()
