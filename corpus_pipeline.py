@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from kilnworks.llm import line_dedup, packing, repeats, simhash, toxicity
 from kilnworks.llm.common import read, stored
 
+# Bytes of the shortest repeated passage that is taken out: over 50 words of prose.
+PASSAGE = 250
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
@@ -32,7 +35,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _recounted(repeats.remove_repeats(docs), docs.columns)
+    return _recounted(repeats.remove_repeats(docs, PASSAGE), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

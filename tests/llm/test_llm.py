@@ -424,3 +424,28 @@ def test_pipeline_stages(spark):
             assert out.count() <= docs.count()
         docs = out
     assert docs.agg({"length": "max"}).first()[0] <= packing.WINDOW
+
+
+def test_repeats_stage_takes_out_passages_of_over_fifty_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = ["of", "the", "kiln", "glaze", "fires", "potter", "and", "earthen", "in", "vessel"]
+    rows, wanted = [], []
+    for n in range(51, 66):
+        passage = " ".join(rng.choices(words, k=n))
+        while len(passage) < 250:
+            passage = " ".join(rng.choices(words, k=n))
+        assert 250 <= len(passage) < 400
+        for k in (0, 1):
+            # Other letters at both ends: nothing else repeats.
+            begin, end = f"{rng.random()}{'xy'[k]}", f"{'pq'[k]}{rng.random()}"
+            rows.append((len(rows), f"{begin}\n{passage}\n{end}", len(passage)))
+            wanted.append((begin, end))
+    rows.append((len(rows), " ".join(rng.choices(words, k=60)), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    out = sorted(corpus_pipeline.remove_repeats(spark, docs, SF).collect())
+    assert out[-1].text == rows[-1][1]
+    for row, (begin, end) in zip(out, wanted):
+        assert row.text == begin + end
+        assert row.n_chars == len(row.text)
