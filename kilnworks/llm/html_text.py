@@ -56,6 +56,12 @@ CHROME_WORDS = frozenset(
     " navbar navigation newsletter notice notices notification overlay pager pagination popup share"
     " sharing sidebar signup social subscribe subscription toolbar widget masthead topbar".split()
 )
+# A name in an article that is nothing but such words and words for a part of a page.
+CHROME_NAME = re.compile(
+    rf"(?:(?:{'|'.join(sorted(READER_WORDS | OTHER_WORDS | CHROME_WORDS))})[-_]*)+"
+    r"(?:(?:area|banner|bar|block|box|button|buttons|container|form|icons|inner|item|items|links"
+    r"|list|panel|posts|section|slot|unit|widget|wrap|wrapper)[-_]*)*\d*"
+)
 DENIED = frozenset("no not has with without hide".split())
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -118,6 +124,11 @@ def _marks(attributes: dict[str, str]) -> set[str]:
     return found
 
 
+def _names(attributes: dict[str, str]) -> set[str]:
+    """Whole class names and the id."""
+    return {v.lower() for name in ("class", "id") for v in attributes.get(name, "").split()}
+
+
 def _element(tag: str, written: str, parent: Element | None) -> Element:
     attributes = {
         m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(written)
@@ -143,6 +154,13 @@ def _element(tag: str, written: str, parent: Element | None) -> Element:
         elif tag == "article":
             hidden = hidden or bool(marks & (READER_WORDS | OTHER_WORDS))
         else:
+            if tag in HEADINGS or tag == "p":
+                # Titles make ids, and notices are text; a whole class may still name an advert.
+                marks = OTHER_WORDS & set(attributes.get("class", "").lower().split())
+            elif parent is not None and parent.main:
+                # In the article a word is part of many a name: only whole ones tell.
+                marks = _names(attributes)
+                hidden = hidden or any(CHROME_NAME.fullmatch(name) for name in marks)
             hidden = hidden or bool(marks & (READER_WORDS | OTHER_WORDS | CHROME_WORDS))
             hidden = hidden or attributes.get("role", "").lower() in DROPPED_ROLES
             element.heads_only |= "header" in marks

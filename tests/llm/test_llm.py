@@ -449,3 +449,17 @@ def test_repeats_stage_takes_out_passages_of_over_fifty_words(spark):
     for row, (begin, end) in zip(out, wanted):
         assert row.text == begin + end
         assert row.n_chars == len(row.text)
+
+
+def test_names_made_from_titles_drop_nothing():
+    kept = [
+        "<h2 id='related-work'>Related work</h2>", "<h2 id='social-impact'>Social impact</h2>",
+        "<section id='notice-periods'>Notice periods</section>", "<p class='alert'>Mind the kiln</p>",
+        "<div id='promotion-rules'>Promotion rules</div>", "<h3 class='share'>The share</h3>",
+    ]
+    gone = [
+        "<p class='ad'>Buy</p>", "<div class='share-buttons'>Send</div>", "<section id='comments'>Me too</section>",
+        "<div class='related-posts'>More</div>", "<div class='x newsletter-form'>Join</div>", "<ul class='nav'><li>Up</ul>",
+    ]
+    page = "<article>" + "".join(a + b for a, b in zip(kept, gone)) + "</article>"
+    assert html_text.main_text(page, None) == "\n".join(re.sub("<.*?>", "", k) for k in kept)
