@@ -11,6 +11,9 @@ from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Backs off from pairs of words to words to none.
+KATZ_ORDER = 3
+
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(read(spark, sf_dir, "documents"))
@@ -25,7 +28,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score_documents(read(spark, sf_dir, "documents"))
+    return katz.score_documents(read(spark, sf_dir, "documents"), KATZ_ORDER)
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -315,6 +315,52 @@ def test_katz_sums_to_one_and_scores_as_by_hand(spark, odd):
     assert katz.score_documents(odd.limit(0)).count() == 0
 
 
+def test_katz_query_backs_off_from_two_words(spark):
+    from kilnworks.llm import queries
+
+    words, held = {}, {}
+    for doc, texts in texts_by_id(documents(spark)).items():
+        text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in texts[0])
+        words[doc] = WORD.findall(text) + ["</s>"]
+        held[doc] = zlib.crc32(str(doc).encode()) % 7 == 2
+    after = collections.defaultdict(collections.Counter)
+    for doc, tokens in words.items():
+        padded = ["<s>", "<s>", *tokens]
+        for i in range(2, len(padded) if not held[doc] else 0):
+            for k in range(3):
+                after[tuple(padded[i - k : i])][padded[i]] += 1
+    factors = []
+    for k in range(3):
+        of = collections.Counter(n for c, x in after.items() if len(c) == k for n in x.values())
+        factors.append(katz.Discounts([of[r] for r in range(1, 7)]).factors)
+    total = sum(after[()].values())
+    kept = lambda k, n: n * (factors[k][n - 1] if n <= 5 else 1.0)
+    unknown = 1 - sum(kept(0, n) for n in after[()].values()) / total
+    weights = {}
+
+    def p(context, w):
+        seen = after.get(context)
+        if not context:
+            return kept(0, seen[w]) / total if w in seen else unknown
+        if not seen:
+            return p(context[1:], w)
+        if context not in weights:
+            n, k = sum(seen.values()), len(context)
+            left = n - sum(kept(k, c) for c in seen.values())
+            if all(c > 5 or factors[k][c - 1] == 1.0 for c in seen.values()):
+                n, left = n + 1, 1
+            weights[context] = n, left / n / (1 - sum(p(context[1:], x) for x in seen))
+        n, alpha = weights[context]
+        return kept(len(context), seen[w]) / n if w in seen else alpha * p(context[1:], w)
+
+    for context in [("<s>", "<s>"), ("of", "the"), ("the", "of")]:
+        assert math.isclose(sum(p(context, w) for w in after[()]) + p(context, "unheard-of"), 1, rel_tol=1e-9)
+    for row in queries.op4_katz(spark, SF).collect():
+        padded = ["<s>", "<s>", *words[row.doc_id]]
+        score = sum(math.log10(p(tuple(padded[i - 2 : i]), padded[i])) for i in range(2, len(padded)))
+        assert math.isclose(row.score, score, rel_tol=1e-8)
+
+
 def test_top_k_is_exact_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in rng.normal(size=6).round(1)]) for i in range(900)]
