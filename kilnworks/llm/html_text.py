@@ -7,7 +7,7 @@ neighbours, alone or as a sequence, become a repeated group; what only one side
 becomes optional. Every task does this for the hosts it meets, and the partial
 wrappers, which are small, are aligned with each other in the same way.
 
-A page gives the texts of its article. Where it marks none, the wrapper tells which
+A page gives the texts of its article and main element. Where it marks none, the wrapper tells which
 texts belong to the host rather than to the page, and the element with most text left
 is taken.
 """
@@ -390,9 +390,9 @@ def shared_texts(wrapper: str) -> frozenset[tuple[str, int]]:
 
 def main_text(page: str, wrapper: str | None) -> str:
     blocks = parse(page).blocks
-    level = max((b.holder.main for b in blocks), default=0)
-    if level:
-        return "\n".join(b.text for b in blocks if b.holder.main == level)
+    marked = [b.text for b in blocks if b.holder.main]
+    if marked:
+        return "\n".join(marked)
     own = shared_texts(wrapper) if wrapper else frozenset()
     left = [
         b

@@ -509,3 +509,11 @@ def test_names_made_from_titles_drop_nothing():
     ]
     page = "<article>" + "".join(a + b for a, b in zip(kept, gone)) + "</article>"
     assert html_text.main_text(page, None) == "\n".join(re.sub("<.*?>", "", k) for k in kept)
+
+
+def test_main_text_beside_articles_stays():
+    page = (
+        "<div>Top</div><main><h1>Title</h1><p>Lead.</p><article><p>Body.</p></article>"
+        "<article class='card'><p>Card.</p></article><p>End.</p></main><div>Bottom</div>"
+    )
+    assert html_text.main_text(page, None) == "Title\nLead.\nBody.\nCard.\nEnd."
