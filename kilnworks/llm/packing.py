@@ -44,8 +44,8 @@ _NAMES = [part.split()[0] for part in PIECES.split(",")]
 class WordEncoder:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never merges across a space or line end, so words are encoded apart
-    and kept for the next time.
+    The tokenizer never merges across a space or line end, and its special strings hold
+    neither, so words are encoded apart and kept for the next time.
     """
 
     def __init__(self, path: str):
@@ -53,7 +53,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         ends = self.tokenizer.encode_batch_fast(["", ".", ","], add_special_tokens=False)
         self.ends = {
@@ -84,6 +83,10 @@ class WordEncoder:
                 known.update((w, p) for w, p in new.items() if len(w) <= CACHED_WORD_CHARS)
         return b"".join(parts)
 
+    def shown(self) -> list[str]:
+        """What each id decodes to."""
+        return [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+
 
 @lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
@@ -122,27 +125,27 @@ class Packer:
         window.length += len(ids) // 4
 
     def add(self, doc, start: int, ids: bytes, total: int, ids_too: bool = False) -> None:
-        size = self.window
-        while len(ids) >= 4 * size:
-            self.emit(Window(size, [(doc, start, ids[: 4 * size], total)]), ids_too)
-            ids, start = ids[4 * size :], start + size
-        while ids:
-            n = len(ids) // 4
-            fits = [w for w in self.open if w.length + n <= size]
+        size, at, n = self.window, 0, len(ids) // 4
+
+        def take(most: int) -> tuple:
+            nonlocal at
+            part = ids if at == 0 and most >= n else ids[4 * at : 4 * (at + most)]
+            piece = (doc, start + at, part, total)
+            at += len(part) // 4
+            return piece
+
+        while n - at >= size:
+            self.emit(Window(size, [take(size)]), ids_too)
+        while at < n:
+            fits = [w for w in self.open if w.length + n - at <= size]
             if fits:
                 best = max(fits, key=lambda w: w.length)
-                self.put(best, doc, start, ids, total)
-                ids = b""
             elif len(self.open) < self.most:
                 best = Window()
                 self.open.append(best)
-                self.put(best, doc, start, ids, total)
-                ids = b""
             else:
                 best = max(self.open, key=lambda w: w.length)
-                room = size - best.length
-                self.put(best, doc, start, ids[: 4 * room], total)
-                ids, start = ids[4 * room :], start + room
+            self.put(best, *take(size - best.length))
             if best.length == size:
                 self.open.remove(best)
                 self.emit(best, ids_too)
@@ -161,7 +164,8 @@ def pack(
     Takes ``doc_id`` and ``text``; other columns are ignored. A null or empty text is
     the end id alone; a null doc_id stays null; repeated rows are packed as often as
     they come; no documents give no pieces. ``with_ids`` also returns the ids of each
-    piece as little-endian unsigned 32-bit bytes. Every sequence but the last of each
+    piece as little-endian unsigned 32-bit bytes. A very long text is cut into full
+    windows one by one. The tokenizer's special strings in a text become their ids. Every sequence but the last of each
     merged group is full.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")

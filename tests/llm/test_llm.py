@@ -86,8 +86,11 @@ def test_bpe_query_digests(spark, odd, codec):
 
 def test_packing_covers_every_id_once(spark, odd):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
-    for docs in (odd.where("doc_id is not null").dropDuplicates(["doc_id"]), documents(spark)):
+    special = spark.createDataFrame(
+        [(1, "<|endoftext|> x"), (2, "a<|startoftext|>b <|ENDOFTEXT|>"), (3, "<|endoftext |> <|endoftext|>\n")],
+        "doc_id long, text string",
+    )
+    for docs in (special, odd.where("doc_id is not null").dropDuplicates(["doc_id"]), documents(spark)):
         rows = packing.pack(docs).collect()
         pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
         for row in rows:
