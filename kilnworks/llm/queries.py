@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_text, katz, line_dedup, mtree, packing, quality, repeats, simhash, toxicity
+from . import byte_bpe, chunk_bpe, html_text, katz, line_dedup, mtree, packing, quality, repeats, simhash, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.encode_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -69,6 +73,7 @@ QUERIES: dict[str, Query] = {
         op8_quality,
         op9_line_dedup,
         op10_packing,
+        op11_chunk_bpe,
     )
 }
 
