@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chunk_bpe, html_text, katz, line_dedup, mtree, packing, quality, repeats, simhash, toxicity
+from . import (
+    byte_bpe, chunk_bpe, conversation, html_text, katz, lexical, line_dedup, mtree, packing, quality,
+    repeats, simhash, toxicity,
+)
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +63,14 @@ def op11_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encode_documents(read(spark, sf_dir, "documents"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair_conversations(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -74,7 +85,9 @@ QUERIES: dict[str, Query] = {
         op9_line_dedup,
         op10_packing,
         op11_chunk_bpe,
+        op12_lexical,
+        op13_conversation,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_lexical": lexical.SQL}
