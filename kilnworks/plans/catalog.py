@@ -9,6 +9,7 @@ from . import (
     graph_queries,
     history_queries,
     log_queries,
+    state_queries,
     store_queries,
 )
 from .registry import Registry
@@ -22,4 +23,5 @@ def catalog() -> Registry:
     activity_queries.register(registry)
     graph_queries.register(registry)
     store_queries.register(registry)
+    state_queries.register(registry)
     return registry

@@ -184,7 +184,8 @@ class Ingest:
     def change_stream(self, table: str = "changes_builds") -> DataFrame:
         """ST-5: the change messages as a stream for other consumers.
 
-        A batch that is repeated after a failure may send its messages again.
+        A batch that is repeated after a failure may send its messages again;
+        :func:`kilnworks.streaming.stateful.delivered_once` drops the repetitions.
         """
         return self.spark.readStream.schema(CHANGES).parquet(f"{self.root}/{table}")
 
@@ -260,20 +261,3 @@ def deduplicated_stream(builds: DataFrame, watermark: str = "10 minutes") -> Dat
     return builds.withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(
         ["day", "build_key"]
     )
-
-
-def unanswered_builds(
-    builds: DataFrame, results: DataFrame, wait: str = "10 minutes"
-) -> DataFrame:
-    """ST-3 as a stream-stream outer join: builds with the results that came in
-    time; a row without results appears once the watermark has passed.
-
-    ``builds(build_key, received_at)``, ``results(build_key, result_at, status)``.
-    """
-    left = builds.withWatermark("received_at", wait)
-    right = results.withColumnRenamed("build_key", "result_key").withWatermark("result_at", wait)
-    same = F.expr(
-        "build_key = result_key and result_at >= received_at "
-        f"and result_at <= received_at + interval {wait}"
-    )
-    return left.join(right, same, "leftOuter").drop("result_key")
