@@ -157,24 +157,23 @@ class DeliveredOnce(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "batch bigint")
-        self.sent = handle.getMapState("sent", "build_key string, change string", "day date")
+        self.last = handle.getValueState("last", "batch bigint, sent array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         part = pd.concat(list(rows))
-        last = self.last.get()[0] if self.last.exists() else -1
+        last, sent = self.last.get() if self.last.exists() else (-1, ())
+        sent = set(sent)
         fresh = []
         for row in part.sort_values(["batch", "build_key", "change"]).itertuples(index=False):
             if row.batch < last:
                 continue
             if row.batch > last:
-                last = row.batch
-                self.sent.clear()
-            message = (row.build_key, row.change)
-            if not self.sent.containsKey(message):
-                self.sent.updateValue(message, (row.day,))
+                last, sent = row.batch, set()
+            message = f"{row.change} {row.build_key}"
+            if message not in sent:
+                sent.add(message)
                 fresh.append((row.day, row.build_key, row.change, row.run, row.batch))
-        self.last.update((int(last),))
+        self.last.update((int(last), sorted(sent)))
         yield pd.DataFrame(fresh, columns=["day", "build_key", "change", "run", "batch"])
 
     def close(self) -> None:
