@@ -8,6 +8,9 @@ distributed joins whose result is written to the shared folder.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +19,6 @@ from ..runtime import written
 from .ordered import top_per_key
 
 GRAPH = ["graph"]
-# Longest chain that is followed, in edges; a longer one is an error, not cut.
-MAX_ROUNDS = 100_000
 
 
 def node(prefix: str = "") -> Column:
@@ -130,35 +131,70 @@ def roots(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def closure(pairs: DataFrame) -> DataFrame:
-    """GR-3: all (graph, src, dst) with a path from src to dst; src may equal dst
-    when it lies on a cycle.
+@dataclass(frozen=True)
+class Numbered:
+    """A set of edges over numbers: ``nodes(id, graph, node)``, ``edges(src, dst)``.
 
-    Paths double each round: with walks of up to 2^k - 1 edges and the ends of
-    walks of exactly 2^k edges, one join gives walks of up to 2^(k+1) - 1. A chain
-    of n edges takes log2(n) rounds. A round that adds no pair is the last one.
+    Numbers are unique over all graphs and grow with (graph, node), so loops join and
+    compare on one long. A node of no edge has no number.
     """
-    edges = pairs.select("graph", "src", "dst").distinct()
-    reach, count = written(edges, "reach")
-    leap, leaps = written(
-        _compose(reach, reach), "leap"
+
+    nodes: DataFrame
+    edges: DataFrame
+    n_nodes: int
+    n_edges: int
+
+    def named(self, df: DataFrame, *columns: str) -> DataFrame:
+        """Nodes in place of numbers, and the graph of the first column's node."""
+        for at, name in enumerate(columns):
+            graph = [] if at else ["graph"]
+            names = self.nodes.select(F.col("id").alias(name), F.col("node").alias("_node"), *graph)
+            df = df.join(names, name).drop(name).withColumnRenamed("_node", name)
+        return df
+
+
+def numbered(pairs: DataFrame) -> Numbered:
+    """Of distinct pairs, as :func:`edge_set` gives them."""
+    pairs = pairs.select("graph", "src", "dst")
+    ends = pairs.select("graph", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    ordered = ends.repartitionByRange("graph", "node").sortWithinPartitions("graph", "node")
+    nodes, n_nodes = written(
+        ordered.select(F.monotonically_increasing_id().alias("id"), "graph", "node"), "graph-nodes"
     )
-    for _ in range(MAX_ROUNDS):
-        if not leaps:
-            return reach
-        longer = reach.unionByName(leap).unionByName(_compose(reach, leap)).distinct()
-        reach, grown = written(longer, "reach")
-        if grown == count:
-            return reach
-        count = grown
-        leap, leaps = written(_compose(leap, leap), "leap")
-    raise ValueError("dependency chain too long")
+    edges = pairs
+    for end in ("src", "dst"):
+        names = nodes.select("graph", F.col("node").alias(end), F.col("id").alias(f"_{end}"))
+        edges = edges.join(names, ["graph", end])
+    edges, n_edges = written(edges.select(F.col("_src").alias("src"), F.col("_dst").alias("dst")), "graph-edges")
+    return Numbered(nodes, edges, n_nodes, n_edges)
+
 
+def closure(pairs: DataFrame) -> DataFrame:
+    """GR-3: all (graph, src, dst) with a path from src to dst; src may equal dst
+    when it lies on a cycle.
 
-def _compose(first: DataFrame, second: DataFrame) -> DataFrame:
-    left = first.select("graph", "src", F.col("dst").alias("_via"))
-    right = second.select("graph", F.col("src").alias("_via"), "dst")
-    return left.join(right, ["graph", "_via"]).select("graph", "src", "dst").distinct()
+    Pairs carry their distance. Once all pairs of up to d edges are known, a pair of
+    up to 2d is one of exactly d followed by a known one, so each round joins only the
+    farthest pairs of the last round and keeps what is new. A chain of n edges takes
+    log2(n) rounds.
+    """
+    g = numbered(pairs)
+    return g.named(_reach(g.edges), "src", "dst").select("graph", "src", "dst")
+
+
+def _reach(edges: DataFrame) -> DataFrame:
+    known, _ = written(edges.withColumn("distance", F.lit(1)), "reach")
+    far, step = known, 1
+    while True:
+        left = far.where(F.col("distance") == step).select("src", F.col("dst").alias("_via"))
+        right = known.select(F.col("src").alias("_via"), "dst", "distance")
+        longer = left.join(right, "_via").groupBy("src", "dst").agg(
+            (F.min("distance") + step).alias("distance")
+        )
+        far, count = written(longer.join(known, ["src", "dst"], "left_anti"), "reach")
+        if not count:
+            return known.select("src", "dst")
+        known, step = known.unionByName(far), 2 * step
 
 
 def transitive(reach: DataFrame) -> DataFrame:
@@ -166,37 +202,134 @@ def transitive(reach: DataFrame) -> DataFrame:
     return direct(reach.where(F.col("src") != F.col("dst")))
 
 
-def _trimmed(pairs: DataFrame) -> DataFrame:
-    """Edges left after nodes without an edge in or out are removed, repeatedly."""
-    current, count = written(pairs.select("graph", "src", "dst"), "trim")
-    for _ in range(MAX_ROUNDS):
-        sources = current.select("graph", F.col("src").alias("dst")).distinct()
-        sinks = current.select("graph", F.col("dst").alias("src")).distinct()
-        core = current.join(sources, ["graph", "dst"], "left_semi").join(
-            sinks, ["graph", "src"], "left_semi"
+def _core(edges: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """Edges left after nodes without an edge in or out are taken off, for as long as
+    that takes many of them; long ends are left to the labels."""
+    while count:
+        sources = edges.select(F.col("src").alias("dst")).distinct()
+        sinks = edges.select(F.col("dst").alias("src")).distinct()
+        edges, left = written(
+            edges.join(sources, "dst", "left_semi").join(sinks, "src", "left_semi"), "trim"
         )
-        current, left = written(core, "trim")
-        if left == count:
-            return current
+        if count - left <= count // 10:
+            return edges, left
         count = left
-    raise ValueError("trimming did not end")
+    return edges, count
 
 
-def cycle_members(pairs: DataFrame, reach: DataFrame | None = None) -> DataFrame:
-    """GR-5: (graph, cycle, member): strongly connected targets, as
-    ``project::name``; a cycle is named after its smallest member.
+def _labelled(edges: DataFrame, flip: int) -> DataFrame:
+    """Of each node the least number that reaches it, ``above``, and that it reaches,
+    ``below``; numbers are compared after a bitwise exclusive or with ``flip``.
+
+    Labels move along all edges, and along one pointer a node up and down that doubles
+    its length every round, so that a chain or ring takes a logarithm of its length.
+    """
+    both = edges.select(F.col("dst").alias("id"), F.col("src").alias("up"), F.lit(None).cast("long").alias("down"))
+    both = both.unionByName(
+        edges.select(F.col("src").alias("id"), F.lit(None).cast("long").alias("up"), F.col("dst").alias("down"))
+    )
+    own = F.col("id").bitwiseXOR(F.lit(flip).cast("long"))
+    state, _ = written(
+        both.groupBy("id").agg(F.min("up").alias("up"), F.min("down").alias("down")).select(
+            "id", F.coalesce("up", "id").alias("up"), F.coalesce("down", "id").alias("down"),
+            own.alias("above"), own.alias("below"), F.lit(True).alias("moved"),
+        ),
+        "labels",
+    )
+    while True:
+        none = F.lit(None).cast("long")
+        tops = state.select(F.col("id").alias("src"), "above")
+        ends = state.select(F.col("id").alias("dst"), "below")
+        sent = edges.join(tops, "src").select(F.col("dst").alias("id"), "above", none.alias("below"))
+        sent = sent.unionByName(
+            edges.join(ends, "dst").select(F.col("src").alias("id"), none.alias("above"), "below")
+        )
+        got = sent.groupBy("id").agg(F.min("above").alias("_above"), F.min("below").alias("_below"))
+        higher = state.select(
+            F.col("id").alias("up"), F.col("up").alias("_up"), F.col("above").alias("_up_above")
+        )
+        lower = state.select(
+            F.col("id").alias("down"), F.col("down").alias("_down"), F.col("below").alias("_down_below")
+        )
+        joined = state.join(higher, "up").join(lower, "down").join(got, "id", "left")
+        above = F.least("above", "_above", "_up_above")
+        below = F.least("below", "_below", "_down_below")
+        moved = (above < F.col("above")) | (below < F.col("below"))
+        state, _ = written(
+            joined.select(
+                "id", F.col("_up").alias("up"), F.col("_down").alias("down"),
+                above.alias("above"), below.alias("below"), moved.alias("moved"),
+            ),
+            "labels",
+        )
+        if not state.where("moved").limit(1).count():
+            return state.select("id", "above", "below")
+
+
+# Orders in which labels compete, one a round and again from the first.
+FLIPS = (0, -1, 0x2AAA_AAAA_AAAA_AAAA, 0x3333_3333_3333_3333, 0x0F0F_0F0F_0F0F_0F0F, 0x00FF_00FF_00FF_00FF)
+
+
+# Components are read off all pairs of connected nodes where there are at most so many.
+PAIRS_BOUND = 20_000_000
+
 
-    Given the closure, a target's component is the set of targets it reaches and
-    that reach it. Without it, the closure of the trimmed core is enough.
+def _mutual(edges: DataFrame) -> DataFrame:
+    """(id, component) from the closure of the edges."""
+    reach, _ = written(_reach(edges), "reach")
+    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = reach.join(back, ["src", "dst"]).groupBy(F.col("src").alias("id"))
+    return both.agg(F.min("dst").alias("component"))
+
+
+def components(g: Numbered) -> DataFrame:
+    """(id, component): nodes of strongly connected components of two or more.
+
+    What is left of small graphs without their ends is closed, if a bound of the pairs
+    says so. Otherwise labels decide, without pairs of nodes: a node whose least ancestor
+    is also its least descendant is in the component of that node; of the other edges
+    only those between equal labels can lie in a component, so each round cuts the rest
+    into smaller pieces.
     """
-    reach = closure(_trimmed(pairs)) if reach is None else reach
-    back = reach.select("graph", F.col("src").alias("dst"), F.col("dst").alias("src"))
-    mutual = reach.join(back, ["graph", "src", "dst"]).where(F.col("src") != F.col("dst"))
-    text = F.concat_ws("::", "src.project", "src.name")
-    other = F.concat_ws("::", "dst.project", "dst.name")
-    return mutual.groupBy("graph", text.alias("member")).agg(
-        F.least(F.min(other), F.min(text)).alias("cycle")
+    edges, count = _core(g.edges, g.n_edges)
+    found = []
+    at = 0
+    while count:
+        named = g.nodes.select("graph", F.col("id").alias("src")).join(
+            edges.select("src").distinct(), "src"
+        )
+        sizes = named.groupBy("graph").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        if sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] <= PAIRS_BOUND:
+            found.append(_mutual(edges))
+            break
+        flip = FLIPS[at % len(FLIPS)]
+        labels, _ = written(_labelled(edges, flip), "components")
+        same = F.col("above") == F.col("below")
+        component = F.col("above").bitwiseXOR(F.lit(flip).cast("long")).alias("component")
+        found.append(labels.where(same).select("id", component))
+        open_ = labels.where(~same)
+        src = open_.select(F.col("id").alias("src"), "above", "below")
+        dst = open_.select(F.col("id").alias("dst"), "above", "below")
+        rest = edges.join(src, "src").join(dst, ["dst", "above", "below"]).select("src", "dst")
+        edges, count = _core(*written(rest, "rest"))
+        at += 1
+    if not found:
+        return g.nodes.select("id", F.col("id").alias("component")).limit(0)
+    all_ = reduce(DataFrame.unionByName, found)
+    sizes = all_.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return all_.join(sizes.select("component"), "component", "left_semi").select("id", "component")
+
+
+def cycle_members(pairs: DataFrame) -> DataFrame:
+    """GR-5: (graph, cycle, member): strongly connected targets, as
+    ``project::name``; a cycle is named after its smallest member."""
+    g = numbered(pairs)
+    named = g.named(components(g), "id")
+    members = named.select(
+        "graph", "component", F.concat_ws("::", "id.project", "id.name").alias("member")
     )
+    least = members.groupBy("component").agg(F.min("member").alias("cycle"))
+    return members.join(least, "component").select("graph", "member", "cycle")
 
 
 def by_name(nodes: DataFrame) -> DataFrame:
@@ -207,43 +340,133 @@ def by_name(nodes: DataFrame) -> DataFrame:
     )
 
 
-def shortest_chains(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """GR-6: for every target the shortest chain from the nearest root, root first.
+def _anchored(g: Numbered) -> DataFrame:
+    """(id, anchor, hops): the nearest node upward that has not exactly one edge in.
 
-    One breadth-first search down from all roots at once, with one row per target: its
-    smallest root at the least distance, and the smallest parent one step nearer to
-    that root. Among equal chains this is the one that is smallest when read from the
-    target up, which is what a queue in node order gives. Targets that are roots, or
-    that no root reaches, have no row.
+    A node with one edge in has its parent's chain and one step more. Pointers to the
+    parent double their length every round. Nodes on a loop of such edges, or below
+    one, get no row, as no root reaches them: once the least node of a stretch is also
+    the least of the next stretch above, it has been met twice.
     """
-    down, _ = written(pairs.select("graph", F.col("src").alias("_above"), "dst"), "down")
-    start = roots(nodes, pairs).select(
-        "graph",
-        F.col("node").alias("target"),
-        F.col("node").alias("_root"),
-        F.array("node").alias("path"),
+    into = g.edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("src"))
+    one = F.coalesce(F.col("n") == 1, F.lit(False))
+    parents = g.nodes.select("id").join(into.withColumnRenamed("dst", "id"), "id", "left")
+    state = parents.select(
+        "id",
+        F.when(one, F.col("src")).otherwise(F.col("id")).alias("anchor"),
+        F.when(one, 1).otherwise(0).cast("long").alias("hops"),
+        F.when(one, F.col("src")).alias("least"),
+        F.lit(False).alias("looped"),
+        one.alias("moved"),
+    )
+    while True:
+        state, _ = written(state, "anchors")
+        if not state.where("moved").limit(1).count():
+            break
+        above = state.select(
+            F.col("id").alias("anchor"), F.col("anchor").alias("_next"),
+            F.col("hops").alias("_more"), F.col("least").alias("_least"), F.col("looped").alias("_looped"),
+        )
+        twice = F.coalesce(F.col("least") == F.col("_least"), F.lit(False))
+        looped = F.col("looped") | F.col("_looped") | twice
+        state = state.join(above, "anchor").select(
+            "id",
+            F.when(looped, F.col("id")).otherwise(F.col("_next")).alias("anchor"),
+            F.when(looped, 0).otherwise(F.col("hops") + F.col("_more")).cast("long").alias("hops"),
+            F.least("least", "_least").alias("least"),
+            looped.alias("looped"),
+            ((F.col("_more") > 0) & ~looped).alias("moved"),
+        )
+    ends = state.where("hops = 0 and not looped").select(F.col("id").alias("anchor"))
+    return state.select("id", "anchor", "hops").join(ends, "anchor", "left_semi")
+
+
+def _distances(g: Numbered, roots_: DataFrame) -> DataFrame:
+    """(id, distance, root): the nearest root of each node, the smallest of several."""
+    anchors, _ = written(_anchored(g), "anchored")
+    heads = anchors.where("hops = 0").select(F.col("id").alias("dst"))
+    of_src = anchors.withColumnRenamed("id", "src")
+    steps, _ = written(
+        g.edges.join(heads, "dst", "left_semi")
+        .join(of_src, "src")
+        .groupBy("anchor", F.col("dst").alias("id"))
+        .agg((F.min("hops") + 1).alias("length")),
+        "steps",
+    )
+    best, count = written(
+        roots_.select("id", F.struct(F.lit(0).cast("long").alias("distance"), F.col("id").alias("root")).alias("best")),
+        "nearest",
     )
-    level, count = written(start, "chain-level")
-    seen = level.select("graph", F.col("target").alias("dst"))
-    found = level.where(F.lit(False))
-    # Each round reaches targets that were not seen before, so the search ends.
+    front = best
+    # Each round only nodes that came nearer send on; a shorter way is found at most
+    # once for every length.
     while count:
-        above = level.withColumnRenamed("target", "_above")
-        best = (
-            above.select("graph", "_above", "_root")
-            .join(down, ["graph", "_above"])
-            .groupBy("graph", "dst")
-            .agg(F.min(F.struct("_root", "_above")).alias("_best"))
-            .join(seen, ["graph", "dst"], "left_anti")
-            .select("graph", F.col("dst").alias("target"), F.col("_best._above").alias("_above"))
+        sent = (
+            front.withColumnRenamed("id", "anchor")
+            .join(steps, "anchor")
+            .groupBy("id")
+            .agg(F.min(F.struct((F.col("best.distance") + F.col("length")).alias("distance"), F.col("best.root").alias("root"))).alias("_sent"))
         )
-        reached = best.join(above, ["graph", "_above"]).select(
-            "graph", "target", "_root", F.array_append("path", F.col("target")).alias("path")
+        both = best.join(sent, "id", "full").select(
+            "id",
+            F.least("best", "_sent").alias("best"),
+            F.coalesce(F.col("_sent") < F.col("best"), F.col("best").isNull()).alias("nearer"),
         )
-        level, count = written(reached, "chain-level")
-        found = found.unionByName(level)
-        seen = seen.unionByName(level.select("graph", F.col("target").alias("dst")))
-    return found.select("graph", "target", "path")
+        both, _ = written(both, "nearest")
+        front = both.where("nearer").select("id", "best")
+        best, count = both.select("id", "best"), front.limit(1).count()
+    of_anchor = best.select(F.col("id").alias("anchor"), "best")
+    return anchors.join(of_anchor, "anchor").select(
+        "id", (F.col("best.distance") + F.col("hops")).alias("distance"), F.col("best.root").alias("root")
+    )
+
+
+def shortest_chains(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """GR-6: for every target the shortest chain from the nearest root, root first.
+
+    Every target gets its smallest root at the least distance, and the smallest parent
+    one step nearer to that root. Among equal chains this is the one that is smallest
+    when read from the target up, which is what a queue in node order gives. Targets
+    that are roots, or that no root reaches, have no row.
+
+    Only targets with several edges in are searched round by round. One table then
+    holds a parent for each target, and paths double their length every round.
+    """
+    g = numbered(pairs)
+    tops = g.nodes.select("id").join(g.edges.select(F.col("dst").alias("id")), "id", "left_anti")
+    near, _ = written(_distances(g, tops), "distances")
+    above = near.select(F.col("id").alias("src"), F.col("distance").alias("_above"), "root")
+    here = near.select(F.col("id").alias("dst"), "distance", "root")
+    parents = (
+        g.edges.join(here, "dst")
+        .join(above, ["src", "root"])
+        .where(F.col("distance") == F.col("_above") + 1)
+        .groupBy(F.col("dst").alias("id"))
+        .agg(F.min("src").alias("parent"))
+    )
+    # path: from below the pointer down to the node itself; at a root the pointer ends.
+    start = near.join(parents, "id", "left").select("id", "parent", F.array("id").alias("path"))
+    state, _ = written(start, "paths")
+    while state.where(F.col("parent").isNotNull()).limit(1).count():
+        upper = state.select(
+            F.col("id").alias("parent"), F.col("parent").alias("_next"), F.col("path").alias("_upper")
+        )
+        joined = state.join(upper, "parent", "left")
+        state, _ = written(
+            joined.select(
+                "id", F.col("_next").alias("parent"),
+                F.when(F.col("_upper").isNull(), F.col("path")).otherwise(F.concat("_upper", "path")).alias("path"),
+            ),
+            "paths",
+        )
+    rows = state.where(F.size("path") > 1).select(F.col("id").alias("target"), F.posexplode("path").alias("_at", "step"))
+    names = g.nodes.select(F.col("id").alias("step"), F.col("node").alias("_node"))
+    paths = rows.join(names, "step").groupBy("target").agg(
+        F.array_sort(F.collect_list(F.struct("_at", "_node"))).alias("_steps")
+    )
+    return g.named(paths, "target").select(
+        "graph", "target", F.transform("_steps", lambda step: step["_node"]).alias("path")
+    )
 
 
 def why_built(nodes: DataFrame, pairs: DataFrame, chains: DataFrame) -> DataFrame:

@@ -178,7 +178,7 @@ def register(r: Registry) -> None:
     )
     add(
         "graph_why_built",
-        lambda t: graph.why_built(t.nodes, pairs_of(t), chains_of(t)),
+        why_built_of,
         CHAINS,
         """select n.graph, n.name, case when count(*) > 1 then 'ambiguous'
              when min(c.path) is not null then 'path'
@@ -318,16 +318,18 @@ def matches_of(t: Tables):
     return written(intel.file_matches(t.unit_changes, t.unit_files), "matches")[0]
 
 
-def dependents_of(t: Tables):
-    return written(intel.named_dependents(graph.closure(pairs_of(t))), "dependents")[0]
+def dependents_of(t: Tables, pairs=None):
+    pairs = pairs_of(t) if pairs is None else pairs
+    return written(intel.named_dependents(graph.closure(pairs)), "dependents")[0]
 
 
 def regressions_of(t: Tables):
     return t.unit_regressions.withColumn("caveats", F.array("caveat"))
 
 
-def links_of(t: Tables):
-    matches, dependents = matches_of(t), dependents_of(t)
+def links_of(t: Tables, matches=None, dependents=None):
+    matches = matches_of(t) if matches is None else matches
+    dependents = dependents_of(t) if dependents is None else dependents
     return intel.evidence_links(
         matches,
         intel.impact_downstream(matches, dependents),
@@ -338,9 +340,10 @@ def links_of(t: Tables):
     )
 
 
-def evidence_of(t: Tables):
+def evidence_of(t: Tables, links=None):
+    links = links_of(t) if links is None else links
     return intel.evidence_chains(
-        links_of(t), intel.counter_evidence(t.unit_metadata, regressions_of(t))
+        links, intel.counter_evidence(t.unit_metadata, regressions_of(t))
     )
 
 
@@ -348,9 +351,9 @@ def advice_of(t: Tables):
     return intel.advice(t.unit_swift, t.unit_targets, t.unit_builds)
 
 
-def bottlenecks_of(t: Tables):
-    pairs = pairs_of(t)
-    dependents = intel.named_dependents(graph.closure(pairs))
+def bottlenecks_of(t: Tables, pairs=None, dependents=None):
+    pairs = pairs_of(t) if pairs is None else pairs
+    dependents = dependents_of(t, pairs) if dependents is None else dependents
     return intel.bottlenecks(t.unit_targets, pairs, dependents)
 
 
@@ -368,6 +371,23 @@ BOTTLENECKS = f"""{DEPENDENTS},
     qualify position <= 5)"""
 
 
+def why_built_of(t: Tables):
+    pairs = pairs_of(t)
+    return graph.why_built(t.nodes, pairs, graph.shortest_chains(t.nodes, pairs))
+
+
+def findings_of(t: Tables):
+    """All results from one set of edges, one closure and one set of matches."""
+    pairs, matches = pairs_of(t), matches_of(t)
+    dependents = dependents_of(t, pairs)
+    return intel.findings(
+        intel.impacts(matches, dependents),
+        bottlenecks_of(t, pairs, dependents),
+        evidence_of(t, links_of(t, matches, dependents)),
+        advice_of(t),
+    )
+
+
 def _intel(r: Registry) -> None:
     def add(name, run, prefix, sql, views=INTEL_VIEWS):
         r.add(name, run, views, f"with {prefix} {sql}")
@@ -545,12 +565,7 @@ def _intel(r: Registry) -> None:
     add(
         "findings",
         lambda t: rounded(
-            intel.findings(
-                intel.impacts(matches_of(t), dependents_of(t)),
-                bottlenecks_of(t),
-                evidence_of(t),
-                advice_of(t),
-            ),
+            findings_of(t),
             "value",
             digits=6,
         ),

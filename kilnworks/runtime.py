@@ -16,9 +16,11 @@ _local_scratch: dict[str, str] = {}
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Runtime settings that results depend on."""
+    """Runtime settings that results, or the choice of joins, depend on."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    # Joins hash a side instead of sorting both where no partition of it is larger.
+    spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
     return spark
 
 

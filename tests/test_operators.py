@@ -1,5 +1,6 @@
 """Ordered operators, percentiles, graphs and rankings against brute force."""
 
+import collections
 import itertools
 import random
 from collections import deque
@@ -121,13 +122,15 @@ def random_graphs():
     rng = random.Random(4)
     return {
         f"g{g}": [
-            (f"n{rng.randrange(12):02d}", f"n{rng.randrange(12):02d}") for _ in range(14 + g)
+            (f"n{rng.randrange(12):02d}", f"n{rng.randrange(12):02d}") for _ in range(6 + 2 * g)
         ]
-        for g in range(6)
+        for g in range(16)
     }
 
 
-def test_closure_and_cycles_equal_a_search(spark):
+@pytest.mark.parametrize("bound", [graph.PAIRS_BOUND, 0])
+def test_closure_and_cycles_equal_a_search(spark, monkeypatch, bound):
+    monkeypatch.setattr(graph, "PAIRS_BOUND", bound)
     graphs = random_graphs()
     nodes, edges = graph_frames(spark, graphs)
     pairs = graph.edge_set(nodes, edges)
@@ -146,22 +149,64 @@ def test_closure_and_cycles_equal_a_search(spark):
             group = {x for n, s, x in want if n == name and s == a and (name, x, a) in want} | {a}
             expected.add((name, f"P::{a}", f"P::{min(group)}"))
     assert members == expected
-    assert {(r.graph, r.member, r.cycle) for r in graph.cycle_members(pairs, reach).collect()} == expected
 
 
-def test_long_chain_and_ring(spark):
+def test_long_chain_and_ring(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PAIRS_BOUND", 100_000)
     chain = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(63)]
-    ring = [(f"r{i:04d}", f"r{(i + 1) % 300:04d}") for i in range(300)]
+    ring = [(f"r{i:04d}", f"r{(i + 1) % 2000:04d}") for i in range(2000)]
     nodes, edges = graph_frames(spark, {"chain": chain, "ring": ring})
     pairs = graph.edge_set(nodes, edges)
     members = graph.cycle_members(pairs).groupBy("graph", "cycle").count().collect()
     assert [(r["graph"], r["cycle"], r["count"]) for r in members] == [
-        ("ring", "P::r0000", 300)
+        ("ring", "P::r0000", 2000)
     ]
     reach = graph.closure(pairs.where("graph = 'chain'"))
     assert reach.count() == 64 * 63 // 2
 
 
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Scan parquet")
+
+
+def test_deep_chains_take_few_rounds_and_scans(spark):
+    def deep(n):
+        # Two ways down to a chain with a side step at every 700th node, and a loop aside.
+        links = [("top", "n0000"), ("other", "m"), ("m", "n0000")]
+        links += [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(n)]
+        links += [(f"n{i:04d}", f"n{i + 3:04d}") for i in range(0, n - 3, 700)]
+        links += [("x", "y"), ("y", "z"), ("z", "x"), ("z", "below")]
+        nodes, edges = graph_frames(spark, {"deep": links})
+        return links, graph.shortest_chains(nodes, graph.edge_set(nodes, edges))
+
+    links, chains = deep(2000)
+    assert scans(chains) == scans(deep(40)[1]) <= 4
+    assert {r.target.name: [n.name for n in r.path] for r in chains.collect()} == {
+        t: path for t in {n for link in links for n in link} if (path := nearest_chain_down(links, t))
+    }
+
+
+def nearest_chain_down(links, target, found={}):
+    """All chains of a graph by one search from its roots, kept for the next call."""
+    if found.get("links") is not links:
+        below, into = collections.defaultdict(set), {b for _, b in links}
+        for a, b in links:
+            below[a].add(b)
+        level = {n: (n,) for link in links for n in link if n not in into}
+        paths = {}
+        while level:
+            paths |= level
+            following = {}
+            for node, path in level.items():
+                for child in below[node] - set(paths):
+                    following[child] = min(following.get(child, (*path, child)), (*path, child), key=lambda p: p[0])
+            level = following
+        found.clear()
+        found.update(links=links, paths=paths)
+    path = found["paths"].get(target)
+    return list(path) if path and len(path) > 1 else None
+
+
 def nearest_chain(links, target):
     """Level by level, keeping the smallest path read from the target."""
     proper = {(a, b) for a, b in links if a != b}
