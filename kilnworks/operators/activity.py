@@ -19,8 +19,7 @@ from ..runtime import written
 from .logs import deduplicated, with_fingerprint
 
 BUILD = ["build_key"]
-# Deepest tree that is walked; a deeper one is reported as an error, not cut.
-MAX_DEPTH = 200
+OWNERS = ("wrapper_id", "wrapper_name", "tagged_id", "tagged_name")
 
 
 def exploded_messages(sections: DataFrame) -> DataFrame:
@@ -38,50 +37,80 @@ def exploded_messages(sections: DataFrame) -> DataFrame:
     )
 
 
-def walked(sections: DataFrame) -> DataFrame:
-    """BI-11: adds ``wrapper_id``/``wrapper_name`` and ``tagged_id``/``tagged_name``.
+def climbed(sections: DataFrame) -> DataFrame:
+    """BI-11: (build_key, section_id, wrapper_id, wrapper_name, tagged_id, tagged_name,
+    reject): the topmost section on the way from the root that is a target wrapper, or
+    that carries a target tag.
 
-    They name the topmost section on the way from the root that is a target
-    wrapper, or that carries a target tag. One join per tree level; ``sections``
-    should be a stored table, it is read twice.
+    Every section climbs by a pointer to its parent that doubles its length each round,
+    so a tree of depth d takes log2(d) rounds. ``reject`` says why a section has no way
+    to a root: ``orphan`` below a parent that is not there, ``loop`` on or below a
+    circle of parents. ``sections`` should be a stored table.
     """
     flagged = sections.select(
         "build_key",
         "section_id",
         "parent_id",
-        A.wrapper_target(F.col("title")).alias("_wraps"),
-        A.step_target(F.col("signature"), F.col("title")).alias("_tag"),
-    )
-    # The patterns run once; each level reads ids and flags only.
-    flagged, _ = written(flagged, "section-flags")
-    text = F.lit(None).cast("string")
-    names = ("wrapper_id", "wrapper_name", "tagged_id", "tagged_name")
-    frontier = flagged.where(F.col("parent_id").isNull()).select(
-        "build_key", "section_id", *(text.alias(n) for n in names)
-    )
-    found = frontier
-    for _ in range(MAX_DEPTH):
-        above = frontier.select(
-            "build_key", F.col("section_id").alias("parent_id"), *names
+        A.wrapper_target(F.col("title")).alias("wrapper_name"),
+        A.step_target(F.col("signature"), F.col("title")).alias("tagged_name"),
+    ).where(F.col("section_id").isNotNull())
+    own = F.col("section_id")
+    start = flagged.select(
+        "build_key",
+        "section_id",
+        F.col("parent_id").alias("above"),
+        F.when(F.col("wrapper_name").isNotNull(), own).alias("wrapper_id"),
+        "wrapper_name",
+        F.when(F.col("tagged_name").isNotNull(), own).alias("tagged_id"),
+        "tagged_name",
+        own.alias("least"),
+        F.lit(None).cast("string").alias("reject"),
+    )
+    # The patterns run once; each round reads ids and names only.
+    state, _ = written(start, "section-flags")
+    done = state.where(F.col("above").isNull())
+    open_ = state.where(F.col("above").isNotNull())
+    while open_.limit(1).count():
+        upper = done.unionByName(open_).select(
+            "build_key",
+            F.col("section_id").alias("above"),
+            F.col("above").alias("_above"),
+            F.col("least").alias("_least"),
+            F.col("reject").alias("_reject"),
+            *(F.col(name).alias(f"_{name}") for name in OWNERS),
+            F.lit(True).alias("_there"),
         )
-        below = flagged.join(above, ["build_key", "parent_id"])
-
-        def first(kept: str, own: Column) -> Column:
-            return F.coalesce(F.col(kept), own).alias(kept)
-
-        level = below.select(
+        # A section stands once on a way up: the least of one stretch is not met again.
+        met_twice = F.col("least") == F.col("_least")
+        reject = (
+            F.when(F.col("_there").isNull(), "orphan")
+            .when(met_twice, "loop")
+            .otherwise(F.col("_reject"))
+        )
+        higher = open_.join(upper, ["build_key", "above"], "left").select(
             "build_key",
             "section_id",
-            first("wrapper_id", F.when(F.col("_wraps").isNotNull(), F.col("section_id"))),
-            first("wrapper_name", F.col("_wraps")),
-            first("tagged_id", F.when(F.col("_tag").isNotNull(), F.col("section_id"))),
-            first("tagged_name", F.col("_tag")),
+            F.when(reject.isNull(), F.col("_above")).alias("above"),
+            *(F.coalesce(f"_{name}", name).alias(name) for name in OWNERS),
+            F.least("least", "_least").alias("least"),
+            reject.alias("reject"),
         )
-        frontier, count = written(level, "section-level")
-        if not count:
-            return sections.join(found, ["build_key", "section_id"])
-        found = found.unionByName(frontier)
-    raise ValueError(f"sections are nested deeper than {MAX_DEPTH} levels")
+        state, _ = written(higher, "section-climb")
+        done = done.unionByName(state.where(F.col("above").isNull()))
+        open_ = state.where(F.col("above").isNotNull())
+    return done.select("build_key", "section_id", *OWNERS, "reject")
+
+
+def walked(sections: DataFrame, climb: DataFrame | None = None) -> DataFrame:
+    """BI-11: sections that have a way to a root, with what :func:`climbed` found."""
+    climb = climbed(sections) if climb is None else climb
+    found = climb.where(F.col("reject").isNull()).drop("reject")
+    return sections.join(found, ["build_key", "section_id"])
+
+
+def rejected_sections(climb: DataFrame) -> DataFrame:
+    """BI-11: sections without a way to a root, with the reason."""
+    return climb.where(F.col("reject").isNotNull()).select("build_key", "section_id", "reject")
 
 
 def owned(walk: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Documents, store, reports, manifests, activity sections and streams."""
 
 import json
+import random
 import time
 
 import pytest
@@ -496,3 +497,34 @@ def test_activity_sections(spark, sections):
     assert [(r.build_key, r.names) for r in notes] == [("nested", "arm64, x86_64")]
     phases = sorted((r.build_key, r.name) for r in activity.phases(owned).collect())
     assert phases == [("flat", "Compile"), ("nested", "Prepare")]
+
+
+def test_sections_climb_and_are_rejected(spark):
+    rng = random.Random(3)
+    rows, parents = [], {}
+    for build in range(12):
+        for i in range(60):
+            key = (f"b{build}", f"s{i}")
+            parents[key] = None if i == 0 else f"s{rng.randrange(i)}" if rng.random() < 0.85 else rng.choice(["gone", f"s{rng.randrange(60)}"])
+    parents["b0", "s7"] = "s7"
+    parents |= {("b1", "s3"): "s9", ("b1", "s9"): "s3", ("b2", "s4"): "s8", ("b2", "s8"): "s6", ("b2", "s6"): "s4"}
+    for depth in range(300):
+        parents["deep", f"d{depth}"] = f"d{depth - 1}" if depth else None
+    titles = {}
+    for n, (build, ident) in enumerate(parents):
+        titles[build, ident] = f"Build target T{n}" if n % 9 == 5 else "Group"
+        rows.append(section(build, ident, parents[build, ident], n, titles[build, ident]))
+    want = {}
+    for key in parents:
+        way, at = [], key
+        while at in parents and at not in way:
+            way.append(at)
+            at = (at[0], parents[at])
+        reject = None if at[1] is None else "loop" if at in way else "orphan"
+        top = [k for k in way if titles[k] != "Group"][-1:]
+        want[key] = (reject, None if reject or not top else top[0][1])
+    climb = activity.climbed(spark.createDataFrame(rows, SECTION).repartition(4))
+    got = {(r.build_key, r.section_id): (r.reject, None if r.reject else r.wrapper_id) for r in climb.collect()}
+    assert got == want
+    assert {r for r, _ in want.values()} == {None, "orphan", "loop"}
+    assert activity.rejected_sections(climb).count() == sum(r is not None for r, _ in want.values())
