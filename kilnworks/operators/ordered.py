@@ -7,10 +7,11 @@ chunks. A key that holds a third of all rows is therefore spread over many tasks
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 LINES_PER_CHUNK = 65_536
 
@@ -32,26 +33,53 @@ def carry_last(
 
     ``chunk`` must not decrease along ``order``; keys must not be null.
     """
-    tagged = df.withColumn("_chunk", chunk).withColumn("_value", value)
+    return carry_each(df, keys, order, {out: value}, chunk, inclusive)
+
+
+def carry_each(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    values: Mapping[str, Column],
+    chunk: Column,
+    inclusive: bool = False,
+) -> DataFrame:
+    """The last non-null one of each value before each row (or up to it), in one scan."""
+    tagged = df.withColumn("_chunk", chunk).withColumns({f"_v_{n}": v for n, v in values.items()})
     inside = (
         Window.partitionBy(*keys, "_chunk")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    local = tagged.withColumn("_here", F.last("_value", ignorenulls=True).over(inside))
-    position = F.when(F.col("_value").isNotNull(), F.struct(*order))
-    tails = tagged.groupBy(*keys, "_chunk").agg(F.max_by("_value", position).alias("_tail"))
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy("_chunk")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    local = tagged.withColumns(
+        {f"_here_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values}
+    )
+    tails = tagged.groupBy(*keys, "_chunk").agg(
+        *(
+            F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))).alias(f"_tail_{n}")
+            for n in values
+        )
     )
     carried = tails.select(
-        *keys, "_chunk", F.last("_tail", ignorenulls=True).over(earlier).alias("_carry")
+        *keys,
+        "_chunk",
+        *(
+            F.last(f"_tail_{n}", ignorenulls=True).over(earlier_chunks(keys)).alias(f"_carry_{n}")
+            for n in values
+        ),
     )
     joined = local.join(carried, [*keys, "_chunk"], "left")
-    return joined.withColumn(out, F.coalesce("_here", "_carry")).drop(
-        "_chunk", "_value", "_here", "_carry"
+    return joined.select(
+        *(c for c in df.columns if c not in values),
+        *(F.coalesce(f"_here_{n}", f"_carry_{n}").alias(n) for n in values),
+    )
+
+
+def earlier_chunks(keys: Sequence[str]) -> WindowSpec:
+    return (
+        Window.partitionBy(*keys)
+        .orderBy("_chunk")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import activity as A
 from ..functions import loglines as L
-from ..operators import activity, caps
+from ..operators import activity, caps, pairing
 from ..runtime import written
 from .log_queries import category_sql, normalize_sql, part, quoted
 from .registry import Registry, Tables, longs, rounded
@@ -159,6 +159,28 @@ def broken_sections(t: Tables):
     return written(t.sections.withColumn("parent_id", parent), "sections")[0]
 
 
+def log_sides(t: Tables) -> tuple[pairing.Side, pairing.Side]:
+    """Builds with a text log, an activity log or both, some unreadable, some without
+    timings or diagnostics: every combination occurs."""
+    k = F.col("build_key").cast("bigint")
+    text, activity_log, read = k % 3 != 0, k % 3 != 1, k % 5 != 2
+    metrics = t.builds.select("build_key", "total_seconds")
+    timings = t.swift.select("build_key", "file", "line", "milliseconds")
+    diagnostics = t.diagnostics.select("build_key", "fingerprint")
+    others = t.results.select("build_key", F.col("name").alias("fingerprint"))
+    keys = t.builds.select("build_key")
+    return (
+        pairing.Side(
+            keys.where(text), metrics.where(text), timings.where(text & (k % 7 != 3)),
+            diagnostics.where(text & (k % 4 != 1)),
+        ),
+        pairing.Side(
+            keys.where(activity_log), metrics.where(activity_log & read),
+            timings.where(activity_log & read & (k % 2 == 0)), others.where(activity_log & read),
+        ),
+    )
+
+
 def owned_of(t: Tables):
     return Model(t).owned
 
@@ -385,6 +407,32 @@ def register(r: Registry) -> None:
            select build_key, name from v_results
            where build_key not in (select build_key from v_diagnostics)""",
     )
+    r.add(
+        "paired_analyses",
+        lambda t: pairing.pairing_summary(pairing.paired(*log_sides(t))),
+        "v_builds v_swift v_diagnostics v_results",
+        """with b as (select build_key, cast(build_key as bigint) as k from v_builds),
+             t as (select build_key, count(*) as n from v_swift group by 1),
+             d as (select build_key, count(*) as n from v_diagnostics group by 1),
+             e as (select build_key, count(*) as n from v_results group by 1),
+             f as (select b.build_key, k % 3 <> 1 as has_activity, k % 3 <> 1 and k % 5 <> 2 as read,
+                 k % 3 <> 0 as has_text,
+                 case when k % 3 <> 1 and k % 5 <> 2 and k % 2 = 0 then coalesce(t.n, 0) else 0 end as at_,
+                 case when k % 3 <> 0 and k % 7 <> 3 then coalesce(t.n, 0) else 0 end as tt,
+                 case when k % 3 <> 0 and k % 4 <> 1 then coalesce(d.n, 0) else 0 end as td,
+                 case when k % 3 <> 1 and k % 5 <> 2 then coalesce(e.n, 0) else 0 end as ad
+               from b left join t using (build_key) left join d using (build_key)
+                 left join e using (build_key)),
+             g as (select *, case when read then 'activity' when has_text and not has_activity
+                 then 'text' end as m from f),
+             h as (select build_key, m as metrics_from, case when m is null then 0 else 1 end as metrics,
+                 case when at_ > 0 then 'activity' when m is not null and tt > 0 then 'text' end as timings_from,
+                 case when at_ > 0 then at_ when m is not null then tt else 0 end as timings,
+                 case when td > 0 then 'text' when ad > 0 then 'activity' end as diagnostics_from,
+                 case when td > 0 then td else ad end as diagnostics from g)
+           select * replace (cast(metrics as bigint) as metrics) from h
+           where metrics > 0 or timings > 0 or diagnostics > 0""",
+    )
 
     def order() -> list[Column]:
         return [F.desc("seconds"), F.asc("file"), F.asc("step_type"), F.asc_nulls_first("architecture")]

@@ -12,6 +12,7 @@ from ..operators import logs
 from ..runtime import written
 from ..sources import text_logs
 from .registry import Registry, Tables, longs, rounded
+from .store_queries import collected_metadata
 
 
 def quoted(text: str) -> str:
@@ -539,24 +540,42 @@ def _texts(r: Registry) -> None:
           lambda i: cast(ascii(substr(lower(a), i, 1)) as hugeint))),
         lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint)
         as ubigint))), 16, '0')"""
+    def woven(column: str, table: str, *kept: str) -> str:
+        """Common tables whose last, ``woven``, has pseudonyms in place of addresses."""
+        ids = ", ".join(kept)
+        return f"""found as (select {ids}, {column} as text,
+              regexp_extract_all({column}, {quoted(redaction.EMAIL)}) as e,
+              string_split_regex({column}, {quoted(redaction.EMAIL)}) as pieces from {table}),
+            names as (select *, list_transform(e, lambda a: {fnv}) as n from found),
+            woven as (select {ids}, array_to_string(list_transform(range(1, len(pieces) + 1),
+              lambda k: pieces[k] || coalesce(n[k], '')), '') as text from names)"""
+
     r.add(
         "pseudonymised_texts",
         lambda t: t.base("documents").select(
             "doc_id", redaction.redact_emails(F.col("text")).alias("text")
         ),
         "documents",
-        f"""with found as (select doc_id, text,
-              regexp_extract_all(text, {quoted(redaction.EMAIL)}) as e,
-              string_split_regex(text, {quoted(redaction.EMAIL)}) as pieces from documents),
-            names as (select *, list_transform(e, lambda a: {fnv}) as n from found)
-            select doc_id, array_to_string(list_transform(range(1, len(pieces) + 1),
-              lambda k: pieces[k] || coalesce(n[k], '')), '') as text from names""",
+        f"with {woven('text', 'documents', 'doc_id')} select doc_id, text from woven",
     )
     r.add(
         "redacted_values",
         lambda t: t.base("conversations").select(
             "conv_id", "turn", redaction.redact_value(F.col("text")).alias("text")
         ),
+        "conversations",
+        f"""with {woven('text', 'conversations', 'conv_id', 'turn')}
+            select conv_id, turn, {scrubbed} as text from woven""",
+    )
+    r.add(
+        "pseudonymised_metadata",
+        lambda t: collected_metadata(t)[0],
+        "v_builds",
+        f"""with said as (select build_key, build_user || '@example.com wrote this' as value
+              from v_builds where build_user is not null),
+            {woven('value', 'said', 'build_key')}
+            select build_key, 'git.author' as key, text as value from woven
+            union all select build_key, 'build.dir', '<home>/w <redacted>' from v_builds""",
     )
     r.add(
         "message_locations",

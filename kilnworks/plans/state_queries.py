@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..runtime import scratch_path
 from ..streaming import stateful
 from ..streaming.ingest import Ingest, document_stream
-from .registry import Registry, Tables
+from ..streaming.panels import PercentilePanel
+from .registry import Registry, Tables, day_text, rounded
 from .store_queries import quarter_documents
 
 BUILDS = "build_key string, status string, received_at timestamp"
@@ -85,7 +86,29 @@ def delivered(t: Tables) -> DataFrame:
     return spark.read.schema(stateful.DELIVERED).parquet(out)
 
 
+def percentile_panel(t: Tables) -> DataFrame:
+    """Percentiles by day and project, refreshed by two streams into one store."""
+    ingest = Ingest(t.spark, scratch_path(t.spark, "history"))
+    panel = PercentilePanel(ingest, "durations", "project", "total_seconds", {"p50": 0.5, "p95": 0.95})
+    clean = F.col("category") == "clean"
+    for name, part in (("clean", t.builds.where(clean)), ("other", t.builds.where(~clean))):
+        source = scratch_path(t.spark, "incoming")
+        quarter_documents(t, part).select("document").write.text(source)
+        stream = document_stream(t.spark, source)
+        ingest.run(stream, panel.store_documents, name, once=True).awaitTermination()
+    return panel.read()
+
+
 def register(r: Registry) -> None:
+    r.add(
+        "stream_percentile_panel",
+        lambda t: rounded(day_text(percentile_panel(t)), "p50", "p95", digits=8),
+        "v_builds v_targets",
+        """select cast(cast(date_trunc('quarter', received_at) as date) as varchar) as day, project,
+             count(*) as n, round(quantile_cont(total_seconds, 0.5), 8) as p50,
+             round(quantile_cont(total_seconds, 0.95), 8) as p95 from v_builds
+           where build_key in (select build_key from v_targets) group by 1, 2""",
+    )
     r.add(
         "stream_pending_alerts",
         lambda t: alerts(t).select("build_key", F.unix_seconds("due_at").alias("due_at")),

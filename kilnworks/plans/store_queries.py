@@ -407,7 +407,6 @@ def _documents(r: Registry) -> None:
         """select build_key, 'build.dir' as key, '<home>/w <redacted>' as value
            from v_builds""",
     )
-    r.add("pseudonymised_metadata", lambda t: collected_metadata(t)[0])
 
 
 def _store(r: Registry) -> None:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kilnworks.operators import caps, graph, history, intel, regressions, retention
+from kilnworks.operators import percentiles
 from kilnworks.operators.ordered import carry_last, line_chunk, number_rows, top_per_key
 from kilnworks.operators.percentiles import exact_percentiles
 
@@ -88,6 +89,29 @@ def test_exact_percentiles(spark, frame):
     assert quantiles([1.0, 2.0, 10.0], n=20, method="inclusive")[-1] == pytest.approx(9.2)
 
 
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_percentiles_of_close_values_are_refined(spark, monkeypatch, most):
+    monkeypatch.setattr(percentiles, "RANKED_VALUES", most)
+    monkeypatch.setattr(percentiles, "PARTS", 8)
+    rng = random.Random(6)
+    rows = [("close", 50 + rng.randrange(2000) / 20_000, 1 + rng.randrange(3)) for _ in range(3000)]
+    rows += [("far", rng.choice([1e300, -1e300, 5e-324, 0.0, rng.random()]), 1) for _ in range(200)]
+    rows += [("ties", 7.5, 40), ("ties", 7.5, 2), ("none", None, 5)]
+    df = spark.createDataFrame(rows, "key string, v double, times int").repartition(5)
+    wanted = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    for weight in (None, "times"):
+        groups = {}
+        for key, value, times in rows:
+            if value is not None:
+                groups.setdefault(key, []).extend([value] * (times if weight else 1))
+        got = {r["key"]: r for r in exact_percentiles(df, ["key"], "v", wanted, weight).collect()}
+        assert got.keys() == groups.keys()
+        for key, values in groups.items():
+            assert got[key]["n"] == len(values)
+            for name, p in wanted.items():
+                assert got[key][name] == pytest.approx(interpolated(values, p), rel=1e-12, abs=1e-300)
+
+
 # Graphs
 
 
