@@ -68,3 +68,16 @@ def packed(array: np.ndarray) -> bytes:
 
 def unpacked(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
+def under_safe_names(
+    docs: DataFrame, needed: Iterable[str], run: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Apply an operator that keeps columns, those it doesn't need under names of their own.
+
+    What such columns are called can then neither hide nor break a column of the operator.
+    """
+    safe = {name: name if name in needed else f"extra_{at}" for at, name in enumerate(docs.columns)}
+    names = {other: name for name, other in safe.items()}
+    out = run(docs.toDF(*safe.values()))
+    return out.toDF(*(names.get(name, name) for name in out.columns))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored, stored_by
+from .common import SPACES, stored, stored_by, under_safe_names
 
 # Jaccard similarity from which lines count as the same: 4 / 5.
 SIMILARITY = 0.8
@@ -243,11 +243,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     A line with a word goes if an equal line, or one whose set of words has a Jaccard
     similarity of 0.8 or more with its own, comes earlier: in an earlier line of the
     document or in a document of smaller doc_id, itself removed or not. Lines without a
-    word stay. Adds ``n_lines`` and ``n_removed``; all other columns, whatever their
-    names, stay. A null text stays null; null ids come first. Every row is a document of
+    word stay. Adds ``n_lines`` and ``n_removed``, in place of columns of these names;
+    all others, whatever their names, stay. A null text stays null; null ids come first. Every row is a document of
     its own: rows with the same doc_id, or without one, follow each other by the hash of
-    their text. No row goes.
+    their text. No row goes. Very long texts are split into lines like others.
     """
+    docs = docs.drop("n_lines", "n_removed")
+    return under_safe_names(docs, ("doc_id", "text"), _without_repeats)
+
+
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """Like :func:`dedup_lines`, but with the columns of ``docs`` alone."""
+    run = lambda rows: _without_repeats(rows).select(*rows.columns)
+    return under_safe_names(docs, ("doc_id", "text"), run)
+
+
+def _without_repeats(docs: DataFrame) -> DataFrame:
     columns, docs = docs.columns, keyed(docs)
     places = Places(docs)
     lines = stored_by(distinct_lines(docs, places), "lines", "place")

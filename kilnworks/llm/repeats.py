@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, stored, stored_by, unpacked
+from .common import packed, stored, stored_by, under_safe_names, unpacked
 
 MATCH = 400
 SYMBOLS = 4
@@ -470,5 +470,17 @@ def repeated_bytes(docs: DataFrame, match: int = MATCH, frequent: int = FREQUENT
 
 
 def remove_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
-    """``docs`` with the repeated bytes taken out of ``text``; no row goes."""
-    return Repeats(docs, match).kept()
+    """``docs`` with the repeated bytes taken out of ``text``; no row goes.
+
+    Other columns stay as they are, whatever their names. A null text stays null, an
+    empty one empty; of repeated rows each is a document, so their whole texts go; very
+    long texts are handled in parts of a chunk of their own.
+    """
+
+    def run(rows: DataFrame) -> DataFrame:
+        # Whole numbers pass the tasks as text, for with nulls they would become doubles.
+        whole = {c: k for c, k in rows.dtypes if k in ("bigint", "int", "smallint", "tinyint")}
+        kept = Repeats(rows.withColumns({c: F.col(c).cast("string") for c in whole}), match).kept()
+        return kept.withColumns({c: F.col(c).cast(k) for c, k in whole.items()})
+
+    return under_safe_names(docs, ("text",), run)

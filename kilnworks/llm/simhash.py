@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import by_batch, stored, texts_of
+from .common import by_batch, stored, texts_of, under_safe_names
 
 WORDS = 3
 DISTANCE = 2
@@ -186,7 +186,13 @@ def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) ->
     """The row of the smallest doc_id of each component, with all its columns.
 
     Of several such rows one stays; a component of null ids alone keeps one row too.
+    Null and empty texts have fingerprint zero and are one another's copies. The columns
+    may have any names; texts of any length are read as a whole.
     """
+    return under_safe_names(docs, ("doc_id", "text"), lambda rows: _first(rows, words, distance))
+
+
+def _first(docs: DataFrame, words: int, distance: int) -> DataFrame:
     names = docs.columns
 
     def tag(batch: pa.RecordBatch):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, texts_of
+from .common import by_batch, texts_of, under_safe_names
 
 # The model is fitted on at most this many labelled ids of each class, those of the
 # smallest xxhash64; scores cover all rows.
@@ -224,6 +224,14 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the model doesn't call toxic, with their columns as they are."""
-    scored = add_score(docs, train(docs, labels), "_toxicity")
-    return scored.where(F.col("_toxicity") < 0.5).select(*docs.columns)
+    """The rows that the model doesn't call toxic, with their columns as they are.
+
+    The columns may have any names. Null and empty texts are scored by the model's
+    constant alone, repeated rows alike; texts of any length are scored as a whole.
+    """
+
+    def run(rows: DataFrame) -> DataFrame:
+        scored = add_score(rows, train(rows, labels), "_toxicity")
+        return scored.where(F.col("_toxicity") < 0.5).select(*rows.columns)
+
+    return under_safe_names(docs, ("doc_id", "text"), run)
