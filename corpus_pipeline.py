@@ -1,6 +1,9 @@
 """The corpus pipeline: toxicity, line dedup, near-dedup, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
+Rows may be null in any column, repeated or absent; texts may be empty or very long; other
+columns stay, whatever their names. A text without a word is packed as its end alone. Of
+copies one row stays, the texts of null and empty documents among them.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _recounted(line_dedup.dedup_lines(docs), docs.columns)
+    return _recounted(line_dedup.without_repeated_lines(docs), docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
