@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import constants as C
 from .ordered import line_chunk, number_rows, top_per_key
 
 BUILD = ["build_key"]
@@ -119,7 +118,7 @@ def standard_detail(
 
 
 def step_truncation_notes(
-    steps: DataFrame, limit: int = C.STANDARD_STEPS_PER_TARGET
+    steps: DataFrame, limit: int
 ) -> DataFrame:
     """W-15, steps: one note per build with the number of steps left out."""
     over = (

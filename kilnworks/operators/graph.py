@@ -14,7 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import constants as C
 from ..runtime import written
 from .ordered import top_per_key
 
@@ -109,11 +108,11 @@ def fan_counts(edges: DataFrame) -> DataFrame:
     )
 
 
-def hotspots(edges: DataFrame) -> DataFrame:
-    """T-7: the 20 names with most edges in."""
+def hotspots(edges: DataFrame, limit: int) -> DataFrame:
+    """T-7: the names with most edges in."""
     wanted = fan_counts(edges).where(F.col("fan_in") > 0)
     order = [F.desc("fan_in"), F.asc("name")]
-    return top_per_key(wanted, GRAPH, order, C.GRAPH_HOTSPOTS, "position")
+    return top_per_key(wanted, GRAPH, order, limit, "position")
 
 
 def reverse_dependencies(edges: DataFrame) -> DataFrame:
@@ -502,13 +501,15 @@ def why_built(nodes: DataFrame, pairs: DataFrame, chains: DataFrame) -> DataFram
     return answers.unionByName(listed)
 
 
-def graph_summary(nodes: DataFrame, edges: DataFrame, declared: DataFrame) -> DataFrame:
+def graph_summary(
+    nodes: DataFrame, edges: DataFrame, declared: DataFrame, hotspot_limit: int
+) -> DataFrame:
     """GR-10: targets, declared count, dependencies and hotspots per graph."""
     sized = distinct_nodes(nodes).groupBy(*GRAPH).agg(F.count(F.lit(1)).alias("targets"))
     pairs = _paired(edges).where(F.col("src") != F.col("dst"))
     linked = pairs.groupBy(*GRAPH).agg(F.count(F.lit(1)).alias("dependencies"))
     item = F.struct("position", "name")
-    hot = hotspots(edges).groupBy(*GRAPH).agg(
+    hot = hotspots(edges, hotspot_limit).groupBy(*GRAPH).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(item)), lambda h: h["name"]), ", "
         ).alias("hotspots")

@@ -300,7 +300,15 @@ def diagnostic_clusters(
 def flaky_tests(
     builds: DataFrame, tests: DataFrame, last_n: int, top: int, project: str | None = None
 ) -> DataFrame:
-    """AG-15: outcomes per build first, then over builds."""
+    """AG-15: the tests that failed, those retried in most builds first."""
+    failing = failing_tests(builds, tests, last_n, project)
+    return failing.orderBy(F.desc("retried_builds"), F.desc("failed"), "suite", "name").limit(top)
+
+
+def failing_tests(
+    builds: DataFrame, tests: DataFrame, last_n: int, project: str | None = None
+) -> DataFrame:
+    """AG-15, all tests that failed: outcomes per build first, then over builds."""
     failed, passed = F.col("status") == "failed", F.col("status") == "passed"
     per_build = (
         of_recent(tests, builds, last_n, project)
@@ -323,8 +331,6 @@ def flaky_tests(
         )
         .where(F.col("failed") > 0)
         .withColumn("flaky", F.col("passed") > 0)
-        .orderBy(F.desc("retried_builds"), F.desc("failed"), "suite", "name")
-        .limit(top)
     )
 
 
@@ -439,9 +445,12 @@ def git_context(
 
 
 def overview(
-    recent: DataFrame, trend: DataFrame, flaky: DataFrame
+    recent: DataFrame, trend: DataFrame, failed_tests: DataFrame
 ) -> DataFrame:
-    """AG-42: one row; the failed count is null while no build has a verdict."""
+    """AG-42: one row; the failed count is null while no build has a verdict.
+
+    ``failed_tests`` is every test of :func:`failing_tests`, not a list cut to its top.
+    """
     failing = F.contains(F.lower(F.coalesce("status", F.lit(""))), F.lit("fail"))
     builds = recent.agg(
         F.count(F.lit(1)).alias("builds"),
@@ -450,7 +459,7 @@ def overview(
         F.count_if(F.col("status") == "pending_tests").alias("pending_builds"),
     )
     mean = trend.agg(F.avg("total_seconds").alias("avg_seconds"))
-    tests = flaky.agg(
+    tests = failed_tests.agg(
         F.count_if("flaky").alias("flaky_tests"),
         F.count_if(F.col("retried_builds") > 0).alias("retried_tests"),
     )
@@ -540,57 +549,57 @@ def fleet_build_list(builds: DataFrame, last_n: int) -> DataFrame:
     )
 
 
-# T-3: the capped, ordered child lists of the build detail, for any set of builds.
-# Every list is ranked per build with a full tie-break.
+# T-3: the ordered child lists of the build detail, for any set of builds. Every list is
+# ranked per build with a full tie-break, up to the limit that the caller gives.
 
 BUILD = ["day", "build_key"]
 
 
-def detail_targets(targets: DataFrame) -> DataFrame:
+def detail_targets(targets: DataFrame, limit: int) -> DataFrame:
     return top_per_key(
-        targets, BUILD, [F.desc("seconds"), F.asc("name")], C.DETAIL_TARGETS, "position"
+        targets, BUILD, [F.desc("seconds"), F.asc("name")], limit, "position"
     )
 
 
-def detail_phases(phases: DataFrame) -> DataFrame:
+def detail_phases(phases: DataFrame, limit: int) -> DataFrame:
     return top_per_key(
-        phases, BUILD, [F.desc("seconds"), F.asc("name")], C.DETAIL_PHASES, "position"
+        phases, BUILD, [F.desc("seconds"), F.asc("name")], limit, "position"
     )
 
 
-def detail_files(files: DataFrame) -> DataFrame:
+def detail_files(files: DataFrame, limit: int) -> DataFrame:
     order = [F.desc("seconds"), F.asc("file"), F.asc("architecture")]
-    return top_per_key(files, BUILD, order, C.DETAIL_FILES, "position")
+    return top_per_key(files, BUILD, order, limit, "position")
 
 
-def detail_swift_timings(timings: DataFrame) -> DataFrame:
+def detail_swift_timings(timings: DataFrame, limit: int) -> DataFrame:
     order = [F.desc("milliseconds"), *map(F.asc, ("kind", "file", "line", "column_number"))]
-    return top_per_key(timings, BUILD, order, C.DETAIL_SWIFT_TIMINGS, "position")
+    return top_per_key(timings, BUILD, order, limit, "position")
 
 
 def detail_diagnostics(
-    diagnostics: DataFrame, first_severities: tuple[str, ...] = ("error",)
+    diagnostics: DataFrame, limit: int, first_severities: tuple[str, ...] = ("error",)
 ) -> DataFrame:
     order = [
         F.col("severity").isin(*first_severities).desc(),
         F.desc("occurrences"),
         F.asc("fingerprint"),
     ]
-    return top_per_key(diagnostics, BUILD, order, C.DETAIL_DIAGNOSTICS, "position")
+    return top_per_key(diagnostics, BUILD, order, limit, "position")
 
 
-def detail_tests(tests: DataFrame) -> DataFrame:
+def detail_tests(tests: DataFrame, limit: int) -> DataFrame:
     order = [
         F.desc("any_failed"),
         F.col("seconds").desc_nulls_last(),
         F.asc("suite"),
         F.asc("name"),
     ]
-    return top_per_key(test_rollup(tests), BUILD, order, C.DETAIL_TESTS, "position")
+    return top_per_key(test_rollup(tests), BUILD, order, limit, "position")
 
 
-def detail_steps(steps: DataFrame) -> DataFrame:
-    return top_per_key(steps, BUILD, [F.asc("ordinal")], C.DETAIL_STEPS, "position")
+def detail_steps(steps: DataFrame, limit: int) -> DataFrame:
+    return top_per_key(steps, BUILD, [F.asc("ordinal")], limit, "position")
 
 
 def detail_header(builds: DataFrame) -> DataFrame:

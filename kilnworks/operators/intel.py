@@ -104,8 +104,10 @@ def impact_downstream(matches: DataFrame, dependents: DataFrame) -> DataFrame:
     ).select(*BUILD, "position", "changed_file", F.col("dependent").alias("downstream_target"))
 
 
-def bottlenecks(targets: DataFrame, pairs: DataFrame, dependents: DataFrame) -> DataFrame:
-    """BI-3: slow targets by the work they hold up, five per build."""
+def bottlenecks(
+    targets: DataFrame, pairs: DataFrame, dependents: DataFrame, limit: int
+) -> DataFrame:
+    """BI-3: slow targets by the work they hold up, the first of each build."""
     slow = (
         targets.groupBy(*BUILD, F.col("name").alias("target"))
         .agg(F.sum("seconds").alias("seconds"))
@@ -135,7 +137,7 @@ def bottlenecks(targets: DataFrame, pairs: DataFrame, dependents: DataFrame) ->
         .withColumn("score", F.col("seconds") * (1.0 + F.col("blocked_downstream")))
     )
     order = [F.desc("score"), F.asc("target")]
-    return top_per_key(scored, BUILD, order, C.BOTTLENECK_LIMIT, "position")
+    return top_per_key(scored, BUILD, order, limit, "position")
 
 
 # Evidence
@@ -335,10 +337,10 @@ def outside_bodies(timings: DataFrame) -> DataFrame:
     return slow.where(body).unionByName(slow.where(~body).join(bodies, inside, "left_anti"))
 
 
-def site_advice(timings: DataFrame) -> DataFrame:
-    """BI-5: the five slowest remaining sites of each build."""
+def site_advice(timings: DataFrame, limit: int) -> DataFrame:
+    """BI-5: the slowest remaining sites of each build."""
     order = [F.desc("milliseconds"), *map(F.asc, ("file", "line", "column_number", "kind"))]
-    kept = top_per_key(outside_bodies(timings), BUILD, order, C.ADVICE_SITE_LIMIT)
+    kept = top_per_key(outside_bodies(timings), BUILD, order, limit)
     named = F.col("symbol").isNotNull() & (F.col("kind") == "function_body")
     return kept.select(
         *BUILD,
@@ -416,11 +418,13 @@ def target_advice(timings: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def advice(timings: DataFrame, targets: DataFrame, builds: DataFrame) -> DataFrame:
-    """All advice of the builds that pass the gate."""
+def advice(
+    timings: DataFrame, targets: DataFrame, builds: DataFrame, site_limit: int
+) -> DataFrame:
+    """All advice of the builds that pass the gate, of sites the first of each build."""
     kept = advised_timings(timings, builds)
     return (
-        site_advice(kept)
+        site_advice(kept, site_limit)
         .unionByName(file_advice(kept))
         .unionByName(target_advice(kept, targets))
     )

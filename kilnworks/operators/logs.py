@@ -248,7 +248,7 @@ def test_summary(events: DataFrame, tests: DataFrame, crashes: DataFrame) -> Dat
     return joined.select(*LOG, *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
 
 
-def slowest_tests(tests: DataFrame, limit: int = C.SLOWEST_TESTS) -> DataFrame:
+def slowest_tests(tests: DataFrame, limit: int) -> DataFrame:
     """T-5."""
     order = [F.col("seconds").desc_nulls_last(), F.asc("line_no")]
     return top_per_key(tests, LOG, order, limit, "position")
@@ -273,12 +273,10 @@ def target_seconds(timings: DataFrame) -> DataFrame:
     return named.groupBy(*LOG, "target").agg(F.sum("seconds").alias("seconds"))
 
 
-def slowest_timing_targets(timings: DataFrame) -> DataFrame:
+def slowest_timing_targets(timings: DataFrame, limit: int) -> DataFrame:
     """T-6."""
     order = [F.desc("seconds"), F.asc("target")]
-    return top_per_key(
-        target_seconds(timings), LOG, order, C.SLOWEST_TIMING_TARGETS, "position"
-    )
+    return top_per_key(target_seconds(timings), LOG, order, limit, "position")
 
 
 def text_metrics(lines: DataFrame) -> DataFrame:

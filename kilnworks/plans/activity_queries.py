@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -212,6 +213,33 @@ def usable_of(t: Tables):
     )
 
 
+def ruled_builds(t: Tables):
+    """Builds of every kind that the rules tell apart: with nothing but set-up phases of
+    each name, partly decoded for each reason, measured, timed or none of these."""
+    k = F.col("build_key").cast("bigint")
+    builds = t.builds.select(
+        "build_key",
+        F.when(k % 6 != 1, F.col("total_seconds")).alias("total_seconds"),
+        F.when(F.col("compiled_count") % 3 == 0, 0).otherwise(F.col("compiled_count")).alias("compiled_count"),
+    )
+    keys = t.builds.select("build_key")
+
+    def one_of(values: tuple[str, ...], of) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), (of % len(values) + 1).cast("int"))
+
+    setup = keys.where(k % 4 != 3).select("build_key", F.concat(one_of(C.SETUP_PHASES, k), F.lit(" (x)")).alias("name"))
+    work = keys.where(k % 4 == 2).select("build_key", F.lit("Compile").alias("name"))
+    told = F.when(k % 13 < 6, F.concat(F.lit("log: "), one_of(C.PARTIAL_DECODE_MARKERS, k))).otherwise("slow")
+    return activity.usable_builds(
+        builds,
+        keys.where(k % 5 == 0),
+        setup.unionByName(work),
+        keys.where(k % 7 == 0),
+        keys.where(k % 11 == 0),
+        keys.select("build_key", told.alias("warning")),
+    )
+
+
 def register(r: Registry) -> None:
     def add(name, run, prefix, sql):
         r.add(name, run, VIEWS, f"with {prefix} {sql}")
@@ -387,6 +415,20 @@ def register(r: Registry) -> None:
              f > 0 or s > 0 or (not setup_only and total_seconds is not null
                and (t > 0 or p > 0)) as usable from g""",
     )
+    r.add(
+        "usable_build_rules",
+        ruled_builds,
+        "v_builds",
+        """with b as (select build_key, cast(build_key as bigint) as k, total_seconds, received_at,
+               case when compiled_count % 3 = 0 then 0 else compiled_count end as compiled
+             from v_builds),
+           f as (select *, k % 5 = 0 as has_target, k % 7 = 0 as has_file, k % 11 = 0 as has_timing,
+               k % 4 <> 3 as has_phases, k % 4 <> 2 as only_setup, k % 13 < 6 as cut from b),
+           g as (select *, not has_target and not has_file and compiled = 0 as bare from f)
+           select build_key, bare and has_phases and only_setup as setup_only, bare and cut as decoded_partially,
+             has_file or has_timing or (not (bare and has_phases and only_setup) and not (bare and cut)
+               and k % 6 <> 1 and (has_target or has_phases)) as usable from g""",
+    )
     r.add(
         "swift_site_totals",
         lambda t: rounded(activity.swift_site_totals(t.unit_swift), "milliseconds", digits=8),

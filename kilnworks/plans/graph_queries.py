@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..operators import graph, intel
 from ..runtime import written
 from .registry import Registry, Tables, longs, rounded
@@ -119,7 +120,7 @@ def register(r: Registry) -> None:
     )
     add(
         "graph_hotspots",
-        lambda t: longs(graph.hotspots(t.edges), "position", "fan_in", "fan_out"),
+        lambda t: longs(graph.hotspots(t.edges, C.GRAPH_HOTSPOTS), "position", "fan_in", "fan_out"),
         f"{PAIRS}, {fans}",
         """select * from (select *, row_number() over (partition by graph
              order by fan_in desc, name) as position from fans where fan_in > 0)
@@ -197,6 +198,7 @@ def register(r: Registry) -> None:
             t.nodes,
             t.edges,
             t.nodes.groupBy("graph").agg((F.count(F.lit(1)) + 1).alias("declared_count")),
+            C.GRAPH_HOTSPOTS,
         ),
         f"""{PAIRS}, {fans}, declared as ({declared}),
           hot as (select graph, string_agg(name, ', ' order by position) as hotspots from (
@@ -348,13 +350,18 @@ def evidence_of(t: Tables, links=None):
 
 
 def advice_of(t: Tables):
-    return intel.advice(t.unit_swift, t.unit_targets, t.unit_builds)
+    return intel.advice(t.unit_swift, t.unit_targets, t.unit_builds, C.ADVICE_SITE_LIMIT)
+
+
+def heavier(timings):
+    """Timings of builds that spend much of their steps on type checking."""
+    return timings.withColumn("milliseconds", F.col("milliseconds") * 8)
 
 
 def bottlenecks_of(t: Tables, pairs=None, dependents=None):
     pairs = pairs_of(t) if pairs is None else pairs
     dependents = dependents_of(t, pairs) if dependents is None else dependents
-    return intel.bottlenecks(t.unit_targets, pairs, dependents)
+    return intel.bottlenecks(t.unit_targets, pairs, dependents, C.BOTTLENECK_LIMIT)
 
 
 BOTTLENECKS = f"""{DEPENDENTS},
@@ -463,7 +470,7 @@ def _intel(r: Registry) -> None:
         "select build_key, a as suspended, b as shifted from counters",
     )
     for name, run, table in (
-        ("site_advice", intel.site_advice, "sites"),
+        ("site_advice", lambda x: intel.site_advice(x, C.ADVICE_SITE_LIMIT), "sites"),
         ("file_advice", intel.file_advice, "filed"),
     ):
         add(
@@ -480,12 +487,15 @@ def _intel(r: Registry) -> None:
         "target_advice",
         lambda t: rounded(
             intel.target_advice(
-                intel.advised_timings(t.unit_swift, t.unit_builds), t.unit_targets
+                intel.advised_timings(heavier(t.unit_swift), t.unit_builds), t.unit_targets
             ),
             "milliseconds",
             digits=8,
         ),
-        TIMED,
+        TIMED.replace(
+            "from v_unit_swift t",
+            "from (select * replace (milliseconds * 8 as milliseconds) from v_unit_swift) t",
+        ),
         "select * replace (round(milliseconds, 8) as milliseconds) from targeted",
     )
     add(

@@ -287,13 +287,13 @@ def _aggregates(r: Registry) -> None:
             cast(sum(failed) as bigint) as failed, cast(sum(passed) as bigint) as passed,
             round(avg(avg_seconds), 4) as avg_seconds,
             count(*) filter (where failed > 0 and passed > 0) as retried_builds
-          from per_build group by suite, name having sum(failed) > 0
-          order by retried_builds desc, failed desc, suite, name limit {TOP})"""
+          from per_build group by suite, name having sum(failed) > 0)"""
     r.add(
         "flaky_tests",
         lambda t: rounded(history.flaky_tests(t.builds, t.tests, LAST, TOP), "avg_seconds"),
         "v_builds v_tests",
-        f"with {RECENT}, {flaky} select *, passed > 0 as flaky from flaky",
+        f"""with {RECENT}, {flaky} select *, passed > 0 as flaky from flaky
+            order by retried_builds desc, failed desc, suite, name limit {TOP}""",
     )
     r.add(
         "overview",
@@ -301,7 +301,7 @@ def _aggregates(r: Registry) -> None:
             history.overview(
                 history.recent_builds(t.builds, 100),
                 history.duration_trend(t.builds, LAST),
-                history.flaky_tests(t.builds, t.tests, LAST, TOP),
+                history.failing_tests(t.builds, t.tests, LAST),
             ),
             "avg_seconds",
         ),
@@ -394,7 +394,7 @@ def _details(r: Registry) -> None:
     def add(name, view, run, columns, order, limit):
         r.add(
             name,
-            lambda t: longs(run(getattr(t, view)), "position").select(
+            lambda t: longs(run(getattr(t, view), limit), "position").select(
                 "build_key", "position", *columns
             ),
             f"v_{view}",
@@ -442,7 +442,7 @@ def _details(r: Registry) -> None:
     r.add(
         "detail_tests",
         lambda t: rounded(
-            longs(history.detail_tests(t.tests), "position").drop("day", "any_failed"), "seconds"
+            longs(history.detail_tests(t.tests, C.DETAIL_TESTS), "position").drop("day", "any_failed"), "seconds"
         ),
         "v_tests",
         """with rollup_ as (select build_key, suite, name, max_by(status, attempt) as status,
@@ -459,7 +459,8 @@ def _details(r: Registry) -> None:
         "detail_steps",
         lambda t: longs(
             history.detail_steps(
-                caps.step_ordinals(t.steps.withColumnRenamed("position", "source"), "source")
+                caps.step_ordinals(t.steps.withColumnRenamed("position", "source"), "source"),
+                C.DETAIL_STEPS,
             ),
             "ordinal",
             "position",

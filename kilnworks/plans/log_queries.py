@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions import diagnostics as D
 from ..functions import loglines as L
 from ..functions import paths, redaction, tags
@@ -378,7 +379,7 @@ def register(r: Registry) -> None:
     add(
         "slowest_log_tests",
         lambda t: longs(
-            logs.slowest_tests(logs.log_tests(events_of(t))), "position"
+            logs.slowest_tests(logs.log_tests(events_of(t)), C.SLOWEST_TESTS), "position"
         ).select("log_id", "position", "suite", "name", "seconds"),
         TESTS,
         """select log_id, position, suite, name, seconds from (select *, row_number() over (
@@ -413,7 +414,7 @@ def register(r: Registry) -> None:
     add(
         "slowest_timing_targets",
         lambda t: longs(
-            logs.slowest_timing_targets(logs.log_timings(lines_of(t))), "position"
+            logs.slowest_timing_targets(logs.log_timings(lines_of(t)), C.SLOWEST_TIMING_TARGETS), "position"
         ),
         TIMING,
         """select log_id, target, seconds, position from (select *, row_number() over (

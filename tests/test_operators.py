@@ -526,7 +526,7 @@ def test_bottleneck_scores(spark):
         "build_key string, name string, seconds double",
     )
     dependents = intel.named_dependents(graph.closure(pairs))
-    rows = intel.bottlenecks(targets, pairs, dependents).collect()
+    rows = intel.bottlenecks(targets, pairs, dependents, 5).collect()
     assert [(r.target, r.score, r.fan_in, r.blocked_downstream) for r in rows] == [
         ("Core", 126.0, 2, 2)
     ]

@@ -29,7 +29,7 @@ def test_only_needed_columns_are_read(spark):
 
 def test_caps_drop_rows_before_the_shuffle(spark):
     t = Tables(spark, SF)
-    assert "WindowGroupLimit" in plan_of(history.detail_targets(t.targets))
+    assert "WindowGroupLimit" in plan_of(history.detail_targets(t.targets, 100))
 
 
 def test_day_window_prunes_partitions(spark, tmp_path):
