@@ -10,7 +10,7 @@ from ..functions import loglines as L
 from ..functions import paths, redaction, tags
 from ..functions import tests as X
 from ..operators import logs
-from ..runtime import written
+from ..runtime import scratch_path, written
 from ..sources import text_logs
 from .registry import Registry, Tables, longs, rounded
 from .store_queries import collected_metadata
@@ -296,6 +296,17 @@ def issue_of(t: Tables):
     ).withColumn("next_steps", F.array_join("next_steps", "|"))
 
 
+def scanned_files(t: Tables):
+    """Lines as they are read from files, one a log, that the view's lines are written to."""
+    path = scratch_path(t.spark, "text-logs")
+    ordered = t.lines.repartition("log_id").sortWithinPartitions("log_id", "line_no")
+    ordered.select("log_id", "line").write.partitionBy("log_id").text(path)
+    name = F.regexp_extract("log_id", r"log_id=([^/]+)/", 1)
+    return text_logs.read_text_logs(t.spark, path).withColumn("log_id", name).select(
+        "log_id", "line_no", "line"
+    )
+
+
 def register(r: Registry) -> None:
     def add(name, run, prefix, sql):
         r.add(name, run, "v_lines", f"with {prefix} {sql}")
@@ -306,6 +317,13 @@ def register(r: Registry) -> None:
         LINES,
         "select log_id, line_no, line from lines",
     )
+    numbered = "(select log_id, line, row_number() over (partition by log_id order by line_no) as line_no from v_lines)"
+    add(
+        "text_log_scan",
+        scanned_files,
+        LINES.replace("v_lines", numbered),
+        "select log_id, line_no, line from lines",
+    )
     add(
         "log_routing",
         lambda t: events_of(t).select("log_id", "line_no", "kind"),

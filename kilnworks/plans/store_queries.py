@@ -17,6 +17,20 @@ EPOCH_DAY = "1970-01-01"
 HOME = "'" + redaction.HOME.replace("'", "''") + "'"
 
 
+def redacted_sql(prefix: str, column: str) -> str:
+    """The three rules of SF-25 as SQL, over a column behind a text."""
+    text = f"('{prefix}' || {column})"
+    rules = (
+        (redaction.BEARER, redaction.PLACEHOLDER),
+        (redaction.SECRET, redaction.PLACEHOLDER),
+        (redaction.HOME, "<home>"),
+    )
+    for pattern, put in rules:
+        quoted = pattern.replace("'", "''")
+        text = f"regexp_replace({text}, '{quoted}', '{put}', 'g')"
+    return text
+
+
 def epoch_day():
     return F.lit(EPOCH_DAY).cast("date")
 
@@ -25,6 +39,14 @@ def exported(t: Tables) -> DataFrame:
     return documents.export_documents(t.builds, t.targets, t.phases, t.results, t.files)
 
 
+def full_documents(t: Tables) -> DataFrame:
+    """Documents with all seven lists."""
+    steps = t.steps.withColumns({"ordinal": F.col("position"), "fingerprint": F.col("title")})
+    return documents.export_documents(
+        t.builds, t.targets, t.phases, t.results, t.files, t.swift, steps, t.diagnostics
+    )
+
+
 def damaged(t: Tables) -> DataFrame:
     """Documents of the builds; those of one project are broken in various ways."""
     text = F.col("document")
@@ -358,6 +380,55 @@ def _documents(r: Registry) -> None:
         """select build_key, suite, name, status, seconds, message,
              cast(attempt as bigint) as attempt from v_tests""",
     )
+    def details(t: Tables, table: str) -> DataFrame:
+        rows = documents.parse_documents(
+            full_documents(t).select("document"), F.col("document")
+        )
+        return documents.shred(documents.accepted_documents(rows, epoch_day()))[table].drop("day")
+
+    r.add(
+        "document_swift_timings",
+        lambda t: details(t, "build_swift_timings"),
+        "v_swift",
+        """select build_key, kind, file, line, column_number, symbol, milliseconds, target
+           from v_swift""",
+    )
+    r.add(
+        "document_diagnostics",
+        lambda t: details(t, "build_diagnostics"),
+        "v_diagnostics",
+        """select build_key, fingerprint, severity, category, occurrences, message, file, line,
+             target from v_diagnostics""",
+    )
+    r.add(
+        "document_steps",
+        lambda t: longs(details(t, "build_steps"), "ordinal"),
+        "v_steps",
+        """select build_key, row_number() over (partition by build_key order by position) - 1
+             as ordinal, title as fingerprint, step_type, title, file, target, architecture,
+             cast(seconds as double) as seconds, started_at, ended_at, fetched_from_cache,
+             executed from v_steps""",
+    )
+    # Every redacted column is given a home directory and a token first.
+    spoilt = "/Users/ci/x token=abc "
+    for name, view, table, keys, columns in (
+        ("redacted_builds", "builds", "builds", ["build_key"], ["project", "machine_id", "scheme", "build_host"]),
+        ("redacted_targets", "targets", "build_targets", ["build_key", "seconds"], ["name"]),
+        ("redacted_phases", "phases", "build_phases", ["build_key", "seconds"], ["name"]),
+        ("redacted_diagnostics", "diagnostics", "build_diagnostics", ["build_key", "severity"], ["fingerprint", "message", "target"]),
+        ("redacted_steps", "steps", "build_steps", ["build_key", "position"], ["title"]),
+        ("redacted_tests", "tests", "build_tests", ["build_key", "suite", "name", "attempt"], ["message"]),
+        ("redacted_metadata", "metadata", "build_metadata", ["build_key"], ["key", "value"]),
+    ):
+        shown = [f"{redacted_sql(spoilt, c)} as {c}" for c in columns]
+        r.add(
+            name,
+            lambda t, view=view, table=table, keys=keys, columns=columns: providers.redacted_table(
+                getattr(t, view).withColumns({c: F.concat(F.lit(spoilt), c) for c in columns}), table
+            ).select(*keys, *columns),
+            f"v_{view}",
+            f"select {', '.join([*keys, *shown])} from v_{view}",
+        )
     r.add(
         "partition_days",
         lambda t: day_text(store.with_day(t.builds, epoch_day()).select("build_key", "day")),

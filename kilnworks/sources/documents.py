@@ -144,7 +144,9 @@ def shred(documents: DataFrame) -> dict[str, DataFrame]:
     return {table: schemas.typed(frame, table) for table, frame in rows.items()}
 
 
-def _nested(children: DataFrame, name: str, order: list[str], fields: list[str]) -> DataFrame:
+def _nested(
+    children: DataFrame, name: str, order: list[str], fields: list[str | Column]
+) -> DataFrame:
     """Child rows of each build as one ordered array, as a document holds them."""
     item = F.struct(*order, F.struct(*fields).alias("_item"))
     return children.groupBy("day", "build_key").agg(
@@ -158,11 +160,14 @@ def export_documents(
     phases: DataFrame,
     tests: DataFrame | None = None,
     files: DataFrame | None = None,
+    timings: DataFrame | None = None,
+    steps: DataFrame | None = None,
+    diagnostics: DataFrame | None = None,
 ) -> DataFrame:
     """SRC-9: (build_key, document) with one JSON text per build.
 
-    Lists are whole: a document holds every row of its build, in the order of W-12 and
-    the tests in log order. A caller who wants shorter lists caps them before (W-12,
+    Lists are whole: a document holds every row of its build, in the order of W-12,
+    tests and steps in log order and diagnostics by fingerprint. A caller who wants shorter lists caps them before (W-12,
     W-13). Durations that are not finite are written as null, and null fields stay.
     """
     finite = F.when(
@@ -205,6 +210,21 @@ def export_documents(
             _nested(slow, "files", ["_slow", "file", "step_type", "architecture"], fields), keys, "left"
         )
         nested.append("files")
+    if timings is not None:
+        fields = ["kind", "file", "line", F.col("column_number").alias("column"), "symbol", "milliseconds", "target"]
+        slow = timings.withColumn("_slow", -F.col("milliseconds"))
+        order = ["_slow", "kind", "file", "line", "column_number"]
+        joined = joined.join(_nested(slow, "swift_timings", order, fields), keys, "left")
+        nested.append("swift_timings")
+    if steps is not None:
+        fields = ["fingerprint", "step_type", "title", "file", "target", "architecture", "seconds"]
+        fields += ["started_at", "ended_at", "fetched_from_cache", "executed"]
+        joined = joined.join(_nested(steps, "steps", ["ordinal"], fields), keys, "left")
+        nested.append("steps")
+    if diagnostics is not None:
+        fields = ["fingerprint", "severity", "category", "occurrences", "message", "file", "line", "target"]
+        joined = joined.join(_nested(diagnostics, "diagnostics", ["fingerprint"], fields), keys, "left")
+        nested.append("diagnostics")
     body = F.struct(
         F.lit(C.WIRE_VERSION).alias("wire_version"),
         "build_key",

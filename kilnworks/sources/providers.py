@@ -16,6 +16,17 @@ ENTRY = "build_key string, key string, value string"
 WARNING = "provider string, warning string"
 
 
+# What an error says that comes from the cluster and not from a provider.
+CLUSTER_FAILURES = (
+    "ExecutorLostFailure",
+    "executor lost",
+    "FetchFailed",
+    "SparkContext was shut down",
+    "stopped SparkContext",
+    "No space left on device",
+)
+
+
 @dataclass(frozen=True)
 class Provider:
     """A named source of (build_key, key, value) rows."""
@@ -28,7 +39,8 @@ def run_providers(
     spark: SparkSession, providers: list[Provider], builds: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """UD-2: (entries, warnings). Keys and values are redacted; a later provider
-    wins a repeated key; a failing provider becomes a warning.
+    wins a repeated key; a failing provider becomes a warning. A failure of the cluster
+    is none of a provider's and ends the job, so that it can be repeated.
 
     Each provider's rows are written on their own, so its failure is seen here
     and does not stop the others.
@@ -47,6 +59,8 @@ def run_providers(
                 "provider",
             )
         except Exception as error:  # a provider may fail in any way
+            if any(said in str(error) for said in CLUSTER_FAILURES):
+                raise
             warnings.append((provider.name, str(error).splitlines()[0]))
             continue
         collected = rows if collected is None else collected.unionByName(rows)
@@ -64,14 +78,14 @@ def run_providers(
 
 # Which rule scrubs which text column of a stored table.
 REDACTED_COLUMNS: dict[str, dict[str, str]] = {
-    "builds": {"project": "text", "machine_id": "text"},
+    "builds": {"project": "text", "machine_id": "text", "scheme": "text", "build_host": "text"},
     "build_targets": {"name": "text"},
     "build_phases": {"name": "text"},
     "build_files": {"file": "path", "target": "text"},
     "build_swift_timings": {"file": "path", "symbol": "text"},
-    "build_diagnostics": {"file": "path", "message": "text", "target": "text"},
+    "build_diagnostics": {"file": "path", "message": "text", "target": "text", "fingerprint": "text"},
     "build_steps": {"title": "text", "file": "path", "fingerprint": "path"},
-    "build_tests": {},
+    "build_tests": {"message": "text"},
     "build_metadata": {"key": "value", "value": "value"},
 }
 

@@ -426,6 +426,15 @@ def test_failing_provider_becomes_a_warning(spark):
     assert [r.provider for r in warnings.collect()] == ["broken"]
 
 
+def test_a_lost_executor_is_no_warning(spark):
+    def collect(builds):
+        raise RuntimeError("Job aborted: ExecutorLostFailure (executor 3 exited)")
+
+    builds = spark.createDataFrame([("b",)], "build_key string")
+    with pytest.raises(RuntimeError):
+        providers.run_providers(spark, [providers.Provider("git", collect)], builds)
+
+
 SECTION = (
     "build_key string, section_id string, parent_id string, ord bigint, title string, "
     "signature string, subtitle string, time_started double, time_stopped double, "
