@@ -15,7 +15,7 @@ import sys
 import time
 
 from kilnworks.plans.catalog import catalog
-from kilnworks.runtime import local_session
+from kilnworks.runtime import local_session, scratch_scope
 
 HEADLINE = (
     "baseline_regressions",
@@ -60,7 +60,8 @@ def main() -> None:
     spark.read.parquet(f"{folder}/lineitem.parquet").write.format("noop").mode("overwrite").save()
 
     def run(name: str) -> None:
-        queries[name](spark, folder).write.format("noop").mode("overwrite").save()
+        with scratch_scope(spark):
+            queries[name](spark, folder).write.format("noop").mode("overwrite").save()
 
     seconds = {}
     for name in names:

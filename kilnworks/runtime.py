@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _local_scratch: dict[str, str] = {}
+# Intermediate tables of this driver that no scope has deleted yet.
+_made: list[str] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -59,7 +63,33 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    # Tables over a folder bear its name.
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    spark.sql(f"drop table if exists `{name}`")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables made inside, at its end or on an error.
+
+    Results that read them have to be written or fetched before.
+    """
+    begun = len(_made)
+    try:
+        yield
+    finally:
+        made = _made[begun:]
+        del _made[begun:]
+        for path in made:
+            _delete(spark, path)
 
 
 def written(df: DataFrame, label: str) -> tuple[DataFrame, int]:

@@ -1,8 +1,11 @@
 """What the physical plans must look like."""
 
+import os
+
 from pyspark.sql import functions as F
 
-from kilnworks.operators import history, regressions
+from kilnworks import runtime
+from kilnworks.operators import graph, history, regressions
 from kilnworks.plans.registry import Tables
 from kilnworks.plans.views import table
 
@@ -69,3 +72,14 @@ def test_steps_of_a_long_build_all_have_a_number(spark):
     assert [r.ordinal for r in rows] == list(range(20_050))
     keys = [(r.started_at is None, r.started_at or 0, r.position) for r in rows]
     assert keys == sorted(keys)
+
+
+def test_a_scope_leaves_no_files(spark):
+    root = runtime.scratch_root(spark)
+    pairs = spark.createDataFrame([("g", 1, 2), ("g", 2, 3)], "graph string, src int, dst int")
+    before = set(os.listdir(root))
+    with runtime.scratch_scope(spark):
+        kept, _ = runtime.written(pairs, "scoped")
+        assert graph.closure(kept).count() == 3
+        assert set(os.listdir(root)) > before
+    assert set(os.listdir(root)) == before
