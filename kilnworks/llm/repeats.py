@@ -436,11 +436,12 @@ class Repeats:
                     removed = int(hit.sum())
                     spans = int(hit[0]) + int((hit[1:] & ~hit[:-1]).sum())
                     left = np.frombuffer(text, np.uint8)[~hit].tobytes()
-                out.append((doc, len(text), removed, spans, hashlib.sha256(left).hexdigest()))
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                digest = hashlib.sha256(left).hexdigest()
+                out.append((doc, len(text), removed, spans, digest, removed > 0))
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeated"]
             return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-        schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean"
         return self._cover(handle, self.chunks.select("_chunk", _ROW, "doc_id", "text"), schema)
 
     def kept(self) -> DataFrame:
@@ -462,7 +463,8 @@ def repeated_bytes(docs: DataFrame, match: int = MATCH, frequent: int = FREQUENT
     """Counts of every row's repeated bytes, and the digest of the others.
 
     Takes ``doc_id`` and ``text``; other columns are ignored. A byte goes if a string
-    of ``match`` bytes over it also starts anywhere else. Null and empty texts have
+    of ``match`` bytes over it also starts anywhere else; ``repeated`` says whether any
+    goes. Very long texts are handled in a chunk of their own. Null and empty texts have
     nothing to remove; repeated rows repeat each other; a null doc_id stays null.
     """
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
