@@ -4,8 +4,8 @@ Equal lines are one from the start. The words of a line are ordered by rarity: b
 count on a logarithmic scale, then by hash. Any order that is the same for all lines
 gives the same result; this one keeps common words out of the prefixes. Two lines with
 Jaccard similarity of SIMILARITY or more share at least SHARED words among their
-prefixes, so lines are joined on prefix words only, filtered by length and by the words'
-positions, and verified.
+prefixes, so lines are joined on prefix words only, filtered by length, by the words'
+positions and by a parity bit for each of 64 classes of words, and verified.
 
 The join runs twice. At first each line meets the earliest line of its HEAD rarest
 words, which settles the many variants of a line without pairing them with each other.
@@ -104,7 +104,9 @@ def _counter(hashed: Column) -> Column:
 
 def _rarity(lines: DataFrame) -> bytearray:
     """The rank of every counter, 0 to 127, rare first; 0 only for a word found once."""
-    words = lines.select(F.explode(F.split("line", f"[{SPACES}]+")).alias("word"))
+    # Every task sends on a count for most counters, so there are no more tasks than needed.
+    n_tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = lines.select(F.explode(F.split("line", f"[{SPACES}]+")).alias("word")).coalesce(n_tasks)
     counts = words.groupBy(_counter(F.xxhash64("word")).alias("at")).agg(F.count("*").alias("n"))
     rank = F.least(F.floor(F.log2("n") * STEPS), F.lit(127)).cast("long")
     # A fixed number of counters, whatever the input.
@@ -119,10 +121,12 @@ def _rarity(lines: DataFrame) -> bytearray:
 
 
 def prefixes(lines: DataFrame, ranks: bytearray) -> DataFrame:
-    """``place, size, words``: the rarest words of every line, rarest first.
+    """``place, size, words, odd``: the rarest words of every line, rarest first.
 
     A word has its rank in the upper bits and its hash below; ``size`` is the number
-    of words of the line.
+    of words of the line. ``odd`` has a bit for each of 64 classes of words, set if the
+    line has an odd number of words of that class: two lines differ in at most as many
+    bits as in words.
     """
     table = F.lit(bytes(ranks))
 
@@ -134,10 +138,17 @@ def prefixes(lines: DataFrame, ranks: bytearray) -> DataFrame:
     words = F.filter(F.split("line", f"[{SPACES}]+"), lambda w: w != "")
     hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
     keys = F.sort_array(F.array_distinct(F.transform(hashes, key)))
-    sized = lines.select("place", keys.alias("words")).withColumn("size", F.size("words"))
+    def toggled(bits: Column, word: Column) -> Column:
+        place = F.shiftright(word, 40).bitwiseAND(F.lit(63)).cast("int")
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+
+    odd = F.aggregate("words", F.lit(0).cast("long"), toggled)
+    sized = lines.select("place", keys.alias("words")).select(
+        "place", "words", F.size("words").alias("size"), odd.alias("odd")
+    )
     # size - ceil(0.8 size) + SHARED, in whole numbers.
     length = F.col("size") - F.ceil(F.col("size") * 4 / 5).cast("int") + SHARED
-    return sized.select("place", "size", F.slice("words", F.lit(1), length).alias("words"))
+    return sized.select("place", "size", F.slice("words", F.lit(1), length).alias("words"), "odd")
 
 
 def _may_match(table: DataFrame) -> DataFrame:
@@ -156,16 +167,16 @@ def _short(word: Column) -> Column:
 
 
 def _rows(table: DataFrame) -> DataFrame:
-    """``word, code, shape``: prefix words that other lines may have too.
+    """``word, code, shape, odd``: prefix words that other lines may have too.
 
     ``code`` is the place of a line that is open, else -1 less the place; ``shape`` is
     the size of the line and the word's place in it.
     """
-    rows = _may_match(table).select("code", "size", F.posexplode("words").alias("at", "word"))
+    rows = _may_match(table).select("code", "size", "odd", F.posexplode("words").alias("at", "word"))
     shape = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
     # Told here, for the join would tell it of one side alone, and both would be shuffled.
     rows = rows.where(_repeated(F.col("word")) & F.col("code").isNotNull())
-    return rows.select(_short(F.col("word")).alias("word"), "code", shape.alias("shape"))
+    return rows.select(_short(F.col("word")).alias("word"), "code", shape.alias("shape"), "odd")
 
 
 def _led(table: DataFrame) -> DataFrame:
@@ -192,6 +203,10 @@ def _candidates(rows: DataFrame) -> DataFrame:
     both = rows.alias("l").join(rows.alias("r"), "word")
     place = F.when(F.col("r.code") < 0, -1 - F.col("r.code")).otherwise(F.col("r.code"))
     both = both.where(F.col("l.code") > place)
+    # Similar lines differ in at most a ninth of their words, so in no more bits.
+    apart = 9 * F.bit_count(F.col("l.odd").bitwiseXOR(F.col("r.odd")))
+    sizes = F.shiftright("l.shape", 32) + F.shiftright("r.shape", 32)
+    both = both.where(apart <= sizes)
     low = F.lit((1 << 32) - 1)
     both = both.select(
         F.col("l.code").alias("a"),
