@@ -1,13 +1,17 @@
 """Quality rules: base statistics of a text and robust multivariate outliers.
 
 Every text gives a vector of transformed statistics. For every language and source the
-minimum covariance determinant is sought: concentration steps keep the share CORE of
-the rows nearest to the current centre, by Mahalanobis distance, and estimate centre
-and covariance anew from them. Texts too far from the final centre are rejected.
+minimum covariance determinant is sought: the share CORE of the rows whose covariance
+has the least determinant. Concentration steps keep the rows nearest to the current
+centre, by Mahalanobis distance, and estimate centre and covariance anew from them.
+They begin at several estimates of each group, go on from the best of these until the
+determinant no longer falls, and the least determinant decides. Texts too far from its
+centre are rejected.
 
-Rows meet their group's estimate in aggregates only: one step sums moments by group
-and distance bin, and bins are added up from the nearest on until they hold the core.
-All sums are of whole numbers, so results don't depend on the order of addition.
+Rows meet their group's estimates in aggregates only: one step sums moments by group,
+start and distance bin, and bins are added up from the nearest on until they hold the
+core, the last one in part. Sums are of whole numbers, and no more than one bin is
+weighted, so results don't depend on the order of addition.
 """
 
 from __future__ import annotations
@@ -25,7 +29,9 @@ MOST_REPEATED_PERCENT = 50
 # Share of rows in the core, and the factor that makes the core's covariance estimate
 # the whole's if that is normal: CORE / P(chi2 with 7 degrees < its 0.75 point with 5).
 CORE, CONSISTENCY = 0.75, 1.42
-STEPS = 4
+# Every start takes FIRST_STEPS; FINALISTS of each group go on while the logarithm of the
+# determinant falls by LEAST_FALL or more.
+FIRST_STEPS, FINALISTS, LEAST_FALL = 2, 2, 1e-3
 # Smaller groups are judged with the other small groups of their language, or failing
 # that with all such rows.
 LEAST_GROUP = 50
@@ -134,67 +140,160 @@ def _with_distance(rows: DataFrame, estimate: DataFrame, n_groups: int) -> DataF
     return joined.withColumn("_d2", total)
 
 
-def _factored(moments: DataFrame) -> DataFrame:
-    """Centre and Cholesky factor of the covariance, from sums of whole numbers."""
-    d = len(STATS)
+DIMS = range(len(STATS))
+PAIRS = [(i, j) for i in DIMS for j in range(i + 1)]
+ESTIMATE = [*(f"_m{i}" for i in DIMS), *(f"_l{i}{j}" for i, j in PAIRS), "_logdet"]
+
+
+def _sums(values: list[Column]) -> list[Column]:
+    """Count, sums and sums of products, exact for whole numbers."""
+    whole = [v.cast("decimal(18,0)") for v in values]
+    return [
+        F.count("*").alias("n"),
+        *(F.sum(whole[i]).alias(f"s{i}") for i in DIMS),
+        *(F.sum(whole[i] * whole[j]).alias(f"c{i}{j}") for i, j in PAIRS),
+    ]
+
+
+def _mean(i: int) -> Column:
+    return F.col(f"s{i}").cast("double") / F.col("n")
+
+
+def _covariance(i: int, j: int) -> Column:
+    return F.col(f"c{i}{j}").cast("double") / F.col("n") - _mean(i) * _mean(j)
+
+
+def _factored(moments: DataFrame, centre: list[Column], covariance: dict[tuple[int, int], Column]) -> DataFrame:
+    """ESTIMATE: the centre, the Cholesky factor of the covariance and its determinant.
+
+    The floors of the components are added to the diagonal, so that the determinants of
+    a group are compared with the same floors in all of them.
+    """
     floors = [(SCALE * least) ** 2 for least in STATS.values()]
-    out = moments
-    for i in range(d):
-        out = out.withColumn(f"_m{i}", F.col(f"s{i}").cast("double") / F.col("n"))
-    for i in range(d):
-        for j in range(i + 1):
-            centred = F.col(f"c{i}{j}").cast("double") / F.col("n") - F.col(f"_m{i}") * F.col(f"_m{j}")
-            entry = CONSISTENCY * centred
-            if i == j:
-                entry = F.greatest(entry, F.lit(0.0)) + floors[i]
-            for k in range(j):
-                entry = entry - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
-            entry = F.sqrt(F.greatest(entry, F.lit(0.1 * floors[i]))) if i == j else entry / F.col(f"_l{j}{j}")
-            out = out.withColumn(f"_l{i}{j}", entry)
-    kept = [f"_m{i}" for i in range(d)] + [f"_l{i}{j}" for i in range(d) for j in range(i + 1)]
-    return out.select("_group", *kept)
-
-
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and deviations from the quartiles; components taken as independent."""
+    out = moments.withColumns({f"_m{i}": centre[i] for i in DIMS})
+    for i, j in PAIRS:
+        entry = covariance[i, j]
+        if i == j:
+            entry = F.greatest(entry, F.lit(0.0)) + floors[i]
+        for k in range(j):
+            entry = entry - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
+        entry = F.sqrt(F.greatest(entry, F.lit(0.1 * floors[i]))) if i == j else entry / F.col(f"_l{j}{j}")
+        out = out.withColumn(f"_l{i}{j}", entry)
+    logs = reduce(lambda a, b: a + b, (F.log(F.col(f"_l{i}{i}")) for i in DIMS))
+    return out.withColumn("_logdet", 2 * logs).select("_group", "_start", *ESTIMATE)
+
+
+def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Several estimates of every group, and the number of groups.
+
+    All begin with medians and spreads between quartiles. ``quantile`` takes components
+    as independent, ``moments`` all rows as they are; the others take the covariance of
+    scores that far rows cannot rule: ``tanh`` of each component, ``quadrant`` its sign,
+    ``spatial`` the direction from the centre.
+    """
     dims = list(STATS)
-    quartiles = rows.groupBy("_group").agg(
-        *(F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(c) for c in dims)
+    # Exact: a component of fixed point has a bounded number of values.
+    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    quartiles = rows.groupBy("_group").agg(*(F.percentile(c, quarters).alias(c) for c in dims))
+    marks = quartiles.select(
+        "_group",
+        *(F.col(c)[1].alias(f"_q{i}") for i, c in enumerate(dims)),
+        *(
+            F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(SCALE * least)).alias(f"_s{i}")
+            for i, (c, least) in enumerate(STATS.items())
+        ),
     )
-    columns = []
-    for i, (c, least) in enumerate(STATS.items()):
-        columns.append(F.col(c)[1].cast("double").alias(f"_m{i}"))
-        spread = (F.col(c)[2] - F.col(c)[0]) / 1.349
-        for j in range(i):
-            columns.append(F.lit(0.0).alias(f"_l{i}{j}"))
-        columns.append(F.greatest(spread, F.lit(SCALE * least)).alias(f"_l{i}{i}"))
-    return quartiles.select("_group", *columns)
+    marks = stored(marks, "quality-marks")
+    n_groups = marks.count()
+    placed = rows.join(maybe_broadcast(marks, n_groups), "_group").select(
+        "_group", *(((F.col(c) - F.col(f"_q{i}")) / F.col(f"_s{i}")).alias(f"_z{i}") for i, c in enumerate(dims))
+    )
+    z = [F.col(f"_z{i}") for i in DIMS]
+    length = F.greatest(F.sqrt(reduce(lambda a, b: a + b, (x * x for x in z))), F.lit(1e-9))
+    scores = {
+        "moments": z,
+        "tanh": [F.tanh(x) for x in z],
+        "quadrant": [F.signum(x) for x in z],
+        "spatial": [x / length for x in z],
+    }
+    scored = placed.select(
+        "_group",
+        F.explode(
+            F.array(
+                *(
+                    F.struct(
+                        F.lit(name).alias("_start"),
+                        *(F.round(x * SCALE).cast("long").alias(f"y{i}") for i, x in enumerate(score)),
+                    )
+                    for name, score in scores.items()
+                )
+            )
+        ).alias("score"),
+    ).select("_group", "score.*")
+    moments = scored.groupBy("_group", "_start").agg(*_sums([F.col(f"y{i}") for i in DIMS]))
+    alone = marks.select(
+        "_group",
+        F.lit("quantile").alias("_start"),
+        F.lit(1).cast("long").alias("n"),
+        *(F.lit(0).alias(f"s{i}") for i in DIMS),
+        *(F.lit(SCALE * SCALE if i == j else 0).alias(f"c{i}{j}") for i, j in PAIRS),
+    )
+    moments = moments.unionByName(alone).join(maybe_broadcast(marks, n_groups), "_group")
+    shift = F.when(F.col("_start") == "moments", 1.0).otherwise(0.0) / SCALE
+    centre = [F.col(f"_q{i}") + F.col(f"_s{i}") * _mean(i) * shift for i in DIMS]
+    covariance = {
+        (i, j): F.col(f"_s{i}") * F.col(f"_s{j}") * _covariance(i, j) / SCALE**2 for i, j in PAIRS
+    }
+    return stored(_factored(moments, centre, covariance), "quality-starts"), n_groups
+
+
+def _concentrated(rows: DataFrame, estimates: DataFrame, bound: int) -> DataFrame:
+    """The estimate from the nearest CORE of the rows of a group, for each of ``estimates``."""
+    near = _with_distance(rows, estimates, bound)
+    octave = F.floor(F.log2(F.greatest("_d2", F.lit(2.0**-20))) * BINS_PER_OCTAVE)
+    bins = near.groupBy("_group", "_start", octave.alias("_bin")).agg(*_sums([F.col(c) for c in STATS]))
+    # A start of a group has a bounded number of bins.
+    group = Window.partitionBy("_group", "_start")
+    inner = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(inner), F.lit(0))
+    bins = bins.withColumns({"_before": before, "_core": CORE * F.sum("n").over(group)})
+    share = F.least(F.lit(1.0), (F.col("_core") - F.col("_before")) / F.col("n"))
+    core = bins.where(F.col("_before") < F.col("_core")).withColumn("_share", share)
+
+    def held(name: str) -> Column:
+        whole = F.sum(F.when(F.col("_share") == 1.0, F.col(name))).cast("double")
+        part = F.sum(F.when(F.col("_share") < 1.0, F.col(name).cast("double") * F.col("_share")))
+        return (F.coalesce(whole, F.lit(0.0)) + F.coalesce(part, F.lit(0.0))).alias(name)
+
+    names = ["n", *(f"s{i}" for i in DIMS), *(f"c{i}{j}" for i, j in PAIRS)]
+    moments = core.groupBy("_group", "_start").agg(*(held(c) for c in names))
+    covariance = {(i, j): CONSISTENCY * _covariance(i, j) for i, j in PAIRS}
+    return _factored(moments, [_mean(i) for i in DIMS], covariance)
 
 
 def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Centre and covariance factor of every group's core, and the number of groups."""
-    d, dims = len(STATS), list(STATS)
-    estimate = stored(_start(rows), "quality-start")
-    n_groups = estimate.count()
-    for _ in range(STEPS):
-        near = _with_distance(rows, estimate, n_groups)
-        octave = F.floor(F.log2(F.greatest("_d2", F.lit(2.0**-20))) * BINS_PER_OCTAVE)
-        whole = [F.col(c).cast("decimal(18,0)") for c in dims]
-        sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(whole)]
-        cross = [
-            F.sum(whole[i] * whole[j]).alias(f"c{i}{j}") for i in range(d) for j in range(i + 1)
-        ]
-        bins = near.groupBy("_group", octave.alias("_bin")).agg(F.count("*").alias("n"), *sums, *cross)
-        # A group has a bounded number of bins.
-        group = Window.partitionBy("_group")
-        inner = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-        before = F.coalesce(F.sum("n").over(inner), F.lit(0))
-        bins = bins.withColumns({"_before": before, "_all": F.sum("n").over(group)})
-        core = bins.where(F.col("_before") < CORE * F.col("_all"))
-        names = ["n", *(f"s{i}" for i in range(d)), *(f"c{i}{j}" for i in range(d) for j in range(i + 1))]
-        moments = core.groupBy("_group").agg(*(F.sum(c).alias(c) for c in names))
-        estimate = stored(_factored(moments), "quality-core")
-    return estimate, n_groups
+    """ESTIMATE of every group, of the least determinant found, and the number of groups."""
+    found, n_groups = _starts(rows)
+    n_starts = n_groups * 5
+    for _ in range(FIRST_STEPS):
+        found = stored(_concentrated(rows, found, n_starts), "quality-core")
+    best = Window.partitionBy("_group").orderBy("_logdet", "_start")
+    found = found.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= FINALISTS)
+    found = stored(found.drop("_rank").withColumn("_open", F.lit(True)), "quality-finalists")
+    while not (moving := found.where("_open").drop("_open")).isEmpty():
+        moved = _concentrated(rows, moving, n_starts)
+        key = ["_group", "_start"]
+        both = moving.select(*key, F.struct(*ESTIMATE).alias("old")).join(
+            moved.select(*key, F.struct(*ESTIMATE).alias("new")), key
+        )
+        fell = F.col("new._logdet") <= F.col("old._logdet") - LEAST_FALL
+        stepped = both.select(*key, F.when(fell, F.col("new")).otherwise(F.col("old")).alias("e"), fell.alias("_open"))
+        closed = found.where("not _open")
+        found = stored(closed.unionByName(stepped.select(*key, "e.*", "_open")), "quality-core")
+    least = found.groupBy("_group").agg(
+        F.min_by(F.struct(*ESTIMATE), F.struct("_logdet", "_start")).alias("e")
+    )
+    return stored(least.select("_group", "e.*"), "quality-estimates"), n_groups
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
