@@ -29,9 +29,11 @@ MOST_REPEATED_PERCENT = 50
 # Share of rows in the core, and the factor that makes the core's covariance estimate
 # the whole's if that is normal: CORE / P(chi2 with 7 degrees < its 0.75 point with 5).
 CORE, CONSISTENCY = 0.75, 1.42
+# Starts: five of all rows, and SETS of about SET_ROWS rows each, chosen by hash.
+SETS, SET_ROWS = 12, 7
 # Every start takes FIRST_STEPS; FINALISTS of each group go on while the logarithm of the
 # determinant falls by LEAST_FALL or more.
-FIRST_STEPS, FINALISTS, LEAST_FALL = 2, 2, 1e-3
+FIRST_STEPS, FINALISTS, LEAST_FALL = 2, 4, 1e-3
 # Smaller groups are judged with the other small groups of their language, or failing
 # that with all such rows.
 LEAST_GROUP = 50
@@ -189,14 +191,18 @@ def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
     All begin with medians and spreads between quartiles. ``quantile`` takes components
     as independent, ``moments`` all rows as they are; the others take the covariance of
     scores that far rows cannot rule: ``tanh`` of each component, ``quadrant`` its sign,
-    ``spatial`` the direction from the centre.
+    ``spatial`` the direction from the centre. The others take the moments of a few rows
+    that depend on a hash of their components alone; some of them are free of outliers.
     """
     dims = list(STATS)
     # Exact: a component of fixed point has a bounded number of values.
     quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quartiles = rows.groupBy("_group").agg(*(F.percentile(c, quarters).alias(c) for c in dims))
+    quartiles = rows.groupBy("_group").agg(
+        F.count("*").alias("_n"), *(F.percentile(c, quarters).alias(c) for c in dims)
+    )
     marks = quartiles.select(
         "_group",
+        "_n",
         *(F.col(c)[1].alias(f"_q{i}") for i, c in enumerate(dims)),
         *(
             F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(SCALE * least)).alias(f"_s{i}")
@@ -206,7 +212,7 @@ def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
     marks = stored(marks, "quality-marks")
     n_groups = marks.count()
     placed = rows.join(maybe_broadcast(marks, n_groups), "_group").select(
-        "_group", *(((F.col(c) - F.col(f"_q{i}")) / F.col(f"_s{i}")).alias(f"_z{i}") for i, c in enumerate(dims))
+        "_group", "_n", *dims, *(((F.col(c) - F.col(f"_q{i}")) / F.col(f"_s{i}")).alias(f"_z{i}") for i, c in enumerate(dims))
     )
     z = [F.col(f"_z{i}") for i in DIMS]
     length = F.greatest(F.sqrt(reduce(lambda a, b: a + b, (x * x for x in z))), F.lit(1e-9))
@@ -216,20 +222,18 @@ def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
         "quadrant": [F.signum(x) for x in z],
         "spatial": [x / length for x in z],
     }
-    scored = placed.select(
-        "_group",
-        F.explode(
-            F.array(
-                *(
-                    F.struct(
-                        F.lit(name).alias("_start"),
-                        *(F.round(x * SCALE).cast("long").alias(f"y{i}") for i, x in enumerate(score)),
-                    )
-                    for name, score in scores.items()
-                )
-            )
-        ).alias("score"),
-    ).select("_group", "score.*")
+
+    def start(name: Column, score: list[Column]) -> Column:
+        return F.struct(
+            name.alias("_start"), *(F.round(x * SCALE).cast("long").alias(f"y{i}") for i, x in enumerate(score))
+        )
+
+    chosen = F.filter(
+        F.array(*(F.lit(k) for k in range(SETS))), lambda k: F.pmod(F.xxhash64(k, *dims), "_n") < SET_ROWS
+    )
+    sets = F.transform(chosen, lambda k: start(F.concat(F.lit("set "), k.cast("string")), z))
+    whole = F.array(*(start(F.lit(name), score) for name, score in scores.items()))
+    scored = placed.select("_group", F.explode(F.concat(whole, sets)).alias("score")).select("_group", "score.*")
     moments = scored.groupBy("_group", "_start").agg(*_sums([F.col(f"y{i}") for i in DIMS]))
     alone = marks.select(
         "_group",
@@ -239,7 +243,7 @@ def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
         *(F.lit(SCALE * SCALE if i == j else 0).alias(f"c{i}{j}") for i, j in PAIRS),
     )
     moments = moments.unionByName(alone).join(maybe_broadcast(marks, n_groups), "_group")
-    shift = F.when(F.col("_start") == "moments", 1.0).otherwise(0.0) / SCALE
+    shift = F.when(F.col("_start").isin("tanh", "quadrant", "spatial"), 0.0).otherwise(1.0) / SCALE
     centre = [F.col(f"_q{i}") + F.col(f"_s{i}") * _mean(i) * shift for i in DIMS]
     covariance = {
         (i, j): F.col(f"_s{i}") * F.col(f"_s{j}") * _covariance(i, j) / SCALE**2 for i, j in PAIRS
@@ -274,7 +278,7 @@ def _concentrated(rows: DataFrame, estimates: DataFrame, bound: int) -> DataFram
 def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
     """ESTIMATE of every group, of the least determinant found, and the number of groups."""
     found, n_groups = _starts(rows)
-    n_starts = n_groups * 5
+    n_starts = n_groups * (5 + SETS)
     for _ in range(FIRST_STEPS):
         found = stored(_concentrated(rows, found, n_starts), "quality-core")
     best = Window.partitionBy("_group").orderBy("_logdet", "_start")
