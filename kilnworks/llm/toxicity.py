@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, texts_of, under_safe_names
+from .common import by_batch, stored, texts_of, under_safe_names
 
 # The model is fitted on at most this many labelled ids of each class, those of the
-# smallest xxhash64; scores cover all rows.
+# smallest xxhash64, one text an id; scores cover all rows.
 MOST_TOXIC, MOST_CLEAN = 6_000, 12_000
+SAMPLE_PARTS = 24
 BUCKETS = 1 << 20
 FACTORS = 4
 # Buckets in fewer texts of the sample, or that differ less between the classes by the
@@ -118,8 +119,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of the labelled rows outside the held-out fold.
 
     A doc_id with several labels counts as toxic if one of them says so; null ids and
-    labels other than 0 and 1 are left out. Without labels of both kinds the model is a
-    constant.
+    labels other than 0 and 1 are left out. Of the rows of one doc_id the text of the
+    least hash is learnt from, so repeated rows change nothing and the sample is bounded
+    in rows. Without labels of both kinds the model is a constant.
     """
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(~in_fold()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -131,9 +133,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # At most MOST_TOXIC + MOST_CLEAN rows of two numbers.
     sample = F.broadcast(some[0].union(some[1]).withColumnRenamed("doc_id", "_id"))
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string"))
-    texts = texts.join(sample, F.col("doc_id") == F.col("_id")).select(
-        F.col("doc_id").cast("long"), "text", F.col("toxic").cast("long")
-    )
+    texts = texts.join(sample, F.col("doc_id") == F.col("_id"))
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
+    texts = texts.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("toxic"))
+    # Written once for three passes, and in parts, for its words are counted in Python.
+    texts = texts.agg(one.alias("text")).select("doc_id", "text", "toxic").repartition(SAMPLE_PARTS)
+    texts = stored(texts, "toxicity-sample")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, BUCKETS), np.int64)
