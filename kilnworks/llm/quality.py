@@ -49,7 +49,10 @@ STATS = {
     "x_lines": 0.5,
     "x_repeats": 0.15,
 }
-BINS_PER_OCTAVE = 16
+# Distance bins of the steps of all starts, and of the finalists.
+COARSE_BINS, FINE_BINS = 4, 16
+# Rows of a file of estimates.
+FILE_ROWS = 10_000
 
 
 def base_statistics(docs: DataFrame, extra: list[str]) -> DataFrame:
@@ -248,21 +251,30 @@ def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
     covariance = {
         (i, j): F.col(f"_s{i}") * F.col(f"_s{j}") * _covariance(i, j) / SCALE**2 for i, j in PAIRS
     }
-    return stored(_factored(moments, centre, covariance), "quality-starts"), n_groups
+    found = _factored(moments, centre, covariance)
+    return _few_files(found, n_groups * (5 + SETS), "quality-starts"), n_groups
 
 
-def _concentrated(rows: DataFrame, estimates: DataFrame, bound: int) -> DataFrame:
-    """The estimate from the nearest CORE of the rows of a group, for each of ``estimates``."""
+def _few_files(estimates: DataFrame, bound: int, label: str) -> DataFrame:
+    """Write estimates, a row of each start of each group, in as many files as they fill."""
+    return stored(estimates.repartition(1 + bound // FILE_ROWS), label)
+
+
+def _concentrated(rows: DataFrame, estimates: DataFrame, bound: int, bins: int) -> DataFrame:
+    """The estimate from the nearest CORE of the rows of a group, for each of ``estimates``.
+
+    There are ``bins`` distance bins to a doubling.
+    """
     near = _with_distance(rows, estimates, bound)
-    octave = F.floor(F.log2(F.greatest("_d2", F.lit(2.0**-20))) * BINS_PER_OCTAVE)
-    bins = near.groupBy("_group", "_start", octave.alias("_bin")).agg(*_sums([F.col(c) for c in STATS]))
+    octave = F.floor(F.log2(F.greatest("_d2", F.lit(2.0**-20))) * bins)
+    summed = near.groupBy("_group", "_start", octave.alias("_bin")).agg(*_sums([F.col(c) for c in STATS]))
     # A start of a group has a bounded number of bins.
     group = Window.partitionBy("_group", "_start")
     inner = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(inner), F.lit(0))
-    bins = bins.withColumns({"_before": before, "_core": CORE * F.sum("n").over(group)})
+    summed = summed.withColumns({"_before": before, "_core": CORE * F.sum("n").over(group)})
     share = F.least(F.lit(1.0), (F.col("_core") - F.col("_before")) / F.col("n"))
-    core = bins.where(F.col("_before") < F.col("_core")).withColumn("_share", share)
+    core = summed.where(F.col("_before") < F.col("_core")).withColumn("_share", share)
 
     def held(name: str) -> Column:
         whole = F.sum(F.when(F.col("_share") == 1.0, F.col(name))).cast("double")
@@ -280,12 +292,13 @@ def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
     found, n_groups = _starts(rows)
     n_starts = n_groups * (5 + SETS)
     for _ in range(FIRST_STEPS):
-        found = stored(_concentrated(rows, found, n_starts), "quality-core")
+        found = _few_files(_concentrated(rows, found, n_starts, COARSE_BINS), n_starts, "quality-core")
     best = Window.partitionBy("_group").orderBy("_logdet", "_start")
     found = found.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= FINALISTS)
-    found = stored(found.drop("_rank").withColumn("_open", F.lit(True)), "quality-finalists")
+    found = found.drop("_rank").withColumn("_open", F.lit(True))
+    found = _few_files(found, n_starts, "quality-finalists")
     while not (moving := found.where("_open").drop("_open")).isEmpty():
-        moved = _concentrated(rows, moving, n_starts)
+        moved = _concentrated(rows, moving, n_starts, FINE_BINS)
         key = ["_group", "_start"]
         both = moving.select(*key, F.struct(*ESTIMATE).alias("old")).join(
             moved.select(*key, F.struct(*ESTIMATE).alias("new")), key
@@ -293,11 +306,12 @@ def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
         fell = F.col("new._logdet") <= F.col("old._logdet") - LEAST_FALL
         stepped = both.select(*key, F.when(fell, F.col("new")).otherwise(F.col("old")).alias("e"), fell.alias("_open"))
         closed = found.where("not _open")
-        found = stored(closed.unionByName(stepped.select(*key, "e.*", "_open")), "quality-core")
+        found = closed.unionByName(stepped.select(*key, "e.*", "_open"))
+        found = _few_files(found, n_starts, "quality-core")
     least = found.groupBy("_group").agg(
         F.min_by(F.struct(*ESTIMATE), F.struct("_logdet", "_start")).alias("e")
     )
-    return stored(least.select("_group", "e.*"), "quality-estimates"), n_groups
+    return _few_files(least.select("_group", "e.*"), n_groups, "quality-estimates"), n_groups
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
