@@ -475,6 +475,15 @@ def test_pipeline_stages(spark):
     assert docs.agg({"length": "max"}).first()[0] <= packing.WINDOW
 
 
+def test_anchors_before_the_only_span_of_a_chunk_are_passed_over():
+    chunk = repeats.Chunk(repeats.pd.DataFrame({"_row": [0], "text": ["ab" * 100]}), 80)
+    # The anchor at 20 is alone, so no string holds the one at 10.
+    at, keys, status = np.array([10, 20]), np.array([4, 6], np.uint64), np.array([1, 0], np.uint8)
+    starts, least = chunk.candidates(at, keys, status)
+    assert starts.tolist() == list(range(21, 121))
+    assert set(least.tolist()) == {2**64 - 1}
+
+
 def test_repeats_stage_takes_out_passages_of_over_fifty_words(spark):
     import corpus_pipeline
 
