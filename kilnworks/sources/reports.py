@@ -10,6 +10,8 @@ from ..runtime import written
 
 # Deepest tree that is walked; a deeper one is an error, not cut.
 MAX_DEPTH = 200
+# The largest number of an attempt; those without a number come after all others.
+_LAST = 4_294_967_295
 ATTEMPT_KINDS = ("Repetition", "Test Case Run")
 
 
@@ -101,6 +103,13 @@ def _run(node: str) -> list[Column]:
     ]
 
 
+def _number(run: Column) -> Column:
+    """The number of an attempt, null if it is none."""
+    text = F.try_variant_get(run, "$.nodeIdentifier", "string")
+    number = F.when(text.rlike(r"^\+?[0-9]+$"), text.try_cast("bigint"))
+    return F.when(number <= _LAST, number)
+
+
 def _runs(cases: DataFrame) -> DataFrame:
     """Attempts of each case in the order of their number; else the case itself.
 
@@ -124,29 +133,28 @@ def _runs(cases: DataFrame) -> DataFrame:
     single = base.where(F.size("_attempts") == 0).select(
         "report_id", "suite", "name", *_run("node"), F.lit(1).alias("attempt")
     )
-    spread = base.select(
-        "report_id", "path", "suite", "name", F.posexplode("_attempts").alias("_pos", "_run")
+    # The order is found inside the array, so no attempt is joined with its place: sizes
+    # of tables of variants are guessed far too low, and such a join was broadcast.
+    order = F.transform(
+        "_attempts", lambda run, pos: F.struct(_number(run).alias("number"), pos.alias("pos"))
     )
-    text = _field("_run", "nodeIdentifier")
-    number = F.when(text.rlike(r"^\+?[0-9]+$"), text.try_cast("bigint"))
-    number = F.when(number <= 4_294_967_295, number)
-    numbered = spread.withColumn("_number", number)
-    order = F.struct(F.coalesce("_number", F.lit(4_294_967_295)), "_pos")
-    # Place of each attempt: how many of its case come before it.
-    places = (
-        numbered.groupBy("report_id", "path")
-        .agg(F.array_sort(F.collect_list(order)).alias("_sorted"))
-        .select("report_id", "path", F.posexplode("_sorted").alias("_index", "_key"))
+    order = F.transform(
+        order,
+        lambda o: F.struct(
+            F.coalesce(o["number"], F.lit(_LAST)).alias("rank"), o["pos"].alias("pos"), o["number"].alias("number")
+        ),
+    )
+    retried = (
+        base.where(F.size("_attempts") > 0)
+        .select("report_id", "suite", "name", "_attempts", F.posexplode(F.array_sort(order)).alias("_index", "_key"))
         .select(
-            "report_id", "path", F.col("_key").getField("_pos").alias("_pos"), "_index"
+            "report_id",
+            "suite",
+            "name",
+            F.get("_attempts", F.col("_key.pos")).alias("_run"),
+            F.coalesce("_key.number", F.col("_index") + 1).cast("int").alias("attempt"),
         )
-    )
-    retried = numbered.join(places, ["report_id", "path", "_pos"]).select(
-        "report_id",
-        "suite",
-        "name",
-        *_run("_run"),
-        F.coalesce("_number", F.col("_index") + 1).cast("int").alias("attempt"),
+        .select("report_id", "suite", "name", *_run("_run"), "attempt")
     )
     return single.unionByName(retried)
 

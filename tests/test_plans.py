@@ -8,6 +8,7 @@ from kilnworks import runtime
 from kilnworks.operators import graph, history, regressions
 from kilnworks.plans.registry import Tables
 from kilnworks.plans.views import table
+from kilnworks.sources import reports
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +84,8 @@ def test_a_scope_leaves_no_files(spark):
         assert graph.closure(kept).count() == 3
         assert set(os.listdir(root)) > before
     assert set(os.listdir(root)) == before
+
+
+def test_attempts_of_reports_are_numbered_without_a_join(spark):
+    rows = spark.createDataFrame([("r", "{}")], "report_id string, document string")
+    assert "Join" not in plan_of(reports.flattened_reports(rows))
