@@ -475,7 +475,8 @@ def prefer(first: DataFrame, second: DataFrame, keys: list[str] | None = None) -
 
 def swift_site_totals(timings: DataFrame) -> DataFrame:
     """AG-40: cost of each location over all its compilations."""
-    named = F.when(F.col("symbol").isNotNull(), F.struct("ord"))
+    # Of symbols of one place the least, whatever the order of rows.
+    named = F.when(F.col("symbol").isNotNull(), F.struct("ord", "symbol"))
     return (
         timings.groupBy("build_key", "file", "line", "column_number")
         .agg(

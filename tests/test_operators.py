@@ -9,7 +9,7 @@ from statistics import quantiles
 import pytest
 from pyspark.sql import functions as F
 
-from kilnworks.operators import caps, graph, history, intel, regressions, retention
+from kilnworks.operators import activity, caps, graph, history, intel, regressions, retention
 from kilnworks.operators import percentiles
 from kilnworks.operators.ordered import carry_last, line_chunk, number_rows, top_per_key
 from kilnworks.operators.percentiles import exact_percentiles
@@ -553,3 +553,11 @@ def test_change_relation(spark):
         "c": ("no", 20, 1),
         "d": ("uncertain", 30, 2),
     }
+
+
+def test_of_symbols_of_one_place_the_least_is_named(spark):
+    schema = "build_key string, file string, line int, column_number int, symbol string, milliseconds double, ord long"
+    rows = [("b", "F.swift", 3, 1, symbol, 2.5, 7) for symbol in ("h", None, "f", "g")]
+    for some in (rows, rows[::-1]):
+        got = activity.swift_site_totals(spark.createDataFrame(some, schema).coalesce(1)).first()
+        assert (got.symbol, got.occurrences, got.milliseconds) == ("f", 4, 10.0)
