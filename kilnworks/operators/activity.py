@@ -9,17 +9,21 @@ severity, document_url, line, column_number)`` holds the messages.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import activity as A
 from ..functions.loglines import swift_timing_message
-from ..runtime import written
+from ..runtime import joined_in_place, written, written_by
 from .logs import deduplicated, with_fingerprint
 
 BUILD = ["build_key"]
 OWNERS = ("wrapper_id", "wrapper_name", "tagged_id", "tagged_name")
+# Builds of more sections climb by section, with a shuffle a round, others in place.
+LARGE_BUILD = 1_000_000
 
 
 def exploded_messages(sections: DataFrame) -> DataFrame:
@@ -37,6 +41,99 @@ def exploded_messages(sections: DataFrame) -> DataFrame:
     )
 
 
+def _flagged(sections: DataFrame) -> DataFrame:
+    """Adds the name that a section gives as a target wrapper, or by a target tag."""
+    return sections.withColumns(
+        {
+            "_wraps": A.wrapper_target(F.col("title")),
+            "_tags": A.step_target(F.col("signature"), F.col("title")),
+        }
+    )
+
+
+def _started(flagged: DataFrame) -> DataFrame:
+    own = F.col("section_id")
+    return flagged.where(own.isNotNull()).select(
+        "build_key",
+        "section_id",
+        F.col("parent_id").alias("above"),
+        F.when(F.col("_wraps").isNotNull(), own).alias("wrapper_id"),
+        F.col("_wraps").alias("wrapper_name"),
+        F.when(F.col("_tags").isNotNull(), own).alias("tagged_id"),
+        F.col("_tags").alias("tagged_name"),
+        own.alias("least"),
+        F.lit(None).cast("string").alias("reject"),
+    )
+
+
+def _higher(rows: DataFrame, among: DataFrame) -> DataFrame:
+    """One round: rows that point to a section above go on to where that one points."""
+    upper = among.select(
+        "build_key",
+        F.col("section_id").alias("above"),
+        F.col("above").alias("_above"),
+        F.col("least").alias("_least"),
+        F.col("reject").alias("_reject"),
+        *(F.col(name).alias(f"_{name}") for name in OWNERS),
+        F.lit(True).alias("_there"),
+    )
+    # A section stands once on a way up: the least of one stretch is not met again.
+    met_twice = F.col("least") == F.col("_least")
+    reject = (
+        F.when(F.col("above").isNull(), F.col("reject"))
+        .when(F.col("_there").isNull(), "orphan")
+        .when(met_twice, "loop")
+        .otherwise(F.col("_reject"))
+    )
+    above = F.when(reject.isNull(), F.col("_above"))
+    return rows.join(upper.hint("merge"), ["build_key", "above"], "left").select(
+        "build_key",
+        "section_id",
+        above.alias("above"),
+        *(F.coalesce(f"_{name}", name).alias(name) for name in OWNERS),
+        F.when(above.isNotNull(), F.least("least", "_least")).alias("least"),
+        reject.alias("reject"),
+    )
+
+
+def _climbed_in_place(flagged: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Like :func:`climbed`, of sections in buckets of their build.
+
+    Each round stores all rows: a union of rounds would not lie in buckets any more.
+    """
+    state = _started(flagged)
+    while state.where(F.col("above").isNotNull()).limit(1).count():
+        state = store(_higher(state, state))
+    return state.select("build_key", "section_id", *OWNERS, "reject")
+
+
+def owned_sections(
+    sections: DataFrame, large: int = LARGE_BUILD
+) -> tuple[DataFrame, DataFrame]:
+    """BI-11: stored sections with their owners, see :func:`owned`, and all as they are.
+
+    Sections move once, to the place of their build, and climb there. Builds of more than
+    ``large`` sections are no work of one task: theirs climb by section.
+    """
+    counts = sections.groupBy(*BUILD).count().where(F.col("count") > large)
+    # At most one key for so many sections; those without a build join nothing.
+    many = [row.build_key for row in counts.dropna().select(*BUILD).collect()]
+    here = ~F.coalesce(F.col("build_key").isin(many), F.lit(False)) if many else F.lit(True)
+    flagged = written_by(_flagged(sections.where(here)), "sections", "build_key")
+    small = flagged.drop("_wraps", "_tags")
+
+    def store(rows: DataFrame, label: str = "section-climb") -> DataFrame:
+        return written_by(rows, label, "build_key", placed=True)
+
+    with joined_in_place(sections.sparkSession):
+        stored = store(owned(walked(small, _climbed_in_place(flagged, store))), "owned")
+    if not many:
+        return stored, small
+    rest = written(sections.where(~here), "large-sections")[0]
+    climbed_alone = written(owned(walked(rest)), "large-owned")[0]
+    return stored.unionByName(climbed_alone), small.unionByName(rest)
+
+
 def climbed(sections: DataFrame) -> DataFrame:
     """BI-11: (build_key, section_id, wrapper_id, wrapper_name, tagged_id, tagged_name,
     reject): the topmost section on the way from the root that is a target wrapper, or
@@ -47,55 +144,12 @@ def climbed(sections: DataFrame) -> DataFrame:
     to a root: ``orphan`` below a parent that is not there, ``loop`` on or below a
     circle of parents. ``sections`` should be a stored table.
     """
-    flagged = sections.select(
-        "build_key",
-        "section_id",
-        "parent_id",
-        A.wrapper_target(F.col("title")).alias("wrapper_name"),
-        A.step_target(F.col("signature"), F.col("title")).alias("tagged_name"),
-    ).where(F.col("section_id").isNotNull())
-    own = F.col("section_id")
-    start = flagged.select(
-        "build_key",
-        "section_id",
-        F.col("parent_id").alias("above"),
-        F.when(F.col("wrapper_name").isNotNull(), own).alias("wrapper_id"),
-        "wrapper_name",
-        F.when(F.col("tagged_name").isNotNull(), own).alias("tagged_id"),
-        "tagged_name",
-        own.alias("least"),
-        F.lit(None).cast("string").alias("reject"),
-    )
     # The patterns run once; each round reads ids and names only.
-    state, _ = written(start, "section-flags")
+    state, _ = written(_started(_flagged(sections)), "section-flags")
     done = state.where(F.col("above").isNull())
     open_ = state.where(F.col("above").isNotNull())
     while open_.limit(1).count():
-        upper = done.unionByName(open_).select(
-            "build_key",
-            F.col("section_id").alias("above"),
-            F.col("above").alias("_above"),
-            F.col("least").alias("_least"),
-            F.col("reject").alias("_reject"),
-            *(F.col(name).alias(f"_{name}") for name in OWNERS),
-            F.lit(True).alias("_there"),
-        )
-        # A section stands once on a way up: the least of one stretch is not met again.
-        met_twice = F.col("least") == F.col("_least")
-        reject = (
-            F.when(F.col("_there").isNull(), "orphan")
-            .when(met_twice, "loop")
-            .otherwise(F.col("_reject"))
-        )
-        higher = open_.join(upper, ["build_key", "above"], "left").select(
-            "build_key",
-            "section_id",
-            F.when(reject.isNull(), F.col("_above")).alias("above"),
-            *(F.coalesce(f"_{name}", name).alias(name) for name in OWNERS),
-            F.least("least", "_least").alias("least"),
-            reject.alias("reject"),
-        )
-        state, _ = written(higher, "section-climb")
+        state, _ = written(_higher(open_, done.unionByName(open_)), "section-climb")
         done = done.unionByName(state.where(F.col("above").isNull()))
         open_ = state.where(F.col("above").isNotNull())
     return done.select("build_key", "section_id", *OWNERS, "reject")
@@ -105,7 +159,7 @@ def walked(sections: DataFrame, climb: DataFrame | None = None) -> DataFrame:
     """BI-11: sections that have a way to a root, with what :func:`climbed` found."""
     climb = climbed(sections) if climb is None else climb
     found = climb.where(F.col("reject").isNull()).drop("reject")
-    return sections.join(found, ["build_key", "section_id"])
+    return sections.join(found.hint("merge"), ["build_key", "section_id"])
 
 
 def rejected_sections(climb: DataFrame) -> DataFrame:
@@ -120,7 +174,7 @@ def owned(walk: DataFrame) -> DataFrame:
     owns its subtree and is itself a step; its sections stay phases as well.
     """
     nested = walk.where(F.col("wrapper_id").isNotNull()).select("build_key").distinct()
-    marked = walk.join(nested.withColumn("_nested", F.lit(True)), BUILD, "left")
+    marked = walk.join(nested.withColumn("_nested", F.lit(True)).hint("merge"), BUILD, "left")
     wraps = F.coalesce("_nested", F.lit(False))
     return marked.select(
         *(c for c in walk.columns),

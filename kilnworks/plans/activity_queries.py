@@ -133,16 +133,16 @@ RESULTS = f"""{STEPS},
 
 
 class Model:
-    """The sections and their owners as stored tables, and what is derived from them."""
+    """The sections with their owners as a stored table, and what is derived from it."""
 
     def __init__(self, t: Tables):
-        self.sections = written(t.sections, "sections")[0]
-        self.owned = written(activity.owned(activity.walked(self.sections)), "owned")[0]
+        t.keep("section_items")
+        self.owned, self.sections = activity.owned_sections(t.sections)
         self.facts = activity.build_facts(self.sections)
 
     @cached_property
     def steps(self):
-        return written(activity.steps(self.owned, self.facts), "steps")[0]
+        return activity.steps(self.owned, self.facts)
 
     def targets(self):
         return activity.target_results(self.steps, activity.target_spans(self.owned))

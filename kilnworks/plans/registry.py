@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import written
 from .views import table, with_views
 
 
@@ -16,9 +17,14 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.kept: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, f"v_{name}")
+        return table(self.spark, self.sf_dir, f"v_{name}", self.kept)
+
+    def keep(self, name: str) -> None:
+        """Store a view; views that read it then don't derive it each time."""
+        self.kept[f"v_{name}"] = written(getattr(self, name), name.replace("_", "-"))[0]
 
     def base(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)

@@ -600,11 +600,11 @@ def _render(sql: str, engine: str) -> str:
     return call(sql)
 
 
-def _needed(names) -> list[str]:
+def _needed(names, kept=()) -> list[str]:
     order: list[str] = []
 
     def visit(name: str) -> None:
-        if name in BASE or name in order:
+        if name in BASE or name in kept or name in order:
             return
         for read in VIEWS[name][0]:
             visit(read)
@@ -615,8 +615,8 @@ def _needed(names) -> list[str]:
     return order
 
 
-def _bases(names) -> set[str]:
-    return {r for n in _needed(names) for r in VIEWS[n][0] if r in BASE} | {
+def _bases(names, kept=()) -> set[str]:
+    return {r for n in _needed(names, kept) for r in VIEWS[n][0] if r in BASE} | {
         n for n in names if n in BASE
     }
 
@@ -635,13 +635,19 @@ def with_views(names: str, body: str) -> str:
     return f"{head}\n{body}"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table or a stand-in view as a DataFrame."""
+def table(
+    spark: SparkSession, sf_dir: str, name: str, kept: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """A base table or a stand-in view as a DataFrame; ``kept`` views are read as stored."""
     configure(spark)
-    for base in _bases([name]):
+    kept = kept or {}
+    for base in _bases([name], kept):
         rows = spark.read.parquet(f"{sf_dir}/{base}.parquet")
         (spread(rows) if base in TEXTS else rows).createOrReplaceTempView(base)
-    if name in BASE:
+    for view, rows in kept.items():
+        rows.createOrReplaceTempView(view)
+    if name in BASE or name in kept:
         return spark.table(name)
-    parts = [f"{n} as ({_render(VIEWS[n][1], 'spark')})" for n in _needed([name])]
-    return spark.sql(f"with {', '.join(parts)} select * from {name}")
+    parts = [f"{n} as ({_render(VIEWS[n][1], 'spark')})" for n in _needed([name], kept)]
+    head = f"with {', '.join(parts)} " if parts else ""
+    return spark.sql(f"{head}select * from {name}")

@@ -13,6 +13,10 @@ from kilnworks.operators import activity, caps, graph, history, intel, regressio
 from kilnworks.operators import percentiles
 from kilnworks.operators.ordered import carry_last, line_chunk, number_rows, top_per_key
 from kilnworks.operators.percentiles import exact_percentiles
+from kilnworks.plans.registry import Tables
+from kilnworks.runtime import written
+
+SF = "/root/testdata/sf0.001"
 
 
 def skewed(seed=1, n=3000):
@@ -561,3 +565,19 @@ def test_of_symbols_of_one_place_the_least_is_named(spark):
     for some in (rows, rows[::-1]):
         got = activity.swift_site_totals(spark.createDataFrame(some, schema).coalesce(1)).first()
         assert (got.symbol, got.occurrences, got.milliseconds) == ("f", 4, 10.0)
+
+
+def test_sections_move_once_and_large_builds_climb_alone(spark):
+    sections = Tables(spark, SF).sections
+    rows, _ = written(sections.where("cast(build_key as long) < 40"), "sections")
+    wanted = sorted(map(str, activity.owned(activity.walked(rows)).collect()))
+    moved = []
+    for large in (10**6, 12):
+        got, stored = activity.owned_sections(rows, large)
+        assert sorted(map(str, got.select(*activity.owned(activity.walked(rows)).columns).collect())) == wanted
+        assert stored.count() == rows.count()
+        by_build = got.groupBy("build_key").count()
+        moved.append(by_build._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+    # Rows of a build lie together, so counting them moves none.
+    assert wanted and moved[0] == 0
+    assert rows.groupBy("build_key").count().where("count > 12").count() > 0
