@@ -9,6 +9,7 @@ from statistics import quantiles
 import pytest
 from pyspark.sql import functions as F
 
+from kilnworks import runtime
 from kilnworks.operators import activity, caps, graph, history, intel, regressions, retention
 from kilnworks.operators import percentiles
 from kilnworks.operators.ordered import carry_last, line_chunk, number_rows, top_per_key
@@ -581,3 +582,32 @@ def test_sections_move_once_and_large_builds_climb_alone(spark):
     # Rows of a build lie together, so counting them moves none.
     assert wanted and moved[0] == 0
     assert rows.groupBy("build_key").count().where("count > 12").count() > 0
+
+
+@pytest.mark.parametrize("large", [12, graph.LARGE_GRAPH])
+def test_small_graphs_are_worked_on_in_place(spark, monkeypatch, large):
+    plans = []
+
+    def stored(df, label, key, placed=False):
+        if placed:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return runtime.written_by(df, label, key, placed)
+
+    monkeypatch.setattr(graph, "written_by", stored)
+    graphs = random_graphs()
+    nodes, edges = graph_frames(spark, graphs)
+    pairs, _ = runtime.written(graph.edge_set(nodes, edges), "pairs")
+    got = {(r.graph, r.src.name, r.dst.name) for r in graph.closure(pairs, large).collect()}
+    proper = {name: [(a, b) for a, b in links if a != b] for name, links in graphs.items()}
+    assert got == {
+        (name, a, b) for name, links in proper.items() for a in {a for a, _ in links} for b in reachable(links, a)
+    }
+    chains = {
+        (r.graph, r.target.name): [n.name for n in r.path]
+        for r in graph.shortest_chains(nodes, pairs, large).collect()
+    }
+    targets = [(name, n) for name, links in graphs.items() for n in {n for link in links for n in link}]
+    assert chains == {
+        (name, n): path for name, n in targets if (path := nearest_chain(graphs[name], n))
+    }
+    assert plans and not any("Exchange hashpartitioning" in plan for plan in plans)
