@@ -71,6 +71,15 @@ def test_alerts_come_once_and_only_without_results(spark, tmp_path):
     assert files.rows().count() == 2
 
 
+def test_builds_that_wait_for_nothing_reach_no_state_but_move_the_watermark(spark, tmp_path):
+    files = Files(spark, tmp_path, stateful.pending_alerts, TIMED)
+    files.add("builds", [pending("silent", 100), ("clock", 200 * MINUTE, "succeeded")])
+    query = files.run()
+    assert [r.build_key for r in files.rows().collect()] == ["silent"]
+    plan = query._jsq.explainInternal(False)
+    assert "other" in plan[: plan.index("EventTimeWatermark")], plan
+
+
 @pytest.mark.parametrize("order", [0, 1])
 def test_an_early_result_counts_whatever_comes_first(spark, tmp_path, order):
     files = Files(spark, tmp_path, stateful.pending_alerts, TIMED)
