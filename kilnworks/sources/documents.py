@@ -40,7 +40,10 @@ def parse_documents(rows: DataFrame, text: Column) -> DataFrame:
         schemas.WIRE + ", _corrupt string",
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
     )
-    return rows.withColumn("doc", parsed).withColumn("reason", refusal(F.col("doc")))
+    # An exploded text is parsed once; a filter on the reason would parse it again for
+    # every field that the reason looks at.
+    once = rows.select("*", F.explode(F.array(parsed)).alias("doc"))
+    return once.withColumn("reason", refusal(F.col("doc")))
 
 
 def refusal(doc: Column) -> Column:
@@ -114,32 +117,61 @@ def _exploded(documents: DataFrame, name: str) -> DataFrame:
     )
 
 
+def _first_items(documents: DataFrame, name: str, *keys: str, blank: str = "") -> DataFrame:
+    """The items of a list; on a repeated key the first of the list stays.
+
+    Found inside the list, so no item is moved. Items sorted by key and place repeat the
+    key of the item before. A missing ``blank`` field is the empty text.
+    """
+
+    def field(item: Column, key: str) -> Column:
+        return F.coalesce(item[key], F.lit("")) if key == blank else item[key]
+
+    def placed(item: Column, place: Column) -> Column:
+        key = F.struct(*(field(item, k).alias(k) for k in keys))
+        return F.struct(key.alias("key"), place.alias("place"), item.alias("item"))
+
+    def firsts(items: Column) -> Column:
+        return F.filter(
+            items,
+            lambda item, i: (i == 0) | ~item["key"].eqNullSafe(F.get(items, i - 1)["key"]),
+        )
+
+    # The one-element list names the sorted items, which are then sorted once.
+    kept = F.transform(F.array(F.sort_array(F.transform(name, placed))), firsts)
+    rows = documents.select("day", "build_key", F.explode(F.get(kept, F.lit(0))).alias("_kept"))
+    rows = rows.select("day", "build_key", F.col("_kept.place").alias("position"), "_kept.item.*")
+    return rows.withColumn(blank, F.coalesce(blank, F.lit(""))) if blank else rows
+
+
 def _first_per_key(rows: DataFrame, table: str) -> DataFrame:
-    """On a repeated key the first row of the list stays."""
+    """On a key that several documents hold the first place in their lists stays."""
     keys = list(schemas.TABLES[table][1])
     rest = [c for c in schemas.columns(table) if c not in keys]
     first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), "position").alias("_row"))
-    return first.select(*keys, "_row.*").select(*schemas.columns(table))
+    return first.select(*keys, "_row.*")
 
 
-def shred(documents: DataFrame) -> dict[str, DataFrame]:
-    """SRC-3: child rows by table."""
-    files = _exploded(documents, "files").withColumn(
-        "architecture", F.coalesce("architecture", F.lit(""))
-    )
-    timings = _exploded(documents, "swift_timings").withColumnRenamed("column", "column_number")
-    steps = _exploded(documents, "steps").withColumn("ordinal", F.col("position"))
-    tests = attempt_numbers(_exploded(documents, "tests"))
+def shred(documents: DataFrame, distinct: bool = False) -> dict[str, DataFrame]:
+    """SRC-3: child rows by table.
+
+    Of ``distinct`` documents, each with a key of its own, no row but those of tests is
+    moved.
+    """
+    timings = _first_items(documents, "swift_timings", "kind", "file", "line", "column")
+    keyed = {
+        "build_targets": _first_items(documents, "targets", "name"),
+        "build_phases": _first_items(documents, "phases", "name"),
+        "build_files": _first_items(documents, "files", "file", "architecture", blank="architecture"),
+        "build_swift_timings": timings.withColumnRenamed("column", "column_number"),
+        "build_diagnostics": _first_items(documents, "diagnostics", "fingerprint"),
+    }
+    if not distinct:
+        keyed = {table: _first_per_key(frame, table) for table, frame in keyed.items()}
     rows = {
-        "build_targets": _first_per_key(_exploded(documents, "targets"), "build_targets"),
-        "build_phases": _first_per_key(_exploded(documents, "phases"), "build_phases"),
-        "build_files": _first_per_key(files, "build_files"),
-        "build_swift_timings": _first_per_key(timings, "build_swift_timings"),
-        "build_steps": steps.select(*schemas.columns("build_steps")),
-        "build_diagnostics": _first_per_key(
-            _exploded(documents, "diagnostics"), "build_diagnostics"
-        ),
-        "build_tests": tests.select(*schemas.columns("build_tests")),
+        **keyed,
+        "build_steps": _exploded(documents, "steps").withColumn("ordinal", F.col("position")),
+        "build_tests": attempt_numbers(_exploded(documents, "tests")),
     }
     return {table: schemas.typed(frame, table) for table, frame in rows.items()}
 
@@ -150,7 +182,7 @@ def _nested(
     """Child rows of each build as one ordered array, as a document holds them."""
     item = F.struct(*order, F.struct(*fields).alias("_item"))
     return children.groupBy("day", "build_key").agg(
-        F.transform(F.array_sort(F.collect_list(item)), lambda e: e["_item"]).alias(name)
+        F.transform(F.sort_array(F.collect_list(item)), lambda e: e["_item"]).alias(name)
     )
 
 

@@ -537,3 +537,21 @@ def test_sections_climb_and_are_rejected(spark):
     assert got == want
     assert {r for r, _ in want.values()} == {None, "orphan", "loop"}
     assert activity.rejected_sections(climb).count() == sum(r is not None for r, _ in want.values())
+
+
+def test_documents_are_parsed_once_and_shredded_in_place(spark):
+    """A filter on the reason used to parse each text again for every field it looks at,
+    and items were moved to find the first of their key."""
+    item = {"severity": "error", "category": "c", "occurrences": 1, "message": "m"}
+    found = [{"fingerprint": k, "line": i, **item} for i, k in enumerate(["b", "a", "b", None, None])]
+    compiled = [{"file": "f", "architecture": a, "seconds": s} for a, s in [(None, 1.0), ("", 2.0), ("arm64", 3.0)]]
+    texts = [document("a", diagnostics=found, files=compiled)]
+    rows = documents.shred(documents.accepted_documents(parsed(spark, texts)), distinct=True)
+    first = rows["build_diagnostics"]
+    assert sorted((r.fingerprint or "", r.line) for r in first.collect()) == [("", 3), ("a", 1), ("b", 0)]
+    files = [(r.architecture, r.seconds) for r in rows["build_files"].collect()]
+    assert sorted(files) == [("", 1.0), ("arm64", 3.0)]
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1 and "Exchange" not in plan
+    twice = documents.shred(documents.accepted_documents(parsed(spark, texts * 2)))
+    assert twice["build_diagnostics"].count() == 3
