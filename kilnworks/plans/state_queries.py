@@ -65,7 +65,7 @@ def delivered(t: Tables) -> DataFrame:
     """Changes as a consumer gets them that reads on after a batch was repeated."""
     spark = t.spark
     source, out = scratch_path(spark, "incoming"), scratch_path(spark, "delivered")
-    quarter_documents(t).select("document").write.text(source)
+    quarter_documents(t).select("document").write.text(source, compression="gzip")
     ingest = Ingest(spark, scratch_path(spark, "history"))
     ingest.run(document_stream(spark, source), ingest.store_documents, "documents", once=True).awaitTermination()
 
@@ -93,7 +93,7 @@ def percentile_panel(t: Tables) -> DataFrame:
     clean = F.col("category") == "clean"
     for name, part in (("clean", t.builds.where(clean)), ("other", t.builds.where(~clean))):
         source = scratch_path(t.spark, "incoming")
-        quarter_documents(t, part).select("document").write.text(source)
+        quarter_documents(t, part).select("document").write.text(source, compression="gzip")
         stream = document_stream(t.spark, source)
         ingest.run(stream, panel.store_documents, name, once=True).awaitTermination()
     return panel.read()

@@ -110,6 +110,7 @@ class HistoryStore:
             schemas.typed(rows, table)
             .hint("rebalance", "day")
             .write.mode("append")
+            .option("compression", "zstd")
             .partitionBy("day")
             .parquet(self.path(table))
         )
@@ -120,22 +121,48 @@ class HistoryStore:
         children: dict[str, DataFrame],
         arrival: str = "received_at",
         accepting: Callable[[DataFrame], None] | None = None,
+        distinct: bool = False,
     ) -> DataFrame:
         """SRC-8: store new builds with their rows; returns the accepted keys.
 
         Children first, the build row last: an interrupted insert is repeated
         whole, and what it already wrote is recognised table by table. ``accepting``
         gets the accepted keys before anything is stored.
+
+        ``distinct`` builds are stored rows with a key of their own, and the children are
+        theirs alone: then only keys are compared, and rows move once, to their day.
         """
-        fresh, count = written(accepted(builds, self.read("builds"), arrival), "accepted")
-        keys = fresh.select("day", "build_key")
+        key = ["day", "build_key"]
+        total = -1
+        if distinct:
+            found, total = written(builds.select(*key), "found")
+            known = self._exists(self.path("builds"))
+            fresh = unseen(found, self.read("builds"), key) if known else found
+        else:
+            fresh = accepted(builds, self.read("builds"), arrival)
+        fresh, count = written(fresh, "accepted")
+        keys = fresh.select(*key)
         if accepting:
             accepting(keys)
+        if not count:
+            return keys
+
+        def mine(rows: DataFrame) -> DataFrame:
+            if count == total:
+                return rows
+            return rows.join(maybe_broadcast(keys, count), key, "left_semi")
+
         for table, rows in children.items():
-            mine = rows.join(maybe_broadcast(keys, count), ["day", "build_key"], "left_semi")
-            done = self.read(table).select("day", "build_key").distinct()
-            self.append(unseen(mine, done, ["day", "build_key"]), table)
-        self.append(fresh, "builds")
+            new = mine(rows)
+            if self._exists(self.path(table)):
+                stored = self.read(table).select(*key).distinct()
+                days = maybe_broadcast(keys.select("day").distinct(), DAY_BOUND)
+                there = stored.join(days, "day", "left_semi")
+                done, n = written(keys.join(there, key, "left_semi"), "done")
+                if n:
+                    new = new.join(maybe_broadcast(done, n), key, "left_anti")
+            self.append(new, table)
+        self.append(mine(builds) if distinct else fresh, "builds")
         return keys
 
     def attach_tests(self, results: DataFrame) -> int:

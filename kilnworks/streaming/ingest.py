@@ -98,35 +98,58 @@ class Ingest:
 
     def store_documents(self, batch_rows: DataFrame, batch: int, run: str = "") -> None:
         """ST-1, ST-2, ST-6, ST-7: validate, quarantine, shred, store, announce."""
-        parsed, _ = written(
-            documents.parse_documents(batch_rows, F.col("value")), "parsed"
-        )
+        # One day for the whole batch, whose documents are read several times.
+        today = F.lit(self.spark.range(1).select(F.current_date()).first()[0])
+        read = documents.parse_documents(batch_rows, F.col("value"))
+        bare = F.col("reason").isNull() & ~usable_document(F.col("doc"))
+        refused = F.when(bare, F.lit("no usable measurements"))
+        wrong = F.coalesce("reason", "refused").isNotNull()
+        # The text stays only where it is handed on.
+        kept = read.withColumn("refused", refused).withColumn("value", F.when(wrong, F.col("value")))
+        parsed, _ = written(kept, "parsed")
         self._write_once(
             documents.rejected_documents(parsed).select("source", "value", "reason"),
             "rejected",
             batch,
             run,
         )
-        good = documents.accepted_documents(parsed)
-        usable = good.where(usable_document())
-        refused = good.where(~usable_document()).select(
-            "source", "value", F.lit("no usable measurements").alias("reason")
-        )
-        self._write_once(refused, "refused", batch, run)
-        once = usable.groupBy("day", "build_key").agg(
-            F.min_by(F.struct(*usable.columns), F.struct("received_at", "source", "value")).alias(
-                "_first"
-            )
+        bad = parsed.where(F.col("refused").isNotNull())
+        self._write_once(
+            bad.select("source", "value", F.col("refused").alias("reason")), "refused", batch, run
         )
-        first, _ = written(once.select("_first.*"), "documents")
+        usable = parsed.where(F.col("refused").isNull()).drop("refused", "value")
+        first = self._first_documents(documents.accepted_documents(usable, today), batch_rows, today)
         builds = documents.build_rows(first, F.col("received_at"))
         self.store.insert(
             builds,
-            documents.shred(first),
+            documents.shred(first, distinct=True),
             accepting=lambda keys: self._intend(keys, "builds", batch, run),
+            distinct=True,
         )
         self._announce("builds", "stored", "builds", batch, run)
 
+    def _first_documents(self, usable: DataFrame, batch_rows: DataFrame, today: Column) -> DataFrame:
+        """One document per key: the first to arrive.
+
+        Keys are counted first; only documents of a repeated key are moved, and read
+        again with their text, which orders those that arrived together.
+        """
+        key = ["day", "build_key"]
+        counted = usable.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+        repeated, n = written(counted.where(F.col("_n") > 1).select(*key), "repeated")
+        if not n:
+            return usable
+        read = documents.parse_documents(batch_rows, F.col("value"))
+        again = documents.accepted_documents(read, today).where(usable_document())
+        order = F.struct("received_at", "source", "value")
+        once = (
+            again.join(maybe_broadcast(repeated, n), key, "left_semi")
+            .groupBy(*key)
+            .agg(F.min_by(F.struct(*usable.columns), order).alias("_first"))
+        )
+        firsts, _ = written(once.select("_first.*"), "documents")
+        return usable.join(maybe_broadcast(repeated, n), key, "left_anti").unionByName(firsts)
+
     def store_results(self, batch_rows: DataFrame, batch: int, run: str = "") -> None:
         """ST-3: attach results of known builds; park the others and retry them.
 
@@ -234,14 +257,21 @@ class Ingest:
         return writer.start()
 
 
-def usable_document() -> Column:
+def usable_document(doc: Column | None = None) -> Column:
     """ST-7: a document with a measurement of real work.
 
     A clean action only sets up: it has no targets and files, compiled nothing, and all
     its phases are known preparations. It is no build, however long it took.
     """
-    measured = (F.size("files") > 0) | (F.size("swift_timings") > 0)
-    bare = (F.size("targets") == 0) & (F.size("files") == 0) & (F.col("compiled_count") == 0)
+
+    def field(name: str) -> Column:
+        return F.col(name) if doc is None else doc[name]
+
+    def items(name: str) -> Column:
+        return F.size(F.coalesce(field(name), F.array()))
+
+    measured = (items("files") > 0) | (items("swift_timings") > 0)
+    bare = (items("targets") == 0) & (items("files") == 0) & (field("compiled_count") == 0)
 
     def preparation(phase: Column) -> Column:
         known = F.lit(False)
@@ -249,9 +279,9 @@ def usable_document() -> Column:
             known = known | F.startswith(phase["name"], F.lit(title))
         return F.coalesce(known, F.lit(False))
 
-    setup_only = bare & (F.size("phases") > 0) & F.forall("phases", preparation)
-    timed = F.col("total_seconds").isNotNull() & (
-        (F.size("targets") > 0) | (F.size("phases") > 0)
+    setup_only = bare & (items("phases") > 0) & F.forall(field("phases"), preparation)
+    timed = field("total_seconds").isNotNull() & (
+        (items("targets") > 0) | (items("phases") > 0)
     )
     return measured | (~setup_only & timed)
 

@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from kilnworks import runtime
 from kilnworks.operators import activity
 from kilnworks.sources import documents, inventory, manifests, providers, reports
 from kilnworks.sources.store import HistoryStore
@@ -555,3 +556,24 @@ def test_documents_are_parsed_once_and_shredded_in_place(spark):
     assert plan.count("from_json(") == 1 and "Exchange" not in plan
     twice = documents.shred(documents.accepted_documents(parsed(spark, texts * 2)))
     assert twice["build_diagnostics"].count() == 3
+
+
+def test_only_documents_of_a_repeated_key_are_moved(spark, tmp_path):
+    """All documents of a batch used to be moved, and stored once more, to find the first
+    of each key."""
+    texts = [document("a", project="late"), document("a", project="early"), document("b"), "{"]
+    times = "array(timestamp'2024-03-02', timestamp'2024-03-01', timestamp'2024-03-01', timestamp'2024-03-01')"
+    rows = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "value string, i int").select(
+        "value", F.expr(f"{times}[i]").alias("received_at"), F.lit("s").alias("source")
+    )
+    begun = len(runtime._made)
+    ingest = Ingest(spark, str(tmp_path / "h"))
+    ingest.store_documents(rows, 0, "r")
+    made = {p.rsplit("/", 1)[-1].split("-")[0]: p for p in runtime._made[begun:]}
+    assert spark.read.parquet(made["documents"]).count() == 1
+    parsed_texts = [r.value for r in spark.read.parquet(made["parsed"]).collect()]
+    assert sorted(t for t in parsed_texts if t) == ["{"]
+    builds = {(r.build_key, r.project) for r in ingest.store.read("builds").collect()}
+    assert builds == {("a", "early"), ("b", "App")}
+    assert ingest.store.read("build_targets").count() == 2
+    assert [r.value for r in ingest.rejects().collect()] == ["{"]
