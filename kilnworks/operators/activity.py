@@ -108,25 +108,29 @@ def _climbed_in_place(flagged: DataFrame, store: Callable[[DataFrame], DataFrame
 
 
 def owned_sections(
-    sections: DataFrame, large: int = LARGE_BUILD
+    sections: DataFrame, large: int = LARGE_BUILD, again: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """BI-11: stored sections with their owners, see :func:`owned`, and all as they are.
+    """BI-11: sections with their owners, see :func:`owned`, and all as they are, stored.
 
-    Sections move once, to the place of their build, and climb there. Builds of more than
-    ``large`` sections are no work of one task: theirs climb by section.
+    Sections move once, to the place of their build, and climb there; they don't move at
+    all if they lie there already. Builds of more than ``large`` sections are no work of
+    one task: theirs climb by section. Owners that are read ``again`` are stored as well,
+    else found in place by the one that reads them.
     """
-    counts = sections.groupBy(*BUILD).count().where(F.col("count") > large)
-    # At most one key for so many sections; those without a build join nothing.
-    many = [row.build_key for row in counts.dropna().select(*BUILD).collect()]
-    here = ~F.coalesce(F.col("build_key").isin(many), F.lit(False)) if many else F.lit(True)
-    flagged = written_by(_flagged(sections.where(here)), "sections", "build_key")
-    small = flagged.drop("_wraps", "_tags")
-
-    def store(rows: DataFrame, label: str = "section-climb") -> DataFrame:
-        return written_by(rows, label, "build_key", placed=True)
-
     with joined_in_place(sections.sparkSession):
-        stored = store(owned(walked(small, _climbed_in_place(flagged, store))), "owned")
+        counts = sections.groupBy(*BUILD).count().where(F.col("count") > large)
+        # At most one key for so many sections; those without a build join nothing.
+        many = [row.build_key for row in counts.dropna().select(*BUILD).collect()]
+        here = ~F.coalesce(F.col("build_key").isin(many), F.lit(False)) if many else F.lit(True)
+        flagged = written_by(_flagged(sections.where(here)), "sections", "build_key")
+        small = flagged.drop("_wraps", "_tags")
+
+        def store(rows: DataFrame, label: str = "section-climb") -> DataFrame:
+            return written_by(rows, label, "build_key", placed=True)
+
+        climb = _climbed_in_place(flagged, store)
+        found = owned(walked(small, climb), climb)
+        stored = store(found, "owned") if again else found
     if not many:
         return stored, small
     rest = written(sections.where(~here), "large-sections")[0]
@@ -167,13 +171,15 @@ def rejected_sections(climb: DataFrame) -> DataFrame:
     return climb.where(F.col("reject").isNotNull()).select("build_key", "section_id", "reject")
 
 
-def owned(walk: DataFrame) -> DataFrame:
+def owned(walk: DataFrame, climb: DataFrame | None = None) -> DataFrame:
     """Adds ``target_id``, ``target`` and ``role`` (root, target, step or phase).
 
     A build without any wrapper falls back to tags: a topmost tagged section
     owns its subtree and is itself a step; its sections stay phases as well.
+    The wrapped builds are read from ``climb`` if it is given, which saves a join.
     """
-    nested = walk.where(F.col("wrapper_id").isNotNull()).select("build_key").distinct()
+    ways = walk if climb is None else climb.where(F.col("reject").isNull())
+    nested = ways.where(F.col("wrapper_id").isNotNull()).select("build_key").distinct()
     marked = walk.join(nested.withColumn("_nested", F.lit(True)).hint("merge"), BUILD, "left")
     wraps = F.coalesce("_nested", F.lit(False))
     return marked.select(

@@ -16,6 +16,11 @@ from .log_queries import category_sql, normalize_sql, part, quoted
 from .registry import Registry, Tables, longs, rounded
 
 VIEWS = "v_sections v_messages"
+# What sections and messages read of the items.
+ITEM_COLUMNS = (
+    "build_key", "order_epoch", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+    "l_quantity", "l_returnflag",
+)
 STEP_TYPE = (
     "case "
     + " ".join(
@@ -133,11 +138,13 @@ RESULTS = f"""{STEPS},
 
 
 class Model:
-    """The sections with their owners as a stored table, and what is derived from it."""
+    """The sections with their owners, stored if they are read ``again``, and what is
+    derived from them."""
 
-    def __init__(self, t: Tables):
-        t.keep("section_items")
-        self.owned, self.sections = activity.owned_sections(t.sections)
+    def __init__(self, t: Tables, again: bool = True):
+        t.keep("items", "build_key", ITEM_COLUMNS)
+        t.deal("orders", "o_orderkey")
+        self.owned, self.sections = activity.owned_sections(t.sections, again=again)
         self.facts = activity.build_facts(self.sections)
 
     @cached_property
@@ -183,11 +190,11 @@ def log_sides(t: Tables) -> tuple[pairing.Side, pairing.Side]:
 
 
 def owned_of(t: Tables):
-    return Model(t).owned
+    return Model(t, again=False).owned
 
 
 def steps_of(t: Tables):
-    return Model(t).steps
+    return Model(t, again=False).steps
 
 
 def targets_of(t: Tables):

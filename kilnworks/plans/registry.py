@@ -22,12 +22,18 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, f"v_{name}", self.kept)
 
-    def keep(self, name: str, key: str = "") -> None:
+    def keep(self, name: str, key: str = "", columns: tuple[str, ...] = ("*",)) -> None:
         """Store a view, in buckets of ``key`` if given; views that read it then don't
-        derive it each time."""
-        rows, label = getattr(self, name), name.replace("_", "-")
+        derive it each time. ``columns`` are those that they read."""
+        rows, label = getattr(self, name).select(*columns), name.replace("_", "-")
         self.kept[f"v_{name}"] = written_by(rows, label, key) if key else written(rows, label)[0]
 
+    def deal(self, base: str, key: str) -> None:
+        """Deal a base table out like buckets of the text of its ``key``: rows that views
+        derive from it under that key then lie where such a view's buckets are."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.kept[base] = self.base(base).repartition(n, F.col(key).cast("string"))
+
     def base(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 

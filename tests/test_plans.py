@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from kilnworks import runtime
 from kilnworks.operators import graph, history, regressions
-from kilnworks.plans import store_queries
+from kilnworks.plans import activity_queries, store_queries
+from kilnworks.plans.catalog import catalog
 from kilnworks.plans.registry import Tables
 from kilnworks.plans.views import table
 from kilnworks.sources import reports
@@ -107,3 +108,17 @@ def test_texts_for_a_stream_are_stored_compressed(spark):
     ingest.spark = spark
     store_queries._ingest_texts(ingest, spark.createDataFrame([("{}",)], "document string"), "texts")
     assert [f for f in ingest.files if f.startswith("part-") and f.endswith(".txt.gz")]
+
+
+def test_sections_are_derived_where_their_items_lie(spark):
+    t = Tables(spark, SF)
+    activity_queries.Model(t)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with runtime.joined_in_place(spark):
+        plan = plan_of(t.sections.repartition(n, "build_key"))
+    # Roots and their preparation are dealt out by the key of their order, nothing else moves.
+    assert "hashpartitioning(build_key" not in plan and plan.count("Exchange") == 2
+    for query in ("activity_files", "replayed_steps", "activity_messages", "standard_detail_files"):
+        plan = plan_of(catalog().queries[query](spark, SF))
+        # Owners that one step reads are not stored, and found without moving sections.
+        assert "default.owned_" not in plan and "Exchange hashpartitioning" not in plan
