@@ -7,14 +7,15 @@ Jaccard similarity of SIMILARITY or more share at least SHARED words among their
 prefixes, so lines are joined on prefix words only, filtered by length, by the words'
 positions and by a parity bit for each of 64 classes of words, and verified.
 
-The join runs twice. At first each line meets the earliest line of its HEAD rarest
-words, which settles the many variants of a line without pairing them with each other.
-Lines not settled then meet all earlier lines.
+The join runs thrice. At first each line meets its leads, the earliest lines of its MARKS,
+hashes of a few of its words that similar lines often have in common, then WITNESSES lines
+with the same lead. This settles the many variants of a line without pairing them with
+each other. Lines not settled then meet all earlier lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, stored, stored_by, under_safe_names
@@ -24,8 +25,11 @@ SIMILARITY = 0.8
 SHARED = 3
 # Words are counted by hash in so many buckets; STEPS ranks to a doubling of the count.
 COUNTERS, STEPS = 1 << 18, 2.6
-# In the first pass AGREED of the HEAD rarest words must have the same earliest line.
-HEAD, AGREED = 5, 2
+# A mark is made of so many words, those of least and of greatest hash and the next ones:
+# rare words would not do, for the words of a line with many variants are not rare.
+MARKED, MARKS = 3, (1, 4, -3, -6)
+# In the second pass lines meet so many lines of each lead, chosen by hash.
+WITNESSES = 16
 _NO_ID = -(1 << 63)
 _HASH_BITS = 56
 
@@ -121,7 +125,7 @@ def _rarity(lines: DataFrame) -> bytearray:
 
 
 def prefixes(lines: DataFrame, ranks: bytearray) -> DataFrame:
-    """``place, size, words, odd``: the rarest words of every line, rarest first.
+    """``place, size, words, odd, marks``: the rarest words of every line, rarest first.
 
     A word has its rank in the upper bits and its hash below; ``size`` is the number
     of words of the line. ``odd`` has a bit for each of 64 classes of words, set if the
@@ -137,18 +141,25 @@ def prefixes(lines: DataFrame, ranks: bytearray) -> DataFrame:
 
     words = F.filter(F.split("line", f"[{SPACES}]+"), lambda w: w != "")
     hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    keys = F.sort_array(F.array_distinct(F.transform(hashes, key)))
+
     def toggled(bits: Column, word: Column) -> Column:
         place = F.shiftright(word, 40).bitwiseAND(F.lit(63)).cast("int")
         return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
 
     odd = F.aggregate("words", F.lit(0).cast("long"), toggled)
-    sized = lines.select("place", keys.alias("words")).select(
-        "place", "words", F.size("words").alias("size"), odd.alias("odd")
-    )
-    # size - ceil(0.8 size) + SHARED, in whole numbers.
-    length = F.col("size") - F.ceil(F.col("size") * 4 / 5).cast("int") + SHARED
-    return sized.select("place", "size", F.slice("words", F.lit(1), length).alias("words"), "odd")
+    ordered = lines.select("place", F.sort_array(hashes).alias("hashes"))
+    sized = ordered.select("place", "hashes", F.sort_array(F.array_distinct(F.transform("hashes", key))).alias("words"))
+    sized = sized.select("place", "hashes", "words", F.size("words").alias("size"), odd.alias("odd"))
+    # A slice that would begin before the first word is empty and makes no mark.
+    parts = (F.slice("hashes", at, MARKED) for at in MARKS)
+    marks = F.array_compact(F.array(*(F.when(F.size(part) > 0, F.xxhash64(part)) for part in parts)))
+    words = F.slice("words", F.lit(1), _length("size")).alias("words")
+    return sized.select("place", "size", words, "odd", F.array_distinct(marks).alias("marks"))
+
+
+def _length(size: str) -> Column:
+    """Words of the prefix: size - ceil(0.8 size) + SHARED, in whole numbers; a line may have fewer."""
+    return (F.col(size) - F.ceil(F.col(size) * 4 / 5) + SHARED).cast("int")
 
 
 def _may_match(table: DataFrame) -> DataFrame:
@@ -179,15 +190,42 @@ def _rows(table: DataFrame) -> DataFrame:
     return rows.select(_short(F.col("word")).alias("word"), "code", shape.alias("shape"), "odd")
 
 
+def _near(size: Column, odd: Column, size_2: Column, odd_2: Column) -> Column:
+    """Whether lines can be similar: those differ in at most a ninth of their words, so in
+    no more bits, and neither is shorter than 0.8 of the other."""
+    apart = 9 * F.bit_count(odd.bitwiseXOR(odd_2))
+    return (apart <= size + size_2) & (5 * size >= 4 * size_2) & (5 * size_2 >= 4 * size)
+
+
+def _earlier(one: str, other: str) -> Column:
+    """Whether ``other`` is a line before ``one`` that can be similar; both are structs."""
+    near = (F.col(f"{x}.{name}") for x in (one, other) for name in ("size", "odd"))
+    return (F.col(f"{other}.place") < F.col(f"{one}.place")) & _near(*near)
+
+
 def _led(table: DataFrame) -> DataFrame:
-    """Pairs of a line and the earliest line of AGREED of its rarest words."""
-    heads = table.select("place", "size", F.explode(F.slice("words", 1, HEAD)).alias("word"))
-    heads = heads.where(_repeated(F.col("word"))).withColumn("word", _short(F.col("word")))
-    first = heads.groupBy("word").agg(F.min("place").alias("lead"))
-    least = F.least(F.lit(AGREED), F.col("size"))
-    led = heads.join(first, "word").where(F.col("place") > F.col("lead"))
-    led = led.groupBy(F.col("place").alias("a"), F.col("lead").alias("b"), least.alias("least"))
-    return led.agg(F.count("*").alias("n")).where(F.col("n") >= F.col("least"))
+    """Lines and the earliest line of one of their marks, if they can be similar."""
+    line = F.struct("place", "size", "odd")
+    marked = table.select(line.alias("line"), F.explode("marks").alias("mark"))
+    first = marked.groupBy("mark").agg(F.min("line").alias("lead"))
+    return marked.join(first, "mark").where(_earlier("line", "lead")).select("line", "lead").distinct()
+
+
+def _places(one: str, other: str) -> tuple[Column, Column]:
+    return F.col(f"{one}.place").alias("a"), F.col(f"{other}.place").alias("b")
+
+
+def _witnessed(led: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs of a line that is not settled and an earlier line with the same lead.
+
+    Of each lead WITNESSES lines are met, so that the pairs grow with the lines alone.
+    """
+    lead = F.col("lead.place").alias("b")
+    by_hash = Window.partitionBy("b").orderBy(F.xxhash64("other.place"), "other.place")
+    some = led.select(lead, F.col("line").alias("other")).withColumn("rank", F.row_number().over(by_hash))
+    some = some.where(F.col("rank") <= WITNESSES)
+    open_ = led.join(settled, F.col("line.place") == F.col("a"), "left_anti").select(lead, "line")
+    return open_.join(some, "b").where(_earlier("line", "other")).select(*_places("line", "other")).distinct()
 
 
 def _overlap(size: str, size_2: str) -> Column:
@@ -203,10 +241,8 @@ def _candidates(rows: DataFrame) -> DataFrame:
     both = rows.alias("l").join(rows.alias("r"), "word")
     place = F.when(F.col("r.code") < 0, -1 - F.col("r.code")).otherwise(F.col("r.code"))
     both = both.where(F.col("l.code") > place)
-    # Similar lines differ in at most a ninth of their words, so in no more bits.
-    apart = 9 * F.bit_count(F.col("l.odd").bitwiseXOR(F.col("r.odd")))
-    sizes = F.shiftright("l.shape", 32) + F.shiftright("r.shape", 32)
-    both = both.where(apart <= sizes)
+    sides = ((F.shiftright(f"{x}.shape", 32), F.col(f"{x}.odd")) for x in "lr")
+    both = both.where(_near(*next(sides), *next(sides)))
     low = F.lit((1 << 32) - 1)
     both = both.select(
         F.col("l.code").alias("a"),
@@ -216,12 +252,12 @@ def _candidates(rows: DataFrame) -> DataFrame:
     )
     rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
     before = F.least("at_a", "at_b")
-    fits = (
-        (5 * F.col("size_a") >= 4 * F.col("size_b"))
-        & (5 * F.col("size_b") >= 4 * F.col("size_a"))
-        & (rest + before >= _overlap("size_a", "size_b"))
-    )
-    least = F.least(F.lit(SHARED), _overlap("size_a", "size_b")).cast("int")
+    fits = rest + before >= _overlap("size_a", "size_b")
+    # Words of the prefix that ends first are in both prefixes or not shared at all, so
+    # what the lines share is what the prefixes share and the rest of that line at most.
+    beyond = F.greatest(*(F.col(size) - _length(size) for size in ("size_a", "size_b")), F.lit(0))
+    overlap = _overlap("size_a", "size_b")
+    least = F.greatest(F.least(F.lit(SHARED), overlap), overlap - beyond).cast("int")
     pairs = both.where(fits).groupBy("a", "b", least.alias("least")).agg(F.count("*").alias("n"))
     return pairs.where(F.col("n") >= F.col("least"))
 
@@ -244,7 +280,10 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def similar_to_earlier(lines: DataFrame) -> DataFrame:
     """Places of distinct lines that are similar to an earlier one."""
     table = stored(prefixes(lines, _rarity(lines)), "line-prefixes")
-    settled = stored(_verified(_led(table), lines), "line-settled")
+    led = stored(_led(table), "line-led")
+    first = stored(_verified(led.select(*_places("line", "lead")), lines), "line-settled")
+    second = stored(_verified(_witnessed(led, first), lines), "line-settled")
+    settled = first.union(second)
     joined = table.join(settled, F.col("place") == F.col("a"), "left")
     code = F.when(F.col("a").isNull(), F.col("place")).otherwise(-1 - F.col("place"))
     marked = joined.withColumn("code", code.cast(table.schema["place"].dataType))

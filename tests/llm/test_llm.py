@@ -229,6 +229,34 @@ def test_line_dedup_is_that_of_all_pairs(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_variants_of_a_line_do_not_all_meet(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"base{i}" for i in range(60)]
+    others = [f"other{i}" for i in range(40)]
+    rows = []
+    for i in range(120):
+        # The words put in are rarer than those of the line, but say nothing of its variants.
+        words = base[:]
+        for at in rng.sample(range(60), 4):
+            words[at] = rng.choice(others)
+        rows.append((i, " ".join(words)))
+    pairs = []
+
+    def counted(rows):
+        out = line_dedup_candidates(rows)
+        pairs.append(out.count())
+        return out
+
+    line_dedup_candidates = line_dedup._candidates
+    monkeypatch.setattr(line_dedup, "_candidates", counted)
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = {i: set(text.split()) for i, text in rows}
+    alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    gone = {i for i, _ in rows if any(alike(i, j) for j in range(i))}
+    assert {r.doc_id for r in out if r.n_removed} == gone and len(gone) > 80
+    assert pairs[0] < 8 * len(rows)
+
+
 def test_line_dedup_of_rows_without_an_id_of_their_own(spark):
     rng = random.Random(6)
     pool = [" ".join(rng.sample([f"v{i}" for i in range(40)], 10)) for _ in range(25)]
