@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import scratch_path
+from ..runtime import scratch_path, unbroadcast
 from ..streaming import stateful
 from ..streaming.ingest import Ingest, document_stream
 from ..streaming.panels import PercentilePanel
@@ -37,7 +37,8 @@ def _timed_files(t: Tables) -> tuple[DataFrame, DataFrame]:
     out = []
     for name, rows, schema in (("builds", builds, BUILDS), ("results", results, RESULTS)):
         path = scratch_path(t.spark, f"stream-{name}")
-        rows.write.parquet(path)
+        with unbroadcast(t.spark):
+            rows.write.parquet(path)
         out.append(t.spark.readStream.schema(schema).parquet(path))
     return out[0], out[1]
 

@@ -20,6 +20,8 @@ PENDING = "pending_tests"
 NEVER = -(1 << 62)
 # Keys of one run that share a state of delivered messages.
 RUN_SHARDS = 64
+# Shards of the keys of builds that wait for results.
+ALERT_SHARDS = 1024
 
 ALERTS = "build_key string, received_at timestamp, due_at timestamp"
 DELIVERED = "day date, build_key string, change string, run string, batch bigint"
@@ -36,9 +38,11 @@ def _millis(spark: SparkSession, interval: str) -> int:
 
 
 class PendingAlerts(StatefulProcessor):
-    """Per build: when it came, whether results came, and a timer for the end of the wait.
+    """Per shard of keys: the builds that wait, when they came and whether results came.
 
-    Results ahead of their build are remembered for as long as they can count.
+    Results ahead of their build are remembered for as long as they can count. A shard has
+    one timer, for the first of its waits to end: state is read and written once a shard and
+    batch, not once a build.
     """
 
     def __init__(self, wait: int, early: int):
@@ -46,59 +50,91 @@ class PendingAlerts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.build = handle.getValueState("build", "received bigint, answered boolean, due bigint")
-        self.results = handle.getListState("results", "at bigint")
-        self.forget = handle.getValueState("forget", "at bigint")
-
-    def _wake(self, at: int) -> None:
-        """Move the timer that forgets results without a build."""
-        if self.forget.exists():
-            self.handle.deleteTimer(self.forget.get()[0])
-        self.forget.update((at,))
-        self.handle.registerTimer(at)
+        self.waiting = handle.getValueState(
+            "waiting", "keys array<string>, received array<bigint>, answered array<boolean>"
+        )
+        self.ahead = handle.getValueState("ahead", "keys array<string>, results array<array<bigint>>")
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _load(self) -> tuple[dict[str, tuple[int, bool]], dict[str, list[int]]]:
+        """Builds with their arrival and whether they are answered; results of no build yet."""
+        builds, results = {}, {}
+        if self.waiting.exists():
+            keys, received, answered = self.waiting.get()
+            builds = dict(zip(keys, zip(received, answered)))
+        if self.ahead.exists():
+            results = dict(zip(*self.ahead.get()))
+        return builds, results
+
+    def _save(self, builds: dict[str, tuple[int, bool]], results: dict[str, list[int]]) -> None:
+        if builds:
+            received, answered = zip(*builds.values())
+            self.waiting.update((list(builds), list(received), list(answered)))
+        else:
+            self.waiting.clear()
+        if results:
+            self.ahead.update((list(results), [list(ats) for ats in results.values()]))
+        else:
+            self.ahead.clear()
+        ends = [received + self.wait for received, _ in builds.values()]
+        ends += [max(ats) + self.early for ats in results.values()]
+        before = self.timer.get()[0] if self.timer.exists() else None
+        first = min(ends, default=None)
+        if first == before:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        if first is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(first)
+            self.timer.update((first,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pending, came = [], []
+        pending: dict[str, int] = {}
+        came: dict[str, list[int]] = {}
         for part in rows:
-            for kind, at in zip(part["kind"], part["at_millis"]):
+            for build, kind, at in zip(part["build_key"], part["kind"], part["at_millis"].tolist()):
                 if kind == "pending":
-                    pending.append(int(at))
+                    pending[build] = min(at, pending.get(build, at))
                 elif kind == "result":
-                    came.append(int(at))
-        if self.build.exists():
-            received, answered, due = self.build.get()
-            if not answered and any(received - self.early <= at <= due for at in came):
-                self.build.update((received, True, due))
-        elif pending:
-            received = min(pending)
-            due = received + self.wait
-            if self.results.exists():
-                came += [row[0] for row in self.results.get()]
-                self.results.clear()
-            if self.forget.exists():
-                self.handle.deleteTimer(self.forget.get()[0])
-                self.forget.clear()
-            answered = any(received - self.early <= at <= due for at in came)
-            self.build.update((received, answered, due))
-            self.handle.registerTimer(due)
-        elif came:
-            known = {row[0] for row in self.results.get()} if self.results.exists() else set()
-            known.update(came)
-            self.results.put([(at,) for at in sorted(known)])
-            self._wake(max(known) + self.early)
+                    came.setdefault(build, []).append(at)
+        builds, results = self._load()
+        for build, at in pending.items():
+            if build not in builds:
+                builds[build] = at, False
+                came[build] = came.get(build, []) + list(results.pop(build, ()))
+        for build, ats in came.items():
+            if build in builds:
+                received, answered = builds[build]
+                in_time = any(received - self.early <= at <= received + self.wait for at in ats)
+                builds[build] = received, answered or in_time
+            else:
+                results[build] = sorted({*results.get(build, ()), *ats})
+        self._save(builds, results)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.build.exists():
-            received, answered, due = self.build.get()
-            self.build.clear()
-            if not answered:
-                times = pd.to_datetime([received, due], unit="ms")
-                yield pd.DataFrame(
-                    {"build_key": [key[0]], "received_at": times[:1], "due_at": times[1:]}
-                )
-        self.results.clear()
-        self.forget.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        builds, results = self._load()
+        # Spark deletes a timer that has expired.
+        self.timer.clear()
+        ended = {b: v for b, v in builds.items() if v[0] + self.wait <= now}
+        self._save(
+            {b: v for b, v in builds.items() if b not in ended},
+            {b: ats for b, ats in results.items() if max(ats) + self.early > now},
+        )
+        silent = [(b, received) for b, (received, answered) in ended.items() if not answered]
+        if silent:
+            keys, received = zip(*silent)
+            received = pd.Series(received, dtype="int64")
+            yield pd.DataFrame(
+                {
+                    "build_key": keys,
+                    "received_at": pd.to_datetime(received, unit="ms"),
+                    "due_at": pd.to_datetime(received + self.wait, unit="ms"),
+                }
+            )
 
     def close(self) -> None:
         pass
@@ -130,7 +166,8 @@ def pending_alerts(
         .where((F.col("kind") != "other") | (F.col("at_millis") < NEVER))
     )
     processor = PendingAlerts(_millis(spark, wait), _millis(spark, early))
-    return keyed.groupBy("build_key").transformWithStateInPandas(
+    shard = F.pmod(F.xxhash64("build_key"), F.lit(ALERT_SHARDS))
+    return keyed.withColumn("shard", shard).groupBy("shard").transformWithStateInPandas(
         processor, ALERTS, outputMode="Append", timeMode="EventTime"
     )
 

@@ -80,6 +80,29 @@ def test_builds_that_wait_for_nothing_reach_no_state_but_move_the_watermark(spar
     assert "other" in plan[: plan.index("EventTimeWatermark")], plan
 
 
+def test_builds_that_wait_share_a_state_and_a_timer(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "ALERT_SHARDS", 3)
+    files = Files(spark, tmp_path, stateful.pending_alerts, TIMED)
+    files.add("builds", [pending(f"b{i}", 100 + i) for i in range(60)])
+    files.add("results", [(f"b{i}", (95 + i) * MINUTE) for i in range(0, 60, 4)] + [("ahead", 104 * MINUTE)])
+    query = files.run()
+    # A shard has at most builds, results ahead of theirs and a timer.
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * 3
+    silent = {f"b{i}" for i in range(60) if i % 4}
+
+    def alerts_at(minute):
+        files.add("builds", [("clock", minute * MINUTE, "succeeded")])
+        files.run()
+        return sorted(r.build_key for r in files.rows().collect())
+
+    # The watermark is ten minutes behind the newest event, which came in minute 159; a
+    # wait ends when it is reached.
+    assert alerts_at(149) == sorted(silent & {f"b{i}" for i in range(40)})
+    files.add("results", [("b58", 165 * MINUTE)])
+    files.run()
+    assert alerts_at(400) == sorted(silent - {"b58"})
+
+
 @pytest.mark.parametrize("order", [0, 1])
 def test_an_early_result_counts_whatever_comes_first(spark, tmp_path, order):
     files = Files(spark, tmp_path, stateful.pending_alerts, TIMED)
