@@ -9,19 +9,21 @@ distributed joins whose result is written to the shared folder.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import joined_in_place, written, written_by
+from ..runtime import joined_in_place, unbroadcast, written, written_by
 from .ordered import top_per_key
 
 GRAPH = ["graph"]
 # Graphs of more edges are no work of one task. A graph of so many has at most the square of
 # them as pairs of connected nodes.
 LARGE_GRAPH = 4_000
+# Of graphs of more edges cycles are found without all pairs of connected nodes.
+LARGE_CYCLES = 500
 
 
 def node(prefix: str = "") -> Column:
@@ -200,8 +202,9 @@ def _by_size(
     with shuffles.
     """
     pairs = pairs.select("graph", "src", "dst")
-    counts = pairs.groupBy(*GRAPH).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large)
-    many, n_many = written(counts.select("graph"), "large-graphs")
+    with unbroadcast(pairs.sparkSession):
+        counts = pairs.groupBy(*GRAPH).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large)
+        many, n_many = written(counts.select("graph"), "large-graphs")
     small = pairs.join(many, GRAPH, "left_anti") if n_many else pairs
     with joined_in_place(pairs.sparkSession):
         if n_many or not placed:
@@ -209,7 +212,8 @@ def _by_size(
         found = work(_numbered_in_place(small))
     if not n_many:
         return found
-    return found.unionByName(work(numbered(pairs.join(many, GRAPH, "left_semi"))))
+    with unbroadcast(pairs.sparkSession):
+        return found.unionByName(work(numbered(pairs.join(many, GRAPH, "left_semi"))))
 
 
 def closure(pairs: DataFrame, large: int = LARGE_GRAPH, placed: bool = False) -> DataFrame:
@@ -384,16 +388,35 @@ def components(g: Numbered) -> DataFrame:
     return all_.join(sizes.select("component"), "component", "left_semi").select("id", "component")
 
 
-def cycle_members(pairs: DataFrame) -> DataFrame:
+def _mutual_in_place(g: Numbered) -> DataFrame:
+    """(graph, id, component) from the closure of what is left without the ends."""
+    sources = g.edges.select("graph", F.col("src").alias("dst")).distinct()
+    sinks = g.edges.select("graph", F.col("dst").alias("src")).distinct()
+    core = g.store(
+        g.edges.join(sources, ["graph", "dst"], "left_semi").join(sinks, ["graph", "src"], "left_semi"), "trim"
+    )
+    reach = _reach_in_place(replace(g, edges=core.select("graph", "src", "dst")))
+    back = reach.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = reach.join(back, ["graph", "src", "dst"]).groupBy("graph", F.col("src").alias("id"))
+    # A node that no other leads back to has no pair but its own.
+    return both.agg(F.min("dst").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+
+
+def cycle_members(pairs: DataFrame, large: int = LARGE_CYCLES, placed: bool = False) -> DataFrame:
     """GR-5: (graph, cycle, member): strongly connected targets, as
-    ``project::name``; a cycle is named after its smallest member."""
-    g = numbered(pairs)
-    named = g.named(components(g).join(g.nodes.select("graph", "id"), "id"), "id")
-    members = named.select(
+    ``project::name``; a cycle is named after its smallest member. Graphs of more than
+    ``large`` edges are worked on node by node."""
+    return _by_size(pairs, _cycles, large, placed)
+
+
+def _cycles(g: Numbered) -> DataFrame:
+    found = _mutual_in_place(g) if g.in_place else components(g).join(g.nodes.select("graph", "id"), "id")
+    members = g.named(found, "id").select(
         "graph", "component", F.concat_ws("::", "id.project", "id.name").alias("member")
     )
-    least = members.groupBy("component").agg(F.min("member").alias("cycle"))
-    return members.join(least, "component").select("graph", "member", "cycle")
+    least = members.groupBy("graph", "component").agg(F.min("member").alias("cycle"))
+    rows = members.join(least, ["graph", "component"]).select("graph", "member", "cycle")
+    return g.store(rows, "cycles")
 
 
 def by_name(nodes: DataFrame) -> DataFrame:
@@ -541,7 +564,7 @@ def _chains(g: Numbered) -> DataFrame:
     named = g.named(paths, "target").select(
         "graph", "target", F.transform("_steps", lambda step: step["_node"]).alias("path")
     )
-    return g.store(named, "chains") if g.in_place else named
+    return g.store(named, "chains")
 
 
 def why_built(nodes: DataFrame, pairs: DataFrame, chains: DataFrame) -> DataFrame:

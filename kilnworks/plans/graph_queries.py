@@ -157,7 +157,7 @@ def register(r: Registry) -> None:
     )
     add(
         "graph_cycles",
-        lambda t: graph.cycle_members(pairs_of(t)),
+        lambda t: graph.cycle_members(pairs_of(t), placed=True),
         REACH,
         """select a.graph, split_part(a.src, chr(1), 2) || '::' || split_part(a.src, chr(1), 1)
              as member, least(min(split_part(a.dst, chr(1), 2) || '::'

@@ -180,6 +180,35 @@ def test_closure_and_cycles_equal_a_search(spark, monkeypatch, bound):
     assert members == expected
 
 
+def test_cycles_of_small_graphs_are_found_in_place_of_large_ones_by_node(spark):
+    nodes, edges = graph_frames(spark, random_graphs())
+    pairs = graph.edge_set(nodes, edges)
+    small, large, both = (
+        sorted(map(tuple, graph.cycle_members(pairs, large=n).collect())) for n in (1000, 0, 15)
+    )
+    assert small == large == both != []
+
+
+def test_stored_tables_are_not_broadcast_for_their_small_files(spark, monkeypatch):
+    nodes, edges = graph_frames(spark, random_graphs())
+    pairs = runtime.written_by(graph.edge_set(nodes, edges), "pairs", "graph")
+    plans, store = [], graph.Numbered.store
+
+    def stored(self, df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(self, df, label)
+
+    monkeypatch.setattr(graph.Numbered, "store", stored)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        for large in (1000, 0):
+            graph.shortest_chains(nodes, pairs, large)
+            graph.cycle_members(pairs, large)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) > 10 and not any("Broadcast" in plan for plan in plans)
+
+
 def test_long_chain_and_ring(spark, monkeypatch):
     monkeypatch.setattr(graph, "PAIRS_BOUND", 100_000)
     chain = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(63)]
