@@ -96,17 +96,42 @@ def _higher(rows: DataFrame, among: DataFrame) -> DataFrame:
     )
 
 
-def _climbed_in_place(flagged: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Like :func:`climbed`, of sections in buckets of their build.
+def _climbed_in_place(state: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Like :func:`climbed`, of started sections in buckets of their build.
 
     Each round stores all rows: a union of rounds would not lie in buckets any more.
     """
-    state = _started(flagged)
     while state.where(F.col("above").isNotNull()).limit(1).count():
         state = store(_higher(state, state))
     return state.select("build_key", "section_id", *OWNERS, "reject")
 
 
+def _apart(sections: DataFrame, large: int) -> tuple[Column, bool]:
+    """Whether a section's build has no more than ``large`` of them, and if any has more."""
+    counts = sections.groupBy(*BUILD).count().where(F.col("count") > large)
+    # At most one key for so many sections; those without a build join nothing.
+    many = [row.build_key for row in counts.dropna().select(*BUILD).collect()]
+    here = ~F.coalesce(F.col("build_key").isin(many), F.lit(False)) if many else F.lit(True)
+    return here, bool(many)
+
+
+def _stored_climb(rows: DataFrame, label: str = "section-climb") -> DataFrame:
+    return written_by(rows, label, "build_key", placed=True)
+
+
+def climbed_by_build(sections: DataFrame, large: int = LARGE_BUILD) -> DataFrame:
+    """Like :func:`climbed`: what a climb reads of the sections moves once, to the place of
+    their build, if it doesn't lie there already, and climbs there. Builds of more than
+    ``large`` sections climb by section."""
+    with joined_in_place(sections.sparkSession):
+        here, many = _apart(sections, large)
+        started = written_by(_started(_flagged(sections.where(here))), "section-flags", "build_key")
+        climb = _climbed_in_place(started, _stored_climb)
+    if not many:
+        return climb
+    return climb.unionByName(climbed(written(sections.where(~here), "large-sections")[0]))
+
+
 def owned_sections(
     sections: DataFrame, large: int = LARGE_BUILD, again: bool = True
 ) -> tuple[DataFrame, DataFrame]:
@@ -118,19 +143,12 @@ def owned_sections(
     else found in place by the one that reads them.
     """
     with joined_in_place(sections.sparkSession):
-        counts = sections.groupBy(*BUILD).count().where(F.col("count") > large)
-        # At most one key for so many sections; those without a build join nothing.
-        many = [row.build_key for row in counts.dropna().select(*BUILD).collect()]
-        here = ~F.coalesce(F.col("build_key").isin(many), F.lit(False)) if many else F.lit(True)
+        here, many = _apart(sections, large)
         flagged = written_by(_flagged(sections.where(here)), "sections", "build_key")
         small = flagged.drop("_wraps", "_tags")
-
-        def store(rows: DataFrame, label: str = "section-climb") -> DataFrame:
-            return written_by(rows, label, "build_key", placed=True)
-
-        climb = _climbed_in_place(flagged, store)
+        climb = _climbed_in_place(_started(flagged), _stored_climb)
         found = owned(walked(small, climb), climb)
-        stored = store(found, "owned") if again else found
+        stored = _stored_climb(found, "owned") if again else found
     if not many:
         return stored, small
     rest = written(sections.where(~here), "large-sections")[0]

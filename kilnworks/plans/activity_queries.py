@@ -142,8 +142,7 @@ class Model:
     derived from them."""
 
     def __init__(self, t: Tables, again: bool = True):
-        t.keep("items", "build_key", ITEM_COLUMNS)
-        t.deal("orders", "o_orderkey")
+        t.place(ITEM_COLUMNS)
         self.owned, self.sections = activity.owned_sections(t.sections, again=again)
         self.facts = activity.build_facts(self.sections)
 
@@ -157,6 +156,7 @@ class Model:
 
 def broken_sections(t: Tables):
     """Wrappers of some builds that hang below nothing, or below themselves."""
+    t.place(ITEM_COLUMNS)
     key = F.col("build_key").cast("bigint")
     wrapper = F.startswith("section_id", F.lit("w"))
     parent = (
@@ -164,7 +164,7 @@ def broken_sections(t: Tables):
         .when(wrapper & (key % 7 == 2), "gone")
         .otherwise(F.col("parent_id"))
     )
-    return written(t.sections.withColumn("parent_id", parent), "sections")[0]
+    return t.sections.withColumn("parent_id", parent)
 
 
 def log_sides(t: Tables) -> tuple[pairing.Side, pairing.Side]:
@@ -261,7 +261,7 @@ def register(r: Registry) -> None:
     # every eleventh the first wrapper and its steps' parents form a circle.
     r.add(
         "rejected_sections",
-        lambda t: activity.rejected_sections(activity.climbed(broken_sections(t))),
+        lambda t: activity.rejected_sections(activity.climbed_by_build(broken_sections(t))),
         "v_sections",
         """with s as (select *, cast(build_key as bigint) as k from v_sections),
              tops as (select build_key, section_id, case when k % 11 = 3 then 'loop' else 'orphan' end as reject

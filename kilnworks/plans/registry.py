@@ -34,6 +34,17 @@ class Tables:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.kept[base] = self.base(base).repartition(n, F.col(key).cast("string"))
 
+    def place(self, columns: tuple[str, ...]) -> None:
+        """Line items move once, with the ``columns`` that are read, to the place of their
+        build, and orders to theirs; what views derive of them by build lies there too."""
+        if "v_items" not in self.kept:
+            self.keep("items", "build_key", columns)
+            self.deal("orders", "o_orderkey")
+
+    def by_build(self, rows: DataFrame) -> DataFrame:
+        """Rows that lie elsewhere, moved once to where :meth:`place` puts their build."""
+        return rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "build_key")
+
     def base(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
