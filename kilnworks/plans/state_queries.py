@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import scratch_path, unbroadcast
+from ..runtime import joined_in_place, scratch_path, unbroadcast
 from ..streaming import stateful
 from ..streaming.ingest import Ingest, document_stream
 from ..streaming.panels import PercentilePanel
 from .registry import Registry, Tables, day_text, rounded
-from .store_queries import quarter_documents
+from .store_queries import SHORT_ITEMS, quarter_documents
 
 BUILDS = "build_key string, status string, received_at timestamp"
 RESULTS = "build_key string, result_at timestamp"
@@ -66,7 +66,8 @@ def delivered(t: Tables) -> DataFrame:
     """Changes as a consumer gets them that reads on after a batch was repeated."""
     spark = t.spark
     source, out = scratch_path(spark, "incoming"), scratch_path(spark, "delivered")
-    quarter_documents(t).select("document").write.text(source, compression="gzip")
+    with joined_in_place(spark):
+        quarter_documents(t).select("document").write.text(source, compression="gzip")
     ingest = Ingest(spark, scratch_path(spark, "history"))
     ingest.run(document_stream(spark, source), ingest.store_documents, "documents", once=True).awaitTermination()
 
@@ -89,12 +90,14 @@ def delivered(t: Tables) -> DataFrame:
 
 def percentile_panel(t: Tables) -> DataFrame:
     """Percentiles by day and project, refreshed by two streams into one store."""
+    t.place(SHORT_ITEMS)
     ingest = Ingest(t.spark, scratch_path(t.spark, "history"))
     panel = PercentilePanel(ingest, "durations", "project", "total_seconds", {"p50": 0.5, "p95": 0.95})
     clean = F.col("category") == "clean"
     for name, part in (("clean", t.builds.where(clean)), ("other", t.builds.where(~clean))):
         source = scratch_path(t.spark, "incoming")
-        quarter_documents(t, part).select("document").write.text(source, compression="gzip")
+        with joined_in_place(t.spark):
+            quarter_documents(t, part).select("document").write.text(source, compression="gzip")
         stream = document_stream(t.spark, source)
         ingest.run(stream, panel.store_documents, name, once=True).awaitTermination()
     return panel.read()

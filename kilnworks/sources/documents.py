@@ -179,11 +179,12 @@ def shred(documents: DataFrame, distinct: bool = False) -> dict[str, DataFrame]:
 def _nested(
     children: DataFrame, name: str, order: list[str], fields: list[str | Column]
 ) -> DataFrame:
-    """Child rows of each build as one ordered array, as a document holds them."""
+    """Child rows of each build as one ordered array, as a document holds them; never
+    broadcast, however small the files that it is read from."""
     item = F.struct(*order, F.struct(*fields).alias("_item"))
     return children.groupBy("day", "build_key").agg(
         F.transform(F.sort_array(F.collect_list(item)), lambda e: e["_item"]).alias(name)
-    )
+    ).hint("merge")
 
 
 def export_documents(

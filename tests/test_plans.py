@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from kilnworks import runtime
-from kilnworks.operators import graph, history, regressions
+from kilnworks.operators import activity, graph, history, regressions
 from kilnworks.plans import activity_queries, store_queries
 from kilnworks.plans.catalog import catalog
 from kilnworks.plans.registry import Tables
@@ -122,3 +122,26 @@ def test_sections_are_derived_where_their_items_lie(spark):
         plan = plan_of(catalog().queries[query](spark, SF))
         # Owners that one step reads are not stored, and found without moving sections.
         assert "default.owned_" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_documents_are_made_where_their_items_lie(spark):
+    t = Tables(spark, SF)
+    for make in (store_queries.quarter_documents, store_queries.full_documents):
+        with runtime.joined_in_place(spark):
+            plan = plan_of(make(t))
+        # Rows are not dealt by day, nor lists once they are made.
+        assert "hashpartitioning(day" not in plan and "Broadcast" not in plan
+        t = Tables(spark, SF)
+
+
+def test_sections_that_are_rejected_climb_where_their_items_lie(spark):
+    rows = activity_queries.broken_sections(Tables(spark, SF))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with runtime.joined_in_place(spark):
+        plan = plan_of(rows.repartition(n, "build_key"))
+    assert "hashpartitioning(build_key" not in plan
+    stored = runtime.written(rows, "sections")[0]
+    for large in (10, 1_000_000):
+        found = activity.climbed_by_build(rows, large)
+        wanted = activity.climbed(stored)
+        assert found.exceptAll(wanted).isEmpty() and wanted.exceptAll(found).isEmpty()
